@@ -11,7 +11,7 @@ ALNUM = bytes(_LOWER.get(c, c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 els
 #: Words between white space: A-Z lower-cased, ASCII white space becomes a space.
 SPACED = bytes(_LOWER.get(c, 32 if 9 <= c <= 13 else c) for c in range(256))
 
-#: Deletes nothing but makes `bytes.split()` see only 0x20: 0x1C-0x1F are no separators of `bytes.split`.
+#: `WordHashes` holds at most about so many words.
 MOST_WORDS = 400_000
 
 
