@@ -8,7 +8,7 @@ from a place that is certainly a token boundary to the next such place (see `pie
 lengthens the join. The encoding on both sides of a certain boundary doesn't depend on what lies beyond it, so the
 repaired ids agree exactly with those of the whole text. Inside a new chunk, words that the worker has met are reused.
 
-Scale: one pass, no shuffle, memory bounded by `CHUNK_BYTES` and `PIECES`. Copies that meet in different workers are
+Scale: one pass, no shuffle, memory bounded by `CHUNK_BYTES` and by the pieces kept. Copies that meet in different workers are
 encoded once in each: a global table of chunks would cost a shuffle of all ids.
 
 Defined results: null and empty texts, and texts of white space, have no ids and decode to the empty string; bytes that
@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelquery.llm.common import ROW, carried, groups
-from reelquery.llm.pieces import SEP, default_path, mark, tokenizer, valid
+from reelquery.llm.pieces import Pieces, cuts, default_path, valid
 
 #: Chunks have 256 to 8192 bytes, 1 KB more than the least on average.
 LEAST, MOST, MASK = 256, 8192, 1023
-#: A worker keeps encoded chunks of at most so many bytes, and so many encoded words; beyond, it starts anew.
-CHUNK_BYTES, PIECES = 24 << 20, 150_000
+#: A worker keeps encoded chunks of at most so many bytes; beyond, it starts anew.
+CHUNK_BYTES = 32 << 20
 _GEAR = np.array([(i * 0x9E3779B1 ^ (i * 0x85EBCA6B >> 7)) * 0xC2B2AE35 & 0xFFFFFFFF for i in range(1, 257)], np.uint32)
 
 
@@ -67,63 +67,58 @@ def chunks(data: bytes) -> list[bytes]:
 
 
 class Reuse:
-    """What a worker has encoded: pieces of text, and chunks made of them. Ids are held as decimals joined by spaces."""
+    """What a worker has encoded: chunks, and pieces of text they are made of."""
 
     def __init__(self, path: str):
-        self.tokenizer = tokenizer(path)
-        self.pieces: dict[bytes, tuple[bytes, bytes]] = {}
-        self.chunks: dict[bytes, tuple[bytes, bytes, bytes, bytes] | None] = {}
+        self.pieces = Pieces(path)
+        #: chunk -> (its head, its tail, the ids between), or None if it has no certain boundary
+        self.chunks: dict[bytes, tuple[bytes, bytes, np.ndarray] | None] = {}
         self.held = 0
-        self.encoded = 0
-
-    def learn(self, wanted: set[bytes]) -> None:
-        """Encodes and decodes pieces that are new."""
-        new = [x for x in wanted if x not in self.pieces]
-        self.encoded += len(new)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, e in zip(part, self.tokenizer.encode_batch([x.decode() for x in part], add_special_tokens=False), strict=True):
-                self.pieces[piece] = (" ".join(map(str, e.ids)).encode(), self.tokenizer.decode(e.ids, skip_special_tokens=False).encode())
-
-    def add(self, texts: list[bytes]) -> list[tuple[list[bytes], list[bytes]]]:
-        """For each text the parts of its ids and of its decoded text."""
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
+        size = self.pieces.tokenizer.get_vocab_size()
+        self.decimal = [str(i).encode() for i in range(size)]
+        self.token = [(self.pieces.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
+
+    def add(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
         if self.held > CHUNK_BYTES:
             self.chunks.clear()
             self.held = 0
-        cut = [chunks(x) for x in mark(texts)]
-        new = {c: c.split(SEP) for doc in cut for c in doc if c not in self.chunks}
-        wanted: set[bytes] = set()
-        for parts in new.values():
-            wanted.update(parts[1:-1])
-        self.learn(wanted)
-        for c, parts in new.items():
-            if len(parts) == 1:
-                self.chunks[c] = None
-            else:
-                inner = [self.pieces[p] for p in parts[1:-1]]
-                self.chunks[c] = (parts[0], parts[-1], b" ".join([x for x, _ in inner if x]), b" ".join([x for _, x in inner if x]))
-                self.held += len(c) + len(self.chunks[c][2]) + len(self.chunks[c][3]) + 300
-        plans, wanted = [], set()
-        for doc in cut:
-            plan, left = [], b""
+        # A special token may lie across chunks; texts that can hold one are cut at spaces only, as a whole.
+        cut = [[] if b"<|" in x else chunks(x) for x in texts]
+        self._encode_chunks({c for doc in cut for c in doc if c not in self.chunks})
+        plans: list[list] = []
+        joins: list[bytes] = []
+        for text, doc in zip(texts, cut, strict=True):
+            plan, left = [], b"" if doc else text
             for c in doc:
                 known = self.chunks[c]
-                if known is None:  # no certain boundary in it: the join goes on
+                if known is None:  # the join goes on
                     left += c
                     continue
-                plan += [left + known[0], known]
+                joins.append(left + known[0])
+                plan += [None, known[2]]
                 left = known[1]
-            plan.append(left)
+            joins.append(left)
+            plan.append(None)
             plans.append(plan)
-            wanted.update(plan[::2])
-        self.learn(wanted)
-        out = []
-        for plan in plans:
-            both = [self.pieces[x] if k % 2 == 0 else x[2:] for k, x in enumerate(plan)]
-            out.append(([x for x, _ in both if x], [x for _, x in both if x]))
-        return out
+        repaired = iter(self.pieces.ids(joins))
+        return [np.concatenate([next(repaired) if x is None else x for x in plan]) for plan in plans]
+
+    def _encode_chunks(self, new: set[bytes]) -> None:
+        own = list(new)
+        inner = []
+        for c in own:
+            at = cuts(c, False)
+            at = at[(at >= 2) & (at <= len(c) - 2)]  # decided by the chunk's own bytes
+            inner.append((int(at[0]), int(at[-1])) if len(at) else None)
+        ids = iter(self.pieces.ids([c[p[0] : p[1]] for c, p in zip(own, inner, strict=True) if p]))
+        for c, p in zip(own, inner, strict=True):
+            if p is None:
+                self.chunks[c] = None
+                self.held += len(c) + 100
+            else:
+                self.chunks[c] = (c[: p[0]], c[p[1] :], next(ids))
+                self.held += len(c) + 4 * len(self.chunks[c][2]) + 400
 
 
 _REUSE: dict[str, Reuse] = {}
@@ -131,31 +126,30 @@ _REUSE: dict[str, Reuse] = {}
 
 def _run(path: str, want: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reuse = _REUSE.setdefault(path, Reuse(path))
+        reuse = _REUSE.get(path) or _REUSE.setdefault(path, Reuse(path))
         for batch in batches:
             texts = [valid(x.as_py()) for x in batch.column(1)]
-            for i, j in groups(texts):
+            for i, j in groups(texts, 2 << 20):
                 out: dict[str, list] = {k: [] for k in want}
-                for ids, words in reuse.add(texts[i:j]):
-                    joined, decoded = b" ".join(ids), b" ".join(words)
+                for ids in reuse.add(texts[i:j]):
+                    own = ids.tolist()
                     for k in want:
-                        out[k].append(_digest(k, joined, decoded))
+                        out[k].append(_wanted(k, reuse, ids, own))
                 arrays = [pa.array(out[k], _TYPES[k][1]) for k in want]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *arrays], names=[ROW, *want])
 
     return run
 
 
-def _digest(kind: str, ids: bytes, decoded: bytes):
+def _wanted(kind: str, reuse: Reuse, ids: np.ndarray, own: list[int]):
     if kind == "n_tokens":
-        return ids.count(b" ") + 1 if ids else 0
+        return len(own)
+    if kind == "ids":
+        return ids
     if kind == "ids_sha256":
-        return hashlib.sha256(ids).hexdigest()
-    if kind == "decoded_sha256":
-        return hashlib.sha256(decoded).hexdigest()
-    if kind == "decoded":
-        return decoded.decode()
-    return np.array(ids.split(), np.int32) if ids else np.zeros(0, np.int32)
+        return hashlib.sha256(b" ".join(map(reuse.decimal.__getitem__, own))).hexdigest()
+    decoded = b" ".join(map(reuse.token.__getitem__, own))
+    return decoded.decode() if kind == "decoded" else hashlib.sha256(decoded).hexdigest()
 
 
 _TYPES = {"n_tokens": ("bigint", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}

@@ -1,4 +1,10 @@
-"""The queries of this subpackage: `queries()` and, where SQL can express them, `oracle_sql()`."""
+"""The queries of this subpackage: `queries()` and, where SQL can express them, `oracle_sql()`.
+
+Each `opN_<name>` applies its operator with production parameters to the whole table. SQL is given for none: what
+can be written (1, 2, 5) takes DuckDB regular expressions and n-gram self-joins over whole texts that are too slow,
+and the rest are models, file formats and tokenizers. tests/llm holds every query against a brute-force version, an
+exact round trip or held-out accuracy.
+"""
 
 from __future__ import annotations
 
@@ -6,24 +12,52 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelquery.llm import bpe, decontam, tokenfile
+from reelquery.llm import bpe, decontam, langid, licenses, minhash, pii, sentences, tokenfile, toxicity, vectors
 from reelquery.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op1(spark, table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op2(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op3(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.op4(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.op5(spark, table(spark, sf_dir, "documents"))
+
+
+def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.op6(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op7(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op8(spark, table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op9(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.op10(spark, table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_decontaminate, op4_token_files, op7_bpe]
+    found = [op1_pii, op2_decontaminate, op3_language, op4_token_files, op5_minhash, op6_sentence_spans, op7_bpe, op8_licenses, op9_toxicity, op10_vectors]
     return {f.__name__: f for f in found}
 
 

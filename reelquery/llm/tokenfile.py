@@ -30,76 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelquery.llm.common import groups, new_path, shuffle_partitions
-from reelquery.llm.pieces import SEP, default_path, mark, tokenizer, valid
+from reelquery.llm.pieces import Pieces, default_path, spread, valid
 
 #: Ids in a block, pairs replaced in a round at most, rounds at most, and how often a pair must occur.
-BLOCK, PAIRS, ROUNDS, OFTEN = 1_000_000, 4096, 6, 16
-#: A worker forgets the words it has encoded beyond so many.
-PIECES = 300_000
+BLOCK, PAIRS, ROUNDS, OFTEN = 1_000_000, 4096, 5, 16
 
 BLOCK_SCHEMA = "part int, block int, n_docs int, n_tokens bigint, start bigint, base int, width int, rules binary, lengths binary, symbols binary, doc_ids array<bigint>, doc_tokens array<bigint>, doc_symbols array<bigint>"
 _ARROW = {"part": pa.int32(), "block": pa.int32(), "n_docs": pa.int32(), "n_tokens": pa.int64(), "start": pa.int64(), "base": pa.int32(), "width": pa.int32(), "rules": pa.binary(), "lengths": pa.binary(), "symbols": pa.binary(), "doc_ids": pa.list_(pa.int64()), "doc_tokens": pa.list_(pa.int64()), "doc_symbols": pa.list_(pa.int64())}
 
 
-class Memo(dict):
-    """A number for each piece of text; pieces met first are encoded together."""
-
-    def __missing__(self, piece: bytes) -> int:
-        n = self[piece] = len(self)
-        return n
-
-
-class Encoder:
-    """Ids of whole texts. Each distinct word goes through the tokenizer once, with its leading space."""
-
-    def __init__(self, path: str):
-        self.tokenizer = tokenizer(path)
-        self._forget()
-
-    def _learn(self) -> None:
-        if len(self.memo) == self.known:
-            return
-        new = list(self.memo)[self.known :]
-        ids: list[np.ndarray] = []
-        for at in range(0, len(new), 8192):
-            # A first piece carries SEP in front, others stand for a piece after a space.
-            part = [x[1:].decode() if x[:1] == SEP else " " + x.decode() for x in new[at : at + 8192]]
-            ids += [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
-        self.sizes = np.concatenate((self.sizes, sizes))
-        self.flat = np.concatenate([self.flat, *ids])
-        self.known = len(self.memo)
-
-    def add(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.memo) > PIECES:
-            self._forget()
-        pieces: list[bytes] = []
-        counts = []
-        for data in mark(texts):
-            own = data.split(SEP)
-            own[0] = SEP + own[0]
-            pieces += own
-            counts.append(len(own))
-        at = np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces))
-        self._learn()
-        sizes = self.sizes[at]
-        ids = self.flat[spread(self.starts[at], sizes)]
-        ends = np.cumsum(sizes)[np.cumsum(counts) - 1]
-        return np.split(ids, ends[:-1])
-
-    def _forget(self) -> None:
-        self.memo, self.known = Memo(), 0
-        self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-
-def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Indexes start, start+1, ... of each run, one run after the other."""
-    total = int(sizes.sum())
-    before = np.cumsum(sizes) - sizes
-    return np.repeat(starts - before, sizes) + np.arange(total)
-
-
 def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: (rules as pairs, symbols, symbols of each document). ends: ids up to the end of each document."""
     sym = ids.astype(np.uint32)
@@ -112,40 +51,52 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
         if len(sym) < 2 or count >= most:
             break
         left, right = sym[:-1], sym[1:]
-        code = (left.astype(np.uint64) << np.uint64(32)) | right
-        code[final[:-1]] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        order = np.sort(code)
-        heads = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
+        if base + most <= 65_536:  # a pair fits 32 bits, which sort twice as fast
+            code = (left << np.uint32(16)) | right
+        else:
+            code = (left.astype(np.uint64) << np.uint64(32)) | right
+        order = np.sort(code[~final[:-1]])
+        heads = np.flatnonzero(order[1:] != order[:-1]) + 1
+        heads = np.concatenate((np.zeros(min(1, len(order)), np.int64), heads))
         often = np.diff(np.concatenate((heads, [len(order)])))
-        values = order[heads]
-        good = (often >= OFTEN) & (values != np.uint64(0xFFFFFFFFFFFFFFFF))
-        values, often = values[good], often[good]
+        good = often >= OFTEN
+        values, often = order[heads[good]], often[good]
         if not len(values):
             break
         room = min(PAIRS, most - count)
         if len(values) > room:
             top = np.sort(np.argsort(-often, kind="stable")[:room])
             values = values[top]
-        slot = np.minimum(np.searchsorted(values, code), len(values) - 1)
-        hit = values[slot] == code
-        at = np.flatnonzero(hit)
+        # A bitmap of hashes leaves few places for the exact test.
+        may = np.zeros(1 << 16, np.bool_)
+        may[_fold(values)] = True
+        maybe = np.flatnonzero(may[_fold(code)] & ~final[:-1])
+        slot = np.minimum(np.searchsorted(values, code[maybe]), len(values) - 1)
+        exact = values[slot] == code[maybe]
+        maybe, slot = maybe[exact], slot[exact]
         # In a run of overlapping hits every second one is replaced, from the left.
-        run = np.concatenate(([True], np.diff(at) != 1))
-        first = at[run][np.cumsum(run) - 1]
-        at = at[(at - first) % 2 == 0]
-        used, which = np.unique(slot[at], return_inverse=True)
+        run = np.concatenate(([True], np.diff(maybe) != 1))
+        first = maybe[run][np.cumsum(run) - 1]
+        taken = (maybe - first) % 2 == 0
+        at = maybe[taken]
+        used, which = np.unique(slot[taken], return_inverse=True)
         sym[at] = base + count + which.astype(np.uint32)
         final[at] = final[at + 1]
         stay = np.ones(len(sym), np.bool_)
         stay[at + 1] = False
         sym, final = sym[stay], final[stay]
-        chosen = values[used]
-        rules.append(np.stack([(chosen >> np.uint64(32)).astype(np.uint32), (chosen & np.uint64(0xFFFFFFFF)).astype(np.uint32)], 1))
+        half = np.uint64(16 if code.dtype == np.uint32 else 32)
+        chosen = values[used].astype(np.uint64)
+        rules.append(np.stack([(chosen >> half).astype(np.uint32), (chosen & ((np.uint64(1) << half) - np.uint64(1))).astype(np.uint32)], 1))
         count += len(used)
     places = np.flatnonzero(final) + 1
     return np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), sym, np.diff(np.concatenate(([0], places)))
 
 
+def _fold(code: np.ndarray) -> np.ndarray:
+    return ((code * code.dtype.type(0x9E3779B1)) >> code.dtype.type(8)).astype(np.uint16)
+
+
 def lengths_of(rules: np.ndarray, base: int) -> np.ndarray:
     out = np.zeros(len(rules), np.uint32)
     for k, (a, b) in enumerate(rules.tolist()):
@@ -211,12 +162,12 @@ class Block:
         return s
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Pieces] = {}
 
 
 def _write(path: str, end_id: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.setdefault(path, Encoder(path))
+        encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Pieces(path))
         base = max(encoder.tokenizer.get_vocab_size(), end_id + 1)
         part = TaskContext.get().partitionId()
         ids: list[np.ndarray] = []
@@ -238,7 +189,7 @@ def _write(path: str, end_id: int, block: int):
             texts = [valid(x.as_py()) for x in batch.column(1)]
             own = batch.column(0).to_pylist()
             for i, j in groups(texts, 2 << 20):
-                for key, x in zip(own[i:j], encoder.add(texts[i:j]), strict=True):
+                for key, x in zip(own[i:j], encoder.ids(texts[i:j]), strict=True):
                     ids.append(np.concatenate((x, end)))
                     keys.append(key)
                     held += len(x) + 1
