@@ -50,24 +50,10 @@ def read_any(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
     head = first[0][0].lstrip() if first else ""
     if not head.startswith("[") and '"data"' not in head[:200]:
         return read_jsonl(spark, path, schema)
-    kind = schema if isinstance(schema, str) else schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
     whole = spark.read.text(path, wholetext=True)
-    field = F.from_json("value", f"array<struct<{_typed(kind)}>>") if head.startswith("[") else F.from_json("value", f"struct<data:array<struct<{_typed(kind)}>>>")["data"]
-    return whole.select(F.posexplode(field).alias("ord", "row")).where("row is not null").select(F.col("ord").cast("bigint"), "row.*")
-
-
-def _typed(kind: str) -> str:
-    """`a string, b int` as `a:string,b:int`."""
-    out, depth, word = [], 0, ""
-    for c in kind:
-        depth += (c in "<(") - (c in ">)")
-        if c == "," and not depth:
-            out.append(word.strip())
-            word = ""
-        else:
-            word += c
-    out.append(word.strip())
-    return ",".join(w.replace(" ", ":", 1) if ":" not in w.split("<")[0] else w for w in out)
+    elements = F.from_json("value", "array<string>") if head.startswith("[") else F.from_json("value", "data array<string>")["data"]
+    each = whole.select(F.posexplode(elements).alias("ord", "line")).withColumn("ord", F.col("ord").cast("bigint"))
+    return parsed(each.where("line is not null"), schema).where("not bad").select("ord", "row.*")
 
 
 def id_rows(spark: SparkSession, path: str) -> DataFrame:
