@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelquery.operators.order import one_per_key
+from reelquery.operators.order import numbered, one_per_key
 
 
 def by_text(left: DataFrame, meta: DataFrame, key: str, ord: str, keep: str = "first", how: str = "inner") -> DataFrame:
@@ -94,8 +94,7 @@ def upsert(base: DataFrame, patch: DataFrame, key: str, value: str, row: str) ->
     p = patch.select(key, F.col(value).alias("__new"))
     kept = base.join(p, key, "left").select(key, F.coalesce("__new", value).alias(value), row)
     new = p.join(base.select(key), key, "left_anti")
-    w = Window.orderBy(key)  # new keys only
-    new = new.withColumn("__rn", F.row_number().over(w)).crossJoin(F.broadcast(last)).select(key, F.col("__new").alias(value), (F.col("__last") + F.col("__rn")).alias(row))
+    new = numbered(new, [key], "__place", start=1).crossJoin(F.broadcast(last)).select(key, F.col("__new").alias(value), (F.col("__last") + F.col("__place")).alias(row))
     return kept.unionByName(new)
 
 

@@ -18,6 +18,22 @@ def numbered(df: DataFrame, by: list[str], name: str, start: int = 0) -> DataFra
     return inside.join(F.broadcast(shift), "__part").withColumn(name, (F.col("__before") + F.col("__rn") - 1 + start).cast("bigint")).drop("__part", "__rn", "__before")
 
 
+def running(df: DataFrame, by: list[str], sums: dict[str, str] | None = None, lasts: dict[str, str] | None = None) -> DataFrame:
+    """Adds running sums of columns (up to and with the row) and last values that aren't null, in order of `by` (whose values are distinct): sums and lasts map a new column to its source. Like `numbered`, it works range by range with one row a partition in between."""
+    sums, lasts = sums or {}, lasts or {}
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *by).withColumn("__part", F.spark_partition_id())
+    upto = Window.partitionBy("__part").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    at = F.struct(*by)
+    inside = ranged.withColumns({f"__s_{k}": F.sum(v).over(upto) for k, v in sums.items()} | {f"__l_{k}": F.last(v, ignorenulls=True).over(upto) for k, v in lasts.items()})
+    parts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(v).alias(f"__t_{k}") for k, v in sums.items()], *[F.max_by(F.col(v), F.when(F.col(v).isNotNull(), at)).alias(f"__e_{k}") for k, v in lasts.items()])
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
+    carry = parts.select("__part", *[F.sum(f"__t_{k}").over(before).alias(f"__b_{k}") for k in sums], *[F.last(f"__e_{k}", ignorenulls=True).over(before).alias(f"__c_{k}") for k in lasts])
+    out = inside.join(F.broadcast(carry), "__part")
+    new = {k: F.coalesce(f"__b_{k}", F.lit(0)) + F.coalesce(f"__s_{k}", F.lit(0)) for k in sums} | {k: F.coalesce(f"__l_{k}", f"__c_{k}") for k in lasts}
+    return out.select(*df.columns, *[c.alias(k) for k, c in new.items()])
+
+
 def shard(df: DataFrame, by: list[str], shards: int, which: int | None = None) -> DataFrame:
     """Deals rows round-robin in order of `by`: column shard is i % shards; with `which`, only that shard."""
     out = numbered(df, by, "__i").withColumn("shard", F.pmod("__i", F.lit(shards)).cast("int")).drop("__i")
@@ -67,7 +83,7 @@ def capped_per_group(df: DataFrame, group: str, ord: str, most: int, groups: int
     # A group opens at its first row and fills at its row `most`; the rest of the order is of groups, not rows.
     events = kept.where(F.col("__rn") == 1).select(F.col(ord).alias("__at"), F.lit(1).alias("o"), F.lit(0).alias("f"))
     events = events.union(kept.where(F.col("__rn") == most).select(F.col(ord), F.lit(0), F.lit(1)))
-    run = Window.orderBy("__at").rangeBetween(Window.unboundedPreceding, 0)
-    state = events.select("__at", F.sum("o").over(run).alias("seen"), F.sum("f").over(run).alias("full"))
+    opened = events.groupBy("__at").agg(F.sum("o").alias("o"), F.sum("f").alias("f"))
+    state = running(opened, ["__at"], sums={"seen": "o", "full": "f"})
     stop = state.where((F.col("seen") >= groups) & (F.col("seen") == F.col("full"))).agg(F.min("__at").alias("__stop"))
     return kept.crossJoin(F.broadcast(stop)).where(F.col("__stop").isNull() | (F.col(ord) <= F.col("__stop"))).drop("__rn", "__stop")

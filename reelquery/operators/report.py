@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelquery.functions.parse import stripped
+from reelquery.operators.order import running
 
 
 def categories(df: DataFrame, columns: list[str], unknown: str = "unknown") -> DataFrame:
@@ -28,8 +27,8 @@ def deltas(metrics: DataFrame, turn: str, names: list[str], digits: int = 6) ->
 
 def log_averages(df: DataFrame, step: str, names: list[str], cached: list[str] = (), digits: int = 6) -> DataFrame:
     """One row: the mean of each metric over the log; metrics in `cached` first take the last value seen where they are missing."""
-    w = Window.orderBy(step).rowsBetween(Window.unboundedPreceding, 0)  # a training log: one row a step
-    filled = reduce(lambda d, c: d.withColumn(c, F.last(c, ignorenulls=True).over(w)), cached, df)
+    filled = running(df, [step], lasts={f"__f_{c}": c for c in cached}) if cached else df
+    filled = filled.select(*[F.col(f"__f_{c}" if c in cached else c).alias(c) for c in names])
     return filled.agg(*[F.round(F.avg(c), digits).alias(c) for c in names])
 
 

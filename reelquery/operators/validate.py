@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reelquery.functions.parse import filled
 from reelquery.functions.temporal import clipped_segment, finite
+from reelquery.operators.order import running
 
 
 def first_reason(checks: list[tuple[str, Column]]) -> Column:
@@ -78,5 +79,5 @@ def loader_stats(df: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
 
 def within_bytes(df: DataFrame, size: str, ord: str, cap: int) -> DataFrame:
     """Rows of a dump until the bytes before a row reach the cap (checked before each row)."""
-    w = Window.orderBy(ord).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("__before", F.coalesce(F.sum(size).over(w), F.lit(0))).where(F.col("__before") < cap).drop("__before")
+    out = running(df, [ord], sums={"__upto": size})
+    return out.where(F.col("__upto") - F.coalesce(F.col(size), F.lit(0)) < cap).drop("__upto")
