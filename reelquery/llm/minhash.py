@@ -10,8 +10,12 @@ With M=11, A=3, two documents of Jaccard 0.8 share a table with probability 0.99
 3. In each bucket, every class is paired with the smallest one (no bucket is expanded into all pairs), pairs are
    confirmed, and confirmed links give provisional components.
 4. A bucket whose classes now lie in several components may hide links between classes that are both unlike the
-   smallest. There, classes of different components are paired and confirmed too; classes of one component need no
-   further link. So every pair that shares a bucket is either confirmed, refuted or already connected.
+   smallest. Classes of which too few shingles occur in any other such class can't be linked and leave. All others are
+   paired with a second pivot: of the largest component, the one with the fewest shingles of its own. Then classes
+   outside that component are paired with those of other components, unless the shingles they share with any class
+   are too few, or their distances (1 - Jaccard, a metric) from a pivot differ by more than a link allows. Classes of
+   one component need no further link. So every pair that shares a bucket is confirmed, refuted, ruled out by a bound,
+   or already connected.
 
 Scale: signatures are one row a document; exchanges carry ids and hashes, and the texts of candidates once by each
 end. Hot buckets are aggregated before the shuffle or joined by joins that split hot keys. Components are found by
@@ -32,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelquery.llm.common import cut
+from reelquery.llm.common import Scratch, cut
 from reelquery.llm.components import components, spread_join
 from reelquery.llm.words import WordHashes, mix, shingles, spaced_words
 
@@ -91,35 +95,38 @@ def _confirm(k: int, percent: int):
         last, held = None, None
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            good = []
+            good, far = [], []
             for i, x in enumerate(a):
                 if x != last:
                     last, held = x, shingle_set(batch.column(2)[i].as_py(), k)
                 other = shingle_set(batch.column(3)[i].as_py(), k)
-                if 100 * min(len(held), len(other)) < percent * max(len(held), len(other)):
-                    continue
                 both = len(np.intersect1d(held, other, assume_unique=True))
-                if 100 * both >= percent * (len(held) + len(other) - both):
-                    good.append((x, b[i]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in good], pa.int64()), pa.array([x for _, x in good], pa.int64())], names=["a", "b"])
+                union = len(held) + len(other) - both
+                good.append(100 * both >= percent * union)
+                far.append(1 - both / union)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_()), pa.array(far, pa.float64())], names=["a", "b", "linked", "far"])
 
     return run
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose full shingle sets reach the similarity. texts: id, text; sizes: id, n."""
+def confirm(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """a, b, linked (the full shingle sets reach the similarity) and far (1 - Jaccard) of pairs whose sizes allow a link. texts: id, text; sizes: id, n."""
+    own = Scratch(scratch.spark)
     near = spread_join(pairs, sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
     near = spread_join(near, sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    near = cut(near.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"))
+    near = own.keep(near.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"))
     wanted = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-    text = cut(spread_join(texts, wanted, "id", "left_semi"))
+    text = own.keep(spread_join(texts, wanted, "id", "left_semi"))
     both = spread_join(near, text.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     both = spread_join(both, text.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return cut(both.mapInArrow(_confirm(k, percent), "a bigint, b bigint"))
+    out = scratch.keep(both.mapInArrow(_confirm(k, percent), "a bigint, b bigint, linked boolean, far double"))
+    own.drop()
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: id, n (shingles), component (the smallest id reachable by links; the id itself if none)."""
+    scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("binary").alias("text"))
     signed = cut(rows.mapInArrow(_signatures(words), "id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>"))
     real = signed.where("n > 0 and id is not null")
@@ -130,36 +137,105 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     single = classes.select("id", F.posexplode("keys").alias("i", "key")).select("id", "i", F.xxhash64("i", "key").alias("key"))
     shared = single.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
     own = spread_join(single, shared, "key").groupBy("id").agg(F.collect_list(F.when(F.col("i") < M, F.col("key"))).alias("left"), F.collect_list(F.when(F.col("i") >= M, F.col("key"))).alias("right"))
-    own = cut(own.where("size(left) > 0 and size(right) > 0"))
+    own = scratch.keep(own.where("size(left) > 0 and size(right) > 0"))
 
     # 3. Buckets of the tensor product; each class with the smallest of its bucket.
     members = own.select("id", "right", F.explode("left").alias("l")).select("id", "l", F.explode("right").alias("r")).select(F.xxhash64("l", "r").alias("bucket"), "id")
-    buckets = cut(members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi"))
+    buckets = scratch.keep(members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi"))
     crowded = buckets.where("c > 2")
-    in_crowd = cut(spread_join(members, crowded.select("bucket", "lo"), "bucket"))
+    in_crowd = scratch.keep(spread_join(members, crowded.select("bucket", "lo"), "bucket"))
     pairs = buckets.where("c = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(in_crowd.where("id <> lo").select("lo", "id")).distinct()
-    pairs = cut(pairs)
+    pairs = scratch.keep(pairs)
     texts = rows.where("id is not null and text is not null")
-    links = confirm(pairs, texts, sizes, words, percent)
-    found = components(links)
-
-    # 4. Buckets over several components.
-    placed = spread_join(in_crowd.select("bucket", "id"), found.select(F.col("node").alias("id"), "comp"), "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("c")).where("x <> y and c > 2").select("bucket")
-    mixed = cut(spread_join(placed, mixed, "bucket"))
-    right = mixed.select("bucket", F.col("id").alias("b"), F.col("comp").alias("other"))
-    more = spread_join(mixed.withColumnRenamed("id", "a"), right, "bucket").where("a < b and comp <> other").select("a", "b").distinct()
-    more = cut(more.join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.union(confirm(more, texts, sizes, words, percent))
-        found = components(links)
-
+    tested = confirm(pairs, texts, sizes, words, percent, scratch)
+    found = components(tested.where("linked"))
+
+    # 4. Buckets over several components: a second pivot from the largest one, then what is left.
+    placed = _mixed(in_crowd.select("bucket", "id", "lo"), found, scratch)
+    if not placed.isEmpty():
+        placed = _linkable(placed, found, texts, sizes, words, percent, scratch)
+        best = F.struct((-F.col("common") / F.col("n")).alias("h"), "id")
+        pivots = _main(placed).groupBy("bucket").agg(F.min(best).alias("x")).select("bucket", F.col("x.id").alias("pivot"))
+        placed = scratch.keep(spread_join(placed.drop("comp"), pivots, "bucket"))
+        second = placed.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        second = scratch.keep(second.join(pairs, ["a", "b"], "left_anti"))
+        tested = tested.union(confirm(second, texts, sizes, words, percent, scratch))
+        found = components(tested.where("linked"))
+        placed = _mixed(placed, found, scratch)
+        if not placed.isEmpty():
+            more = scratch.keep(_rest(placed, tested, percent, scratch).join(pairs.union(second), ["a", "b"], "left_anti"))
+            tested = tested.union(confirm(more, texts, sizes, words, percent, scratch))
+            found = components(tested.where("linked"))
+
+    scratch.drop()
     # Every document by its class, every class by its component.
     of_set = classes.select("s1", "s2", F.col("id").alias("rep"))
     joined = _by_set(signed, of_set)
     return spread_join(joined, found.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("id", "n", F.coalesce("comp", "rep", "id").alias("component"))
 
 
+def _mixed(members: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of members (bucket, id, ...) with their component, of buckets that span several components."""
+    placed = spread_join(members, found.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
+    return scratch.keep(spread_join(placed, mixed, "bucket"))
+
+
+def _set_rows(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                part = batch.slice(i, 256)
+                sets = [shingle_set(x.as_py(), k).view(np.int64) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    return run
+
+
+def _linkable(placed: DataFrame, found: DataFrame, texts: DataFrame, sizes: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The members that may be linked to another one, with n and `common`: how many of their shingles another member has.
+
+    Two sets have no more in common than either has in common with all others; a member of which too few shingles
+    occur elsewhere is linked to none.
+    """
+    wanted = placed.select("id").distinct()
+    sets = scratch.keep(spread_join(texts, wanted, "id", "left_semi").mapInArrow(_set_rows(k), "id bigint, shingles array<bigint>"))
+    total = sets.groupBy("id").agg(F.sum(F.size("shingles")).alias("total"))
+    alone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    counts = total.join(alone, "id", "left").select("id", (F.col("total") - F.coalesce("alone", F.lit(0))).alias("common"))
+    kept = spread_join(placed.drop("comp"), counts.join(sizes, "id").where(100 * F.col("common") >= percent * F.col("n")), "id")
+    return _mixed(kept, found, scratch)
+
+
+def _main(placed: DataFrame) -> DataFrame:
+    """The rows that lie in their bucket's largest component."""
+    counts = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("x")).select("bucket", F.col("x.comp").alias("main"))
+    return spread_join(placed, largest, "bucket").where("comp = main")
+
+
+def _rest(placed: DataFrame, tested: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of a bucket's members in different components, one of them outside its largest, that may still be linked.
+
+    1 - Jaccard is a metric: with a pivot at distances x and y from two documents, they are at least |x - y| apart.
+    And they share no more shingles than the fewer that either shares with all others.
+    """
+    reach = 1 - percent / 100
+    known = tested.select(F.col("a").alias("p"), F.col("b").alias("id"), "far").union(tested.select("b", "a", "far"))
+    first = known.select(F.col("p").alias("lo"), "id", F.col("far").alias("d1"))
+    second = known.select(F.col("p").alias("pivot"), "id", F.col("far").alias("d2"))
+    rows = placed.join(first, ["lo", "id"], "left").join(second, ["pivot", "id"], "left")
+    rows = scratch.keep(rows.select("bucket", "id", "comp", "n", "common", F.when(F.col("id") == F.col("lo"), 0.0).otherwise(F.col("d1")).alias("d1"), F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.col("d2")).alias("d2")))
+    main = _main(rows).select("bucket", "main").distinct()
+    strays = spread_join(rows, main, "bucket").where("comp <> main").drop("main")
+    other = rows.select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("id", "comp", "n", "common", "d1", "d2")])
+    near = lambda d: F.coalesce(F.abs(F.col(d) - F.col(f"o_{d}")) <= reach + 1e-9, F.lit(True))
+    both = F.least("common", "o_common")
+    enough = 100 * both >= percent * (F.col("n") + F.col("o_n") - both)
+    pairs = spread_join(strays, other, "bucket").where((F.col("comp") != F.col("o_comp")) & enough & near("d1") & near("d2"))
+    return pairs.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
+
+
 def _by_set(signed: DataFrame, of_set: DataFrame) -> DataFrame:
     left = signed.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.struct("s1", "s2")).alias("s"))
     return spread_join(left, of_set.select(F.struct("s1", "s2").alias("s"), "rep"), "s", "left").select("id", "n", "rep")
@@ -170,11 +246,11 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     found = near_duplicates(docs, doc_id=doc_id, text=text, words=words, percent=percent)
     # An id stays if no row of it belongs to a smaller one.
     gone = found.where("component <> id").select(F.col("id").alias("__id")).distinct()
-    marked = docs.withColumn("__id", F.col(f"`{doc_id}`").cast("bigint"))
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{doc_id}`").cast("bigint").alias("__id"))
     kept = spread_join(marked, gone, "__id", "left_anti")
     once = Window.partitionBy("__id").orderBy(F.lit(1))
     ranked = kept.where("__id is not null").withColumn("__rn", F.row_number().over(once)).where("__rn = 1").drop("__rn")
-    return ranked.unionByName(kept.where("__id is null")).drop("__id").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return ranked.unionByName(kept.where("__id is null")).select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op5(spark: SparkSession, docs: DataFrame) -> DataFrame:
