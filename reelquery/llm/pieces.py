@@ -11,6 +11,7 @@ text with `<|` is cut at safe spaces only.
 from __future__ import annotations
 
 import os
+from operator import attrgetter
 
 import numpy as np
 import xxhash
@@ -104,6 +105,7 @@ def tokenizer(path: str):
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
+        t.model._resize_cache(0)  # pieces are told apart before they are encoded
         _TOKENIZERS[path] = t
     return _TOKENIZERS[path]
 
@@ -175,11 +177,14 @@ class Pieces:
         return self.at[at][back]
 
     def _learn(self, new: list[str]) -> None:
-        ids: list[np.ndarray] = []
-        for k in range(0, len(new), 8192):
-            ids += [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(new[k : k + 8192], add_special_tokens=False)]
+        ids: list[int] = []
+        counts: list[int] = []
+        for k in range(0, len(new), 2048):
+            for own in map(attrgetter("ids"), self.tokenizer.encode_batch_fast(new[k : k + 2048], add_special_tokens=False)):
+                ids += own
+                counts.append(len(own))
         self.encoded += len(new)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        sizes = np.array(counts, np.int64)
         self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
         self.sizes = np.concatenate((self.sizes, sizes))
-        self.flat = np.concatenate([self.flat, *ids])
+        self.flat = np.concatenate((self.flat, np.array(ids, np.int32)))
