@@ -9,7 +9,9 @@ compared once, in the cell of the smaller number of its two homes, and cells joi
 leave out cannot be linked, so no link is lost; a tolerance of 1e-9 covers rounding.
 
 Equal vectors are one class with a weight; a class links to itself as often as it has copies. Large cells are split
-into blocks of about `BLOCK` vectors, and pairs of blocks are the tasks, so no task holds an unbounded group.
+into blocks of about `BLOCK` vectors at home and `REPLICAS` replicas; a task is a pair of blocks of which one is at home
+(replicas need not meet), so no task holds an unbounded group. More pivots would not save comparisons where vectors
+fill the space evenly, but copy each into more cells.
 
 Scale: pivots are a sample of at most `MOST_PIVOTS` vectors (the only thing that is broadcast, 8 bytes a component);
 a task returns counts and a spanning forest of its links, never all links.
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 from reelquery.llm.common import cut
 from reelquery.llm.components import components, spread_join
 
-#: Pivots are a 64th of the vectors, 8 at least and so many at most; vectors in a block of a cell.
-MOST_PIVOTS, BLOCK = 512, 1024
+#: One pivot for so many vectors, 8 at least and MOST_PIVOTS at most; vectors of a block at home, and of one of replicas.
+PER_PIVOT, MOST_PIVOTS, BLOCK, REPLICAS = 2048, 512, 2048, 8192
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -91,15 +93,13 @@ def _join_blocks(cosine: float):
         home = group.column("home").to_numpy(zero_copy_only=False)
         block = group.column("block").to_numpy()
         first, second = key[1].as_py(), key[2].as_py()
-        left = np.flatnonzero(block == first)
-        right = left if first == second else np.flatnonzero(block == second)
+        left = np.flatnonzero(home & (block == first))
+        right = np.flatnonzero(~home) if second < 0 else left if first == second else np.flatnonzero(home & (block == second))
         count = np.zeros(len(ids), np.int64)
         ends: list[tuple[np.ndarray, np.ndarray]] = []
         for at in range(0, len(left), 512):
             rows = left[at : at + 512]
             good = x[rows] @ x[right].T >= cosine
-            # Two replicas never meet here: they meet where one of them is at home, or cannot be linked.
-            good &= home[rows][:, None] | home[right][None, :]
             if first == second:
                 good &= rows[:, None] < right[None, :]
             i, j = np.nonzero(good)
@@ -125,31 +125,39 @@ def _forest_of(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", cosine: float = 0.95) -> DataFrame:
     """One row per input row: id, n_links (other rows linked directly), component (the smallest id reachable by links)."""
     spark = vectors.sparkSession
-    v = F.transform(F.col(f"`{vector}`").cast("array<double>"), lambda x: x)
+    kind = "float" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "double"  # as stored; compared in double
+    v = F.col(f"`{vector}`").cast(f"array<{kind}>")
     good = F.size(v) > 0
     good &= ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(f"`{vec_id}`").cast("bigint").alias("id"), F.when(good, v).alias("v"))
     usable = rows.where("id is not null and v is not null")
     # Adding 0.0 makes -0.0 and 0.0 equal before they are compared as keys.
-    usable = usable.select("id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))
+    usable = usable.select("id", F.transform("v", lambda x: x + F.lit(0.0).cast(kind)).alias("v"))
     dims = usable.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     if not dims:
         return rows.select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component"))
     usable = usable.where(F.size("v") == dims[0]["dim"]).withColumn("vkey", F.xxhash64("v"))
     classes = cut(usable.groupBy("vkey", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w")))
     total = classes.count()
-    wanted = int(min(MOST_PIVOTS, max(8, total // 64)))
+    wanted = int(min(MOST_PIVOTS, max(8, total // PER_PIVOT)))
     part = min(1.0, 4.0 * wanted / total)
     sample = classes.where(F.pmod(F.xxhash64("vkey", F.lit(7)), F.lit(1 << 30)) < int(part * (1 << 30))).select("v").limit(8 * wanted + 64).collect()
     pool = unit(np.array([r[0] for r in sample] or [classes.select("v").first()[0]], np.float64))
     pivots = spread_pivots(pool, wanted)
     eps = float(np.sqrt(2 - 2 * cosine))
-    dealt = classes.select("id", "v", "w").mapInArrow(_assign(spark.sparkContext.broadcast(pivots), eps), "cell int, id bigint, v array<double>, w bigint, home boolean")
+    dealt = classes.select("id", "v", "w").mapInArrow(_assign(spark.sparkContext.broadcast(pivots), eps), f"cell int, id bigint, v array<{kind}>, w bigint, home boolean")
     dealt = cut(dealt)
-    sizes = {r[0]: -(-r[1] // BLOCK) for r in dealt.groupBy("cell").count().collect()}  # a row for each pivot at most
-    counts = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, n)])
-    blocked = dealt.withColumn("n", counts[F.col("cell")]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    pairs = blocked.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("cell", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "id", "v", "w", "home", "block")
+    sizes = {(r[0], r[1]): r[2] for r in dealt.groupBy("cell", "home").count().collect()}  # two rows for each pivot at most
+    blocks = {c: (-(-sizes.get((c, True), 0) // BLOCK), -(-sizes.get((c, False), 0) // REPLICAS)) for c, _ in sizes}
+    of_cell = [F.create_map(*[F.lit(x) for c, n in blocks.items() for x in (c, n[k])])[F.col("cell")] for k in (0, 1)]
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("home"), F.col("hb")).otherwise(F.col("rb"))).cast("int")
+    blocked = dealt.withColumn("hb", of_cell[0]).withColumn("rb", of_cell[1]).where("hb > 0").withColumn("block", own)
+    homes = F.sequence(F.lit(0), F.col("hb") - 1)
+    inside = F.transform(homes, lambda i: F.struct(F.least(F.col("block"), i).alias("x"), F.greatest(F.col("block"), i).alias("y")))
+    across = F.when(F.col("rb") > 0, F.transform(F.sequence(F.lit(1), F.greatest("rb", F.lit(1))), lambda k: F.struct(F.col("block").alias("x"), (-k).alias("y")))).otherwise(F.array().cast("array<struct<x:int,y:int>>"))
+    visits = F.transform(homes, lambda i: F.struct(i.alias("x"), (-1 - F.col("block")).alias("y")))
+    tasks = F.when(F.col("home"), F.concat(inside, across)).otherwise(visits)
+    pairs = blocked.withColumn("task", F.explode(tasks)).select("cell", "task.x", "task.y", "id", "v", "w", "home", "block")
     found = cut(pairs.groupBy("cell", "x", "y").applyInArrow(_join_blocks(cosine), "id bigint, other bigint, links bigint"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))

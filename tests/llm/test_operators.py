@@ -532,7 +532,9 @@ def test_vectors(spark):
 
 
 def test_vectors_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "BLOCK", 50)
+    monkeypatch.setattr(vectors, "BLOCK", 30)
+    monkeypatch.setattr(vectors, "REPLICAS", 70)
+    monkeypatch.setattr(vectors, "PER_PIVOT", 20)
     rng = np.random.default_rng(9)
     rows = [(i, (np.ones(8) + rng.normal(size=8) * 0.25).tolist()) for i in range(400)]
     got = {r["id"]: (r["n_links"], r["component"]) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
