@@ -44,8 +44,9 @@ def runs(data: bytes, span: int, min_words: int) -> tuple[list[tuple[int, int]],
     own: list[tuple[int, int]] = []
     words: list[bytes] = []
     counts: list[int] = []
+    low = data.translate(ALNUM)
     for a, b in sentences(data):
-        w = data[a:b].translate(ALNUM).split()
+        w = low[a:b].split()
         if not w and own:
             own[-1] = (own[-1][0], b)
         elif w:
