@@ -1,9 +1,11 @@
 """Operators of reelquery.llm against brute force, exact round trips and held-out accuracy, and on awkward tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -489,6 +491,54 @@ def test_toxicity_of_planted_words(spark):
     assert sum(got[i]["predicted"] == truth[i] for i in held) / len(held) > 0.97
 
 
+def brute_evidence(texts, text, d=0.75):
+    """log P(toxic) - log P(ordinary) of each word, alone and after the word before it, from plain counts."""
+    n = [Counter(), Counter()]
+    for t, toxic in texts:
+        w = t.split()
+        n[toxic].update(zip(["", *w], w))
+    n.append(n[0] + n[1])
+    follows = [Counter(w for _, w in x) for x in n]
+    types = [sum(x.values()) for x in follows]
+    size = len(follows[2])
+    even = d / max(types[2], d * (size + 1))
+    shared = lambda w: max(follows[2][w] - d, 0) / types[2] + even
+    whole = sum(map(shared, [*follows[2], "?"]))
+    low = [lambda w, k=k: (max(follows[k][w] - d, 0) + sum(min(d, x) for x in follows[k].values()) * shared(w) / whole) / types[k] for k in (0, 1)]
+
+    def p(k, c, w):
+        seen = sum(x for (a, _), x in n[k].items() if a == c)
+        own = low[k](w) if w in follows[2] else (low[0](w) + low[1](w)) / 2
+        if not seen:
+            return own
+        kept = {b: x - d for (a, b), x in n[k].items() if a == c}
+        return kept.get(w, 0) / seen + (1 - sum(kept.values()) / seen) * own
+
+    words = text.split()
+    alone = [math.log(low[1](w) / low[0](w)) if w in follows[2] else 0.0 for w in words]
+    return alone, [math.log(p(1, c, w) / p(0, c, w)) for c, w in zip(["", *words], words)]
+
+
+@pytest.mark.parametrize("cached", [0, 12, 300_000])
+def test_toxicity_counts_every_word_and_pair(spark, monkeypatch, cached):
+    monkeypatch.setattr(toxicity, "MOST_CACHED", cached)
+    monkeypatch.setattr(toxicity, "FILTER_BITS", 1 << 7 if cached == 12 else 1 << 20)
+    rng = random.Random(5)
+    common = [f"w{i}" for i in range(12)]
+    texts = [(" ".join(rng.choice(common) if rng.random() < 0.7 else f"{'bad' if i % 3 == 0 else 'rare'}{rng.randrange(400)}" for _ in range(rng.randint(1, 25))), int(i % 3 == 0)) for i in range(160)]
+    other = " ".join([texts[0][0], "never seen", texts[1][0], "never"])
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)] + [(1000, other), (1001, other)], "doc_id bigint, text string")
+    known = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(texts)], "doc_id bigint, toxic int")
+    got = rows_of(toxicity.score(docs, known, train="id < 120", calibrate="id between 120 and 999", keep=["doc_id"]).select("__row.doc_id", "whole", "whole_alone", "top_alone"))
+    for i, t in [*((i, t) for i, (t, _) in enumerate(texts)), (1000, other), (1001, other)]:
+        alone, given = ([max(-6, min(6, x)) for x in e] for e in brute_evidence(texts[:120], t))
+        assert got[i]["whole"] == pytest.approx(sum(given) / len(given), abs=1e-9)
+        assert got[i]["whole_alone"] == pytest.approx(sum(alone) / len(alone), abs=1e-9)
+        assert got[i]["top_alone"] == pytest.approx(sum(sorted(alone)[-3:]) / 3, abs=1e-9)
+    kept = toxicity.reject_toxic(docs, known, threshold=1.1, train="id < 120", calibrate="id between 120 and 999")
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, docs.collect()))
+
+
 def test_toxicity_awkward(spark):
     got = toxicity.op9(spark, weird(spark), labels(spark)).collect()
     assert len(got) == 13 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
