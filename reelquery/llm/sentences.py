@@ -1,8 +1,9 @@
 """Substring dedup by sliding spans of sentences.
 
 A sentence ends at a line break, or at `.`, `!` or `?` before white space; text without a word belongs to the
-sentence before it. Every run of `span` consecutive sentences (all sentences, if a document has fewer) whose words
-number `min_words` or more is hashed by its words, case and punctuation aside. A run's first place is in the document
+sentence before it. From each sentence on, a run of `span` sentences (all, if a document has fewer) grows by further
+ones until it has `min_words` words, and one of two sentences counts as well if it has `LONG_WORDS`. Each is hashed by
+its words, case and punctuation aside; what the document's end cuts off below `min_words` is no run. A run's first place is in the document
 of the smallest id, at its first occurrence there. All sentences covered by a run elsewhere are removed.
 
 Scale: one row per distinct run hash of a document goes through an aggregation (smallest and largest id of each hash)
@@ -27,10 +28,12 @@ from reelquery.llm.common import ROW
 from reelquery.llm.components import spread_join
 from reelquery.llm.words import ALNUM, WordHashes, mix
 
-#: Sentences in a run; words that a run must have.
-SPAN, MIN_WORDS = 3, 12
+#: Sentences in a run; words that a run must have; words that make a run of two sentences.
+SPAN, MIN_WORDS, LONG_WORDS = 3, 12, 24
 _END = re.compile(rb"(?<=[.!?])[\x20\t]+|[\r\n]+")
 _HASHES = WordHashes()
+_FACTOR = 0xD6E8FEB86659FD93
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
 
 
 def sentences(data: bytes) -> list[tuple[int, int]]:
@@ -39,8 +42,8 @@ def sentences(data: bytes) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
 
-def runs(data: bytes, span: int, min_words: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """The sentences that have words, and the hash of each run with the index of its first sentence."""
+def runs(data: bytes, span: int, min_words: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray]:
+    """The sentences that have words, and the hash of each run with the index of its first sentence and of the one behind it."""
     own: list[tuple[int, int]] = []
     words: list[bytes] = []
     counts: list[int] = []
@@ -54,7 +57,7 @@ def runs(data: bytes, span: int, min_words: int) -> tuple[list[tuple[int, int]],
             words += w
             counts.append(len(w))
     if not own:
-        return own, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return own, *[np.zeros(0, np.int64)] * 3
     h = _HASHES.of(words)
     ends = np.cumsum(counts)
     starts = ends - counts
@@ -62,13 +65,23 @@ def runs(data: bytes, span: int, min_words: int) -> tuple[list[tuple[int, int]],
     place = np.arange(len(h)) - np.repeat(starts, counts)
     each = np.add.reduceat(mix(h + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), starts)
     each = mix(each + np.asarray(counts, np.uint64))
-    k = min(span, len(own))
-    out = np.full(len(own) - k + 1, k, np.uint64)
-    for i in range(k):
-        out = out * np.uint64(0xD6E8FEB86659FD93) + each[i : len(own) - k + 1 + i]
-    size = ends[k - 1 :] - starts[: len(own) - k + 1]
-    at = np.flatnonzero(size >= min_words)
-    return own, mix(out)[at].view(np.int64), at
+    at = np.arange(len(own))
+    behind = np.maximum(at + min(span, len(own)), np.searchsorted(ends, starts + min_words) + 1)
+    full = behind <= len(own)
+    at, behind = at[full], behind[full]
+    if span > 2 and len(own) > 2:
+        pair = np.flatnonzero(ends[1:] - starts[:-1] >= max(LONG_WORDS, min_words))
+        at, behind = np.concatenate((at, pair)), np.concatenate((behind, pair + 2))
+    # A polynomial over the sentences from running sums; the factor's inverse takes the place in the document out.
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(each * _powers(_FACTOR, len(own)), dtype=np.uint64)))
+    out = (sums[behind] - sums[at]) * _powers(_INVERSE, len(own))[at] + (behind - at).astype(np.uint64)
+    return own, mix(out).view(np.int64), at, behind
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    out = np.full(n, factor, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
 def _hashes(span: int, min_words: int):
@@ -85,13 +98,12 @@ def _clean(span: int, min_words: int):
         for batch in batches:
             texts, counts, removed, spans = [], [], [], []
             for data, gone in zip((x.as_py() for x in batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                own, h, at = runs(data, span, min_words) if data else ([], (), ())
-                k = min(span, len(own))
+                own, h, *places = runs(data, span, min_words) if data else ([], np.zeros(0, np.int64), *[np.zeros(0, np.int64)] * 2)
                 drop = np.zeros(len(own), np.bool_)
                 seen, bad = set(), set(gone or ())
-                for x, i in zip(h.tolist() if len(own) else (), at.tolist() if len(own) else (), strict=True):
+                for x, i, j in zip(h.tolist(), *(p.tolist() for p in places), strict=True):
                     if x in bad or x in seen:
-                        drop[i : i + k] = True
+                        drop[i:j] = True
                     seen.add(x)
                 if drop.any():
                     edges = np.flatnonzero(np.diff(np.concatenate(([False], drop, [False])).astype(np.int8))).tolist()

@@ -375,6 +375,50 @@ def test_sentence_spans_of_documents(spark, docs):
     assert all(got[i]["text"] == t for i, t, _ in docs if not want[i][1])
 
 
+def brute_grown(rows, span=3, least=12, long=24):
+    """Sentences and removed sentences of each document when runs grow to `least` words and two sentences of `long` words are a run."""
+    first, split, out = {}, {}, {}
+    for i, t in sorted(rows):
+        own = []
+        for s in re.findall(r"[^\r\n]+?(?:(?<=[.!?])[ \t]+|$|(?=[\r\n]))", t or ""):
+            w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", lower(s))
+            if w:
+                own.append(tuple(w))
+        found = []
+        for a in range(len(own)):
+            b = a + min(span, len(own))
+            while b < len(own) and sum(map(len, own[a:b])) < least:
+                b += 1
+            ends = [b] if b <= len(own) and sum(map(len, own[a:b])) >= least else []
+            if a + 2 <= len(own) and len(own) > 2 and sum(map(len, own[a : a + 2])) >= long:
+                ends.append(a + 2)
+            found += [(tuple(own[a:b]), a, b) for b in ends]
+        split[i] = own, found
+        for r, _, _ in found:
+            first.setdefault(r, i)
+    for i, (own, found) in split.items():
+        gone, mine = set(), set()
+        for r, a, b in found:
+            if first[r] != i or r in mine:
+                gone |= set(range(a, b))
+            mine.add(r)
+        out[i] = len(own), len(gone)
+    return out
+
+
+def test_sentence_runs_grow(spark, docs):
+    short = " ".join(f"{w}!" for w in "one two three four five six seven eight nine ten eleven twelve thirteen fourteen".split())
+    long = " ".join(f"l{i}" for i in range(30)) + ". " + " ".join(f"m{i}" for i in range(30)) + "."
+    rows = [(1, short), (2, short), (3, f"Alone in three.\n{long}\nOwn end three."), (4, f"Alone in four.\n{long}\nOwn end four."), (5, "Too short. To be. A run."), (6, "Too short. To be. A run.")]
+    got = rows_of(sentences.op6(spark, spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert got[1]["text"] == short and got[2]["text"] == "" and got[2]["n_removed"] == 14
+    assert got[3]["text"] == rows[2][1] and got[4]["text"].split() == "Alone in four. Own end four.".split()
+    assert got[6]["text"] == rows[5][1]  # fewer than 12 words in all
+    all_rows = [(i, t) for i, t, _ in docs]
+    got = rows_of(queries.op6_sentence_spans(spark, SF))
+    assert {i: (r["n_sentences"], r["n_removed"]) for i, r in got.items()} == brute_grown(all_rows)
+
+
 def test_sentence_spans_awkward(spark):
     got = sentences.op6(spark, weird(spark)).collect()
     assert len(got) == 13
