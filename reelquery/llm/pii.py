@@ -1,20 +1,21 @@
 """Information-theoretic sanitisation of personal data, with DataFrame and SQL functions only.
 
 Base patterns find the protected entities: e-mail addresses, IP addresses, card numbers and phone numbers. Terms
-(words of three letters or more) that stand within `WINDOW` code points of an entity may reveal it. Corpus counts
-estimate how much: with N documents, n(e) texts holding the entity, n(t) documents holding the term and n(t, e) texts
-in which the term stands near the entity, the pointwise mutual information log2(n(t,e) N / (n(t) n(e))) is divided
-by the entity's own information log2(N / n(e)). The quotient is 1 if the term occurs nowhere else, and about 0 if it is
-independent. A term that reaches `GENERALISE` in at least `SUPPORT` different surroundings of an entity is
-generalised wherever it stands near that entity; one that reaches `REMOVE` is removed. Entities become their kind.
+(words of three letters or more outside entities) in a text that holds an entity may reveal it, wherever they stand.
+Counts over distinct texts estimate how much: with N texts, n(e) of them holding the entity, n(t) the term and n(t, e)
+both, the pointwise mutual information log2(n(t,e) N / (n(t) n(e))) is divided by the entity's own information
+log2(N / n(e)). The quotient is 1 if the term occurs nowhere else, and about 0 if it is independent. A term that
+reaches `GENERALISE` is generalised wherever it stands in a text with the entity, and removed if it reaches `REMOVE`.
+Support: the texts with both must show the entity in at least `SUPPORT` different surroundings (`WINDOW` code points on
+each side), as every word of a text is bound to an entity that occurs in one place only. Entities become their kind.
 
 Patterns are written with possessive quantifiers and look-behind so that matching is linear in the text; they match
 what the plain patterns match, leftmost and without overlap.
 
-Scale: texts are scanned for contexts, for term counts (aggregated before the shuffle) and for the result; what is
-shuffled are terms near entities, counts, and each document's key with its spans (the text too when it is rewritten).
-Hot entities and terms are aggregated first or joined by joins that split hot keys; nothing is broadcast or collected
-but the number of documents.
+Scale: texts are shuffled once to count copies as one, and once more, with their spans, to meet their terms. Terms are
+paired only with entities of enough surroundings, as no other pair can have the support; pairs and counts are
+aggregated before their shuffles. Hot texts, entities and terms are joined by joins that split hot keys; nothing is
+broadcast or collected but the number of texts.
 
 Defined results: null text is empty for the counts and stays null when rewritten; an empty table gives an empty
 result; repeated rows get the same spans; columns of any name are carried along; spans that overlap are rewritten as
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquery.llm.common import cut
+from reelquery.llm.common import Scratch, cut
 from reelquery.llm.components import spread_join
 
 KINDS = ("email", "ip", "card", "phone", "term", "gone")
@@ -40,7 +41,7 @@ PATTERNS = {
 #: A cheap test that a text can hold the pattern at all.
 _HINT = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Code points on each side of an entity; different surroundings a term must have; disclosure to generalise, to remove.
+#: Code points on each side of an entity that are its surroundings; how many of them a term must have; disclosure to generalise, to remove.
 WINDOW, SUPPORT, GENERALISE, REMOVE = 48, 3, 0.85, 0.97
 _TERM = r"[\p{L}][\p{L}\p{N}_]{2,}+"
 _SPANS = "array<struct<s:int,k:int,e:int,v:string>>"
@@ -112,65 +113,81 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat(_name(x["k"]), F.lit(":"), x["s"].cast("string"), F.lit(":"), x["e"].cast("string"))), ",")
 
 
-def _contexts(rows: DataFrame) -> DataFrame:
-    """Terms near entities: row, doc (a hash of the text), entity, around (a hash of the surroundings), term, s, e."""
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with a space for each code point of a span."""
+    return _replaced(text, spans, lambda x: F.repeat(F.lit(" "), x["e"] - x["s"]))
+
+
+def _words(masked: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(masked, F.lit(_TERM), F.lit(0)), F.lower))
+
+
+def _kinds_at(masked: Column, terms: Column) -> Column:
+    """Spans of the terms (structs term, k) in a text; k is the term's."""
+    pairs = F.zip_with(F.split(masked, _TERM, -1), F.regexp_extract_all(masked, F.lit(_TERM), F.lit(0)), lambda gap, v: F.struct(F.length(gap).alias("g"), v.alias("v")))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["p"] + x["g"]
+        end = start + F.length(x["v"])
+        own = F.filter(terms, lambda t: t["term"] == F.lower(x["v"]))
+        more = F.transform(own, lambda t: F.struct(start.alias("s"), t["k"].alias("k"), end.alias("e"), F.lit("").alias("v")))
+        return F.struct(end.alias("p"), F.when(F.size(own) == 0, acc["o"]).otherwise(F.concat(acc["o"], more)).alias("o"))
+
+    start = F.struct(F.lit(0).alias("p"), _none().alias("o"))
+    return F.aggregate(F.filter(pairs, lambda x: x["v"].isNotNull()), start, step, lambda acc: acc["o"])
+
+
+def _entities(texts: DataFrame) -> DataFrame:
+    """doc, entity and around (a hash of its surroundings) of each entity of the distinct texts (doc, text, base)."""
     t = F.col("text")
-    some = rows.where(t.contains("@") | t.rlike("[0-9]")).withColumn("base", base_spans(t)).where(F.size("base") > 0)
-    each = some.select("row", F.xxhash64(t).alias("doc"), "text", "base", F.explode("base").alias("x"))
+    each = texts.where(F.size("base") > 0).select("doc", "text", F.explode("base").alias("x"))
     s, e = F.col("x.s"), F.col("x.e")
     first = F.greatest(s - WINDOW, F.lit(0))
-    each = each.select(
-        "row",
+    return each.select(
         "doc",
-        "base",
         F.xxhash64(_name(F.col("x.k")), F.when(F.col("x.k") == 0, F.lower("x.v")).otherwise(_digits(F.col("x.v")))).alias("entity"),
-        first.alias("first"),
-        e.alias("behind"),
-        F.substring(t, first + 1, s - first).alias("pre"),
-        F.substring(t, e + 1, F.lit(WINDOW)).alias("post"),
-    )
-    # A word at the outer edge of a window may be part of a longer one.
-    pre = F.filter(found(F.col("pre"), _TERM, 4), lambda x: (x["s"] > 0) | (F.col("first") == 0))
-    post = F.filter(found(F.col("post"), _TERM, 4), lambda x: x["e"] < WINDOW)
-    shifted = F.concat(_moved(pre, F.col("first")), _moved(post, F.col("behind")))
-    free = F.filter(shifted, lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    out = each.select("row", "doc", "entity", F.xxhash64("pre", "post").alias("around"), F.explode(free).alias("x"))
-    return out.select("row", "doc", "entity", "around", F.lower("x.v").alias("term"), F.col("x.s").alias("s"), F.col("x.e").alias("e"))
-
-
-def _moved(spans: Column, by: Column) -> Column:
-    return F.transform(spans, lambda x: F.struct((x["s"] + by).alias("s"), x["k"].alias("k"), (x["e"] + by).alias("e"), x["v"].alias("v")))
-
-
-def disclosures(rows: DataFrame, near: DataFrame, *, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
-    """pair (hash of entity and term) and disclosure of each term that reaches the threshold for an entity."""
-    total = rows.count()
-    both = near.select("entity", "term", "doc", "around").distinct()
-    texts = both.select("entity", "term", "doc").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("nte"))
-    placed = both.select("entity", "term", "around").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("places")).where(F.col("places") >= support)
-    joint = texts.join(placed.select("entity", "term"), ["entity", "term"], "left_semi")
-    holding = near.select("entity", "doc").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("ne"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(_TERM), F.lit(0)))
-    counts = rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
+        F.xxhash64(F.substring(t, first + 1, s - first), F.substring(t, e + 1, F.lit(WINDOW))).alias("around"),
+    ).distinct()
+
+
+def disclosures(rows: DataFrame, *, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
+    """doc (hash of a text), term and disclosure of each term that reaches the threshold for an entity of that text; rows have doc, text and base."""
+    scratch = Scratch(rows.sparkSession)
+    texts = rows.select("doc", "text", "base").dropDuplicates(["doc"])
+    seen = scratch.keep(texts.select("doc", "base", F.when(F.size("base") > 0, F.col("text")).alias("text"), _words(_masked(F.col("text"), F.col("base"))).alias("words")))
+    total = float(max(seen.count(), 1))
+    held = scratch.keep(_entities(seen))
+    often = held.select("entity", "around").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("entity")
+    placed = scratch.keep(spread_join(held, often, "entity"))
+    own = placed.select("entity", "doc").distinct()
+    holding = own.groupBy("entity").agg(F.count(F.lit(1)).alias("ne"))
+    both = spread_join(placed.groupBy("doc", "entity").agg(F.collect_set("around").alias("arounds")), seen.where(F.size("base") > 0).select("doc", "words"), "doc")
+    both = both.select("doc", "entity", "arounds", F.explode("words").alias("term"))
+    joint = both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("nte"))
+    counts = seen.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
     scored = spread_join(spread_join(joint, holding, "entity"), counts, "term")
-    own = F.greatest(F.log2(F.lit(float(max(total, 1))) / F.col("ne")), F.lit(1e-9))
-    share = F.log2(F.col("nte") * F.lit(float(max(total, 1))) / (F.greatest("nt", "nte") * F.col("ne"))) / own
-    return scored.select(F.xxhash64("entity", "term").alias("pair"), share.alias("disclosure")).where(F.col("disclosure") >= threshold)
+    bits = F.greatest(F.log2(F.lit(total) / F.col("ne")), F.lit(1e-9))
+    share = F.log2(F.col("nte") * total / (F.col("nt") * F.col("ne"))) / bits
+    reach = scored.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= threshold)
+    places = both.select("entity", "term", F.explode("arounds").alias("around")).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("places")).where(F.col("places") >= support)
+    reach = reach.join(places.select("entity", "term"), ["entity", "term"], "left_semi")
+    pair = F.xxhash64("entity", "term").alias("pair")
+    found_terms = spread_join(both.select("doc", "term", pair), reach.select(pair, "disclosure"), "pair")
+    out = cut(found_terms.groupBy("doc", "term").agg(F.max("disclosure").alias("disclosure")))
+    scratch.drop()
+    return out
 
 
 def spans_of(docs: DataFrame, *, text: str = "text", carry: list[str], with_text: bool) -> DataFrame:
     """Per row: the carried columns (as `__row`), base (base spans), spans (all of them, by start and then kind) and, if asked for, text."""
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`")) if carry else F.xxhash64(F.col(f"`{text}`"))
     row = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
-    rows = docs.select(key.alias("row"), row.alias("__row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    near = cut(_contexts(rows.select("row", "text")))
-    found_terms = disclosures(rows.select("text"), near)
-    pairs = near.select("row", F.xxhash64("entity", "term").alias("pair"), "s", "e")
-    added = spread_join(pairs, found_terms, "pair").select("row", F.struct("s", F.when(F.col("disclosure") >= REMOVE, F.lit(5)).otherwise(F.lit(4)).alias("k"), "e", F.lit("").alias("v")).alias("x"))
-    added = added.groupBy("row").agg(F.collect_set("x").alias("added"))
-    with_base = rows.select("row", "__row", base_spans(F.col("text")).alias("base"), *(["text"] if with_text else []))
-    out = spread_join(with_base, added, "row", "left")
-    more = F.coalesce(F.col("added").cast(_SPANS), _none())
+    rows = docs.select(row.alias("__row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    t = F.col("text")
+    rows = rows.select("__row", "text", F.xxhash64(t).alias("doc"), F.when(t.contains("@") | t.rlike("[0-9]"), base_spans(t)).otherwise(_none()).alias("base"))
+    kinds = F.struct("term", F.when(F.col("disclosure") >= REMOVE, F.lit(5)).otherwise(F.lit(4)).alias("k"))
+    terms = disclosures(rows).groupBy("doc").agg(F.collect_set(kinds).alias("terms"))
+    out = spread_join(rows, terms, "doc", "left")
+    more = F.when(F.col("terms").isNull(), _none()).otherwise(_kinds_at(_masked(t, F.col("base")), F.col("terms")))
     return out.select("__row", "base", F.array_sort(F.concat("base", more)).alias("spans"), *(["text"] if with_text else []))
 
 
@@ -184,16 +201,19 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(spans, F.array().cast("array<struct<s:int,k:int,e:int>>"), step)
 
 
-def rewritten(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; removed terms leave nothing."""
+def _replaced(text: Column, spans: Column, label) -> Column:
     plan = _merged(spans)
     before = F.concat(F.array(F.lit(0)), F.transform(plan, lambda x: x["e"]))
-    label = lambda k: F.when(k == 5, F.lit("")).otherwise(F.concat(F.lit("["), F.upper(_name(k)), F.lit("]")))
-    parts = F.transform(F.arrays_zip(plan.alias("x"), F.slice(before, 1, F.size(plan)).alias("p")), lambda z: F.concat(F.substring(text, z["p"] + 1, z["x"]["s"] - z["p"]), label(z["x"]["k"])))
+    parts = F.transform(F.arrays_zip(plan.alias("x"), F.slice(before, 1, F.size(plan)).alias("p")), lambda z: F.concat(F.substring(text, z["p"] + 1, z["x"]["s"] - z["p"]), label(z["x"])))
     tail = F.substring(text, F.element_at(before, -1) + 1, F.length(text))
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(parts, ""), tail))
 
 
+def rewritten(text: Column, spans: Column) -> Column:
+    """The text with each span replaced by its kind in brackets; removed terms leave nothing."""
+    return _replaced(text, spans, lambda x: F.when(x["k"] == 5, F.lit("")).otherwise(F.concat(F.lit("["), F.upper(_name(x["k"])), F.lit("]"))))
+
+
 def sanitize(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """The documents with entities replaced by their kind and disclosing terms generalised or removed; n_chars, if there, follows."""
     found_spans = spans_of(docs, text=text, carry=docs.columns, with_text=True).withColumn("new", rewritten(F.col("text"), F.col("spans")))

@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from reelquery.llm import bpe, components, decontam, langid, licenses, minhash, pii, pieces, queries, sentences, tokenfile, toxicity, vectors
@@ -123,6 +124,28 @@ def test_pii_terms_that_disclose(spark):
     assert "today" in got[0]["text"]
 
 
+@pytest.mark.parametrize("copies", [1, 40])
+def test_pii_copies_count_once(spark, copies):
+    texts = [f"note {i}: Karl{' from Berlin' * (i == 1)} wrote as k@mail.org on day {i}" for i in range(3)]
+    rows = [(1000 * i + j, t) for i, t in enumerate(texts) for j in range(copies)]
+    rows += [(10_000 + i, f"nobody wrote as number {i} on day {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = rows_of(pii.sanitize(df))
+    assert all("Karl" not in got[i]["text"] and "wrote" in got[i]["text"] for i, _ in rows if i < 10_000)
+    assert "Berlin" in got[1000]["text"]  # in one text only: no support
+    scores = {r["term"]: r["disclosure"] for r in pii.disclosures(df.select("text", F.xxhash64("text").alias("doc"), pii.base_spans(F.col("text")).alias("base"))).collect()}
+    assert scores["karl"] == pytest.approx(1) and "wrote" not in scores
+
+
+def test_pii_terms_far_from_their_entity(spark):
+    far = " ".join(f"word{j % 9}" for j in range(60))
+    rows = [(i, f"Rosalind heads section {i}. {far} mail {i} to r@mail.org at {i} or so. {far} yours, ROSALIND") for i in range(4)]
+    rows += [(100 + i, f"section {i} has {far} mail at {i} or so, yours") for i in range(200)]
+    got = rows_of(pii.sanitize(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert all("rosalind" not in got[i]["text"].lower() and "yours" in got[i]["text"] for i in range(4))
+    assert all(got[i]["text"] == t for i, t in rows if i >= 100)
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------
 
 
