@@ -172,6 +172,11 @@ def round_robin_shards(t: Tables) -> DataFrame:
     return order.shard(t.events.where("event_id % 7 > 0").select("event_id", "ts"), ["ts", "event_id"], 5).select("event_id", "shard")
 
 
+@query()
+def round_robin_shards_whole(t: Tables) -> DataFrame:
+    return order.shard(t.events.select("event_id", "ts"), ["ts", "event_id"], 5).select("event_id", "shard")
+
+
 @query("SELECT event_id, row_number() OVER (ORDER BY value, event_id) - 1 AS problem_id FROM events")
 def contiguous_ids(t: Tables) -> DataFrame:
     return order.numbered(t.events.select("event_id", "value"), ["value", "event_id"], "problem_id").select("event_id", "problem_id")

@@ -66,6 +66,13 @@ def seconds_text(t: Tables) -> DataFrame:
     return x.select("id", temporal.seconds_text(F.col("x")).alias("seconds"))
 
 
+@query()
+def seconds_text_whole(t: Tables) -> DataFrame:
+    # All rows; ties in the seventh decimal round half up, which SQL doesn't follow.
+    x = t.events.selectExpr("event_id AS id", "CASE event_id % 3 WHEN 0 THEN CAST(event_id AS DOUBLE) WHEN 1 THEN CAST(event_id AS DOUBLE) / 8 ELSE CAST(event_id % 1000 AS DOUBLE) / 1024 END AS x")
+    return x.select("id", temporal.seconds_text(F.col("x")).alias("seconds"))
+
+
 _FRAMES = "WITH f AS (SELECT event_id AS id, CAST(event_id % 97 AS DOUBLE) / 4 AS s, CAST(event_id % 97 + 1 + event_id % 23 AS DOUBLE) / 4 AS e, CAST(8 + event_id % 23 AS DOUBLE) AS fps, 40 + event_id % 900 AS total, 100 + event_id % 1900 AS h, 80 + event_id % 1700 AS w FROM events)"
 
 
@@ -161,6 +168,13 @@ def judge_response(t: Tables) -> DataFrame:
     return _responses(t).where("id % 6 <> 2").select("id", p["label"].alias("label"), p["reasoning"].alias("reasoning"), p["start"].alias("s"), p["end"].alias("e"), p["parsed_ok"].alias("parsed_ok"), s["think"].alias("think"))
 
 
+@query()
+def judge_response_whole(t: Tables) -> DataFrame:
+    # All six forms of response, also the one that SQL doesn't model.
+    p, s = parse.full_response(F.col("x")), parse.think_split(F.col("x"))
+    return _responses(t).select("id", p["label"].alias("label"), p["reasoning"].alias("reasoning"), p["start"].alias("s"), p["end"].alias("e"), p["parsed_ok"].alias("parsed_ok"), s["think"].alias("think"))
+
+
 @query("SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS key FROM documents")
 def text_keys(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(parse.text_key(F.col("text")).cast("binary")).alias("key"))
@@ -250,6 +264,11 @@ def bad_queries(t: Tables) -> DataFrame:
     return t.documents.select(parse.bad_query(q).alias("bad")).groupBy("bad").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def bad_queries_whole(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", parse.bad_query(F.col("text")).alias("bad"))
+
+
 @query("WITH x AS (SELECT event_id AS id, value, 1 + abs(event_id % 173) AS d FROM events) SELECT CASE WHEN d <= 2 THEN d::VARCHAR WHEN d <= 5 THEN '3-5' WHEN d <= 10 THEN '6-10' WHEN d <= 20 THEN '11-20' WHEN d <= 50 THEN '21-50' WHEN d <= 100 THEN '51-100' ELSE '101+' END AS bucket, count(*) AS n FROM x GROUP BY 1")
 def rank_step_buckets(t: Tables) -> DataFrame:
     return t.events.groupBy(parse.rank_step_bucket(1 + F.col("event_id") % 173).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
