@@ -1,7 +1,7 @@
 """Token files: ids in Re-Pair compressed blocks that any document, or any token of one, can be read from.
 
 Documents are dealt to shards by ranges of their id and sorted. Each shard is written as blocks of about a million
-ids. In a block, the most frequent pairs of neighbouring ids are replaced by nonterminals, round after round, until
+ids. In a block, the most frequent pairs of neighbouring ids are replaced by nonterminals, in at most `ROUNDS` rounds or until
 no pair is frequent; a pair never reaches across two documents, so a document is a run of symbols.
 
 Format, one row a block in Parquet: part and block (the order), n_docs, n_tokens, start (ids of the part before the
