@@ -223,7 +223,7 @@ def chat_messages(t: Tables) -> DataFrame:
 
 @query(r"""WITH b AS (SELECT item_id, text, string_split_regex(text, '\s+')[1] AS w, string_split_regex(text, '\s+')[2] AS v FROM benchmark)
 SELECT item_id, 'A. ' || w || chr(10) || 'B. ' || v AS options, CASE WHEN item_id % 2 = 0 THEN w ELSE v || ' x' END AS quoted, CASE WHEN item_id % 3 = 0 THEN '' WHEN item_id % 3 = 1 THEN v ELSE w || ' ' || v END AS search, w || '{' || v || '}' AS boxed,
-CASE WHEN regexp_matches(trim(text), '\\p{P}$') THEN trim(text) ELSE trim(text) || '.' END AS instruction, CASE item_id % 4 WHEN 0 THEN 'assistant' WHEN 1 THEN 'user' WHEN 2 THEN 'system' ELSE 'user' END AS role, CASE WHEN item_id % 2 = 0 THEN 'text,video,text' ELSE 'image,video' END AS parts FROM b""")
+CASE WHEN regexp_matches(trim(text), '\p{P}$') THEN trim(text) ELSE trim(text) || '.' END AS instruction, CASE item_id % 4 WHEN 0 THEN 'assistant' WHEN 1 THEN 'user' WHEN 2 THEN 'system' ELSE 'user' END AS role, CASE WHEN item_id % 2 = 0 THEN 'text,video,text' ELSE 'image,video' END AS parts FROM b""")
 def prompt_parts(t: Tables) -> DataFrame:
     b = t.benchmark.withColumn("p", F.split("text", r"\s+")).select("item_id", "text", F.element_at("p", 1).alias("w"), F.element_at("p", 2).alias("v"))
     i, w, v = F.col("item_id"), F.col("w"), F.col("v")

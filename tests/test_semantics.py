@@ -264,7 +264,7 @@ def test_matrix_file(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, None, "é")], "a int, b string, c string")
     sinks.write_jsonl(df, str(tmp_path / "out"))
-    text = next((tmp_path / "out").glob("part*")).read_text()
+    text = "".join(f.read_text() for f in (tmp_path / "out").glob("part*"))
     assert json.loads(text) == {"a": 1, "b": None, "c": "é"} and "é" in text
     for n in (1, 2):
         sinks.replace_whole(spark.range(n), str(tmp_path / "whole"), "parquet")
@@ -292,3 +292,23 @@ def test_stop_reasons(spark):
     cases = {("matched", True, True, 1): "matched", ("x", True, True, 1): "continue_refine", ("x", True, True, 3): "max_turn_reached_with_refine", ("x", True, False, 1): "refine_token_no_update", ("not_matched", False, False, 1): "not_matched_no_refine_token", ("x", False, False, 1): "unknown_no_refine_token"}
     for (a, tok, upd, n), want in cases.items():
         assert one(spark, turns.stop_reason(F.lit(a), F.lit(tok), F.lit(upd), F.lit(n), 3)) == want
+
+
+def test_numbers_beyond_the_sample(spark, monkeypatch):
+    """More rows than the bounds are taken from, ties of many rows, and branches that read different columns."""
+    monkeypatch.setattr(order, "_SAMPLED", 1)
+    df = spark.range(5000).select(F.pmod(F.col("id") * 7919, F.lit(5000)).alias("k"), F.when(F.col("id") < 2000, 3).otherwise(F.col("id")).alias("tie"), F.sha2(F.col("id").cast("string"), 256).alias("wide"), (F.col("id") % 3).alias("v"))
+    got = order.numbered(df, ["k"], "at", start=1).select("k", "at").collect()
+    assert sorted((r["k"], r["at"]) for r in got) == [(i, i + 1) for i in range(5000)]
+    tied = order.numbered(df, ["tie"], "at").collect()
+    assert [r["at"] for r in sorted(tied, key=lambda r: r["at"])] == list(range(5000))
+    assert [r["tie"] for r in sorted(tied, key=lambda r: r["at"])] == sorted(r["tie"] for r in tied)
+    ranges = order.in_ranges(df, ["tie"]).where("tie = 3").groupBy("__part").count().collect()
+    assert len(ranges) > 5  # one value of 2,000 rows isn't one task
+    upto = {r["k"]: r["s"] for r in order.running(df, ["k"], sums={"s": "v"}).select("k", "s").collect()}
+    by = {r["k"]: r["v"] for r in df.collect()}
+    total = 0
+    for k in range(5000):
+        total += by[k]
+        assert upto[k] == total
+    assert order.numbered(df.limit(0), ["k"], "at").count() == 0
