@@ -582,30 +582,53 @@ def brute_evidence(texts, text, d=0.75):
         return kept.get(w, 0) / seen + (1 - sum(kept.values()) / seen) * own
 
     words = text.split()
-    alone = [math.log(low[1](w) / low[0](w)) if w in follows[2] else 0.0 for w in words]
-    return alone, [math.log(p(1, c, w) / p(0, c, w)) for c, w in zip(["", *words], words)]
+    clip = lambda x: max(-6.0, min(6.0, x))
+    alone = [clip(math.log(low[1](w) / low[0](w))) if follows[1][w] else 0.0 for w in words]
+    return alone, [clip(math.log(p(1, c, w) / p(0, c, w))) if n[1][c, w] else a for c, w, a in zip(["", *words], words, alone)]
 
 
 @pytest.mark.parametrize("cached", [0, 12, 300_000])
 def test_toxicity_counts_every_word_and_pair(spark, monkeypatch, cached):
     monkeypatch.setattr(toxicity, "MOST_CACHED", cached)
     monkeypatch.setattr(toxicity, "FILTER_BITS", 1 << 7 if cached == 12 else 1 << 20)
+    monkeypatch.setattr(toxicity, "MOST_TOXIC_WORDS", 1 if cached == 12 else 1000)
     rng = random.Random(5)
     common = [f"w{i}" for i in range(12)]
     texts = [(" ".join(rng.choice(common) if rng.random() < 0.7 else f"{'bad' if i % 3 == 0 else 'rare'}{rng.randrange(400)}" for _ in range(rng.randint(1, 25))), int(i % 3 == 0)) for i in range(160)]
     other = " ".join([texts[0][0], "never seen", texts[1][0], "never"])
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)] + [(1000, other), (1001, other)], "doc_id bigint, text string")
     known = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(texts)], "doc_id bigint, toxic int")
-    got = rows_of(toxicity.score(docs, known, train="id < 120", calibrate="id between 120 and 999", keep=["doc_id"]).select("__row.doc_id", "whole", "whole_alone", "top_alone"))
+    got = rows_of(toxicity.score(docs, known, train="id < 120", calibrate="id between 120 and 999", keep=["doc_id"]).select("__row.doc_id", *toxicity.FEATURES))
     for i, t in [*((i, t) for i, (t, _) in enumerate(texts)), (1000, other), (1001, other)]:
-        alone, given = ([max(-6, min(6, x)) for x in e] for e in brute_evidence(texts[:120], t))
-        assert got[i]["whole"] == pytest.approx(sum(given) / len(given), abs=1e-9)
-        assert got[i]["whole_alone"] == pytest.approx(sum(alone) / len(alone), abs=1e-9)
-        assert got[i]["top_alone"] == pytest.approx(sum(sorted(alone)[-3:]) / 3, abs=1e-9)
+        for kind, e in zip(("alone", "given"), brute_evidence(texts[:120], t), strict=True):
+            assert got[i][f"{kind}_mean"] == pytest.approx(sum(e) / len(e), abs=1e-5)
+            assert got[i][f"{kind}_strong"] == pytest.approx(math.log1p(sum(max(x - 1, 0) for x in e)), abs=1e-5)
+            assert got[i][f"{kind}_very"] == pytest.approx(math.log1p(sum(max(x - 3, 0) for x in e)), abs=1e-5)
     kept = toxicity.reject_toxic(docs, known, threshold=1.1, train="id < 120", calibrate="id between 120 and 999")
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, docs.collect()))
 
 
+def test_toxicity_cache_is_bounded(spark, monkeypatch):
+    """However high the counts are, no more rows than the bound are held."""
+    table = spark.range(400).select(F.col("id").alias("k"), (F.col("id") * 1000 + 1).alias("n"), F.lit(0.5).cast("float").alias("e"), F.when(F.col("id") % 2 == 0, 0.25).cast("float").alias("alone"))
+    monkeypatch.setattr(toxicity, "FILTER_BITS", 1 << 12)
+    for most in (0, 7, 100, 400):
+        monkeypatch.setattr(toxicity, "MOST_CACHED", most)
+        model = toxicity.cache(table)
+        held = sorted([*model.words.tolist(), *model.pairs.tolist()])
+        assert len(held) <= most and held == list(range(400 - len(held), 400)) and (most < 400 or len(held) == 400)
+
+
+def test_toxicity_held_out(spark):
+    """Held-out accuracy on the test tables (0.99 at sf0.1)."""
+    sf = "/root/testdata/sf0.01"
+    known = dict(duckdb.sql(f"select doc_id, toxic from '{sf}/labels.parquet' where toxic is not null").fetchall())
+    got = queries.op9_toxicity(spark, sf).collect()
+    held = [(r["predicted"], known[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in known]
+    assert len(got) == duckdb.sql(f"select count(*) from '{sf}/documents.parquet'").fetchall()[0][0]
+    assert sum(p == y for p, y in held) / len(held) > 0.93
+
+
 def test_toxicity_awkward(spark):
     got = toxicity.op9(spark, weird(spark), labels(spark)).collect()
     assert len(got) == 13 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
