@@ -8,18 +8,18 @@ With M=11, A=3, two documents of Jaccard 0.8 share a table with probability 0.99
 2. Only keys that another class shares enter the tensor product: a class without a shared left or right key has no
    partner. Most documents end here.
 3. In each bucket, every class is paired with the smallest one (no bucket is expanded into all pairs), pairs are
-   confirmed, and confirmed links give provisional components.
+   confirmed, and confirmed links give provisional components. Classes of one component need no further link.
 4. A bucket whose classes now lie in several components may hide links between classes that are both unlike the
-   smallest. Classes of which too few shingles occur in any other such class can't be linked and leave. All others are
-   paired with a second pivot: of the largest component, the one with the fewest shingles of its own. Then classes
-   outside that component are paired with those of other components, unless the shingles they share with any class
-   are too few, or their distances (1 - Jaccard, a metric) from a pivot differ by more than a link allows. Classes of
-   one component need no further link. So every pair that shares a bucket is confirmed, refuted, ruled out by a bound,
-   or already connected.
+   smallest. There, all are paired with the class whose shingles are the most common; then a prefix filter over the
+   classes' shingles, rarest first, with the places of what they share, gives every pair of different components that
+   can still be linked. Should these be many (more than `FEW` for each class, as with several centres), classes outside the
+   largest component are paired with the most common one of them first, and the filter is applied again. So every pair
+   that shares a bucket is confirmed, refuted, ruled out by a bound, or already connected.
 
-Scale: signatures are one row a document; exchanges carry ids and hashes, and the texts of candidates once by each
-end. Hot buckets are aggregated before the shuffle or joined by joins that split hot keys. Components are found by
-the cluster, with checkpoint() after each round.
+Scale: signatures are one row a document; exchanges carry ids and hashes, and the texts of candidates: those that a
+bounded filter lets through are written once, and shuffled by merge joins, so each hub's set is made once a task. Hot
+buckets are aggregated before the shuffle or joined by joins that split hot keys. Components are found by the cluster,
+with checkpoint() after each round.
 
 Defined results: documents without a word (null, empty, white space) have n_shingles 0 and link with nothing;
 shorter texts than a shingle count as one shingle of all their words; rows that share an id are one node; a null id
@@ -36,12 +36,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reelquery.llm.bits import maybe_in
 from reelquery.llm.common import Scratch, cut
 from reelquery.llm.components import components, spread_join
 from reelquery.llm.words import WordHashes, mix, shingles, spaced_words
 
 #: Keys in each of the two collections, and minhashes in a key.
 M, A = 11, 3
+#: Pairs for each class of a crowded bucket that are compared without another pivot, and how often one is tried.
+FEW, ROUNDS = 8, 6
 _SEEDS = mix(np.arange(1, 2 * M * A + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _HASHES = WordHashes()
 
@@ -94,34 +97,41 @@ def _confirm(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            good, far = [], []
-            for i, x in enumerate(a):
-                if x != last:
-                    last, held = x, shingle_set(batch.column(2)[i].as_py(), k)
+            hubs = batch.column(0).to_pylist()
+            good = []
+            for i, x in enumerate(hubs):
+                text = batch.column(2)[i].as_py()
+                if last != (x, text):
+                    last, held = (x, text), shingle_set(text, k)
                 other = shingle_set(batch.column(3)[i].as_py(), k)
                 both = len(np.intersect1d(held, other, assume_unique=True))
-                union = len(held) + len(other) - both
-                good.append(100 * both >= percent * union)
-                far.append(1 - both / union)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_()), pa.array(far, pa.float64())], names=["a", "b", "linked", "far"])
+                good.append(100 * both >= percent * (len(held) + len(other) - both))
+            linked = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([x.filter(linked) for x in batch.columns[:2]], names=["a", "b"])
 
     return run
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """a, b, linked (the full shingle sets reach the similarity) and far (1 - Jaccard) of pairs whose sizes allow a link. texts: id, text; sizes: id, n."""
-    own = Scratch(scratch.spark)
-    near = spread_join(pairs, sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
-    near = spread_join(near, sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    near = own.keep(near.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"))
-    wanted = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-    text = own.keep(spread_join(texts, wanted, "id", "left_semi"))
-    both = spread_join(near, text.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = spread_join(both, text.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    out = scratch.keep(both.mapInArrow(_confirm(k, percent), "a bigint, b bigint, linked boolean, far double"))
-    own.drop()
-    return out
+class Links:
+    """Pairs that have been compared, and the links found among them."""
+
+    def __init__(self, texts: DataFrame, k: int, percent: int, scratch: Scratch):
+        self.texts, self.k, self.percent, self.scratch = texts, k, percent, scratch
+        none = scratch.spark.createDataFrame([], "a bigint, b bigint")
+        self.tested = self.links = none
+
+    def test(self, pairs: DataFrame) -> None:
+        """Compares pairs (a, b) that haven't been compared: a is the hub, whose rows come together, so its set is made once for all of them."""
+        new = self.scratch.keep(pairs.distinct().join(self.tested, ["a", "b"], "left_anti"))
+        # Merge joins at every size: the texts of candidates grow with the data.
+        other = self.texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+        hub = self.texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
+        both = spread_join(spread_join(new, other.hint("merge"), "b"), hub.hint("merge"), "a").select("a", "b", "ta", "tb")
+        found = self.scratch.keep(both.mapInArrow(_confirm(self.k, self.percent), "a bigint, b bigint"))
+        self.tested, self.links = self.tested.union(new), self.links.union(found)
+
+    def components(self) -> DataFrame:
+        return components(self.links)
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -131,41 +141,45 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     signed = cut(rows.mapInArrow(_signatures(words), "id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>"))
     real = signed.where("n > 0 and id is not null")
     classes = cut(real.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    sizes = classes.groupBy("id").agg(F.max("n").alias("n"))
 
     # 2. Keys that two classes share.
-    single = classes.select("id", F.posexplode("keys").alias("i", "key")).select("id", "i", F.xxhash64("i", "key").alias("key"))
+    single = classes.select("id", "n", F.posexplode("keys").alias("i", "key")).select("id", "n", "i", F.xxhash64("i", "key").alias("key"))
     shared = single.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-    own = spread_join(single, shared, "key").groupBy("id").agg(F.collect_list(F.when(F.col("i") < M, F.col("key"))).alias("left"), F.collect_list(F.when(F.col("i") >= M, F.col("key"))).alias("right"))
+    own = spread_join(single, shared, "key").groupBy("id", "n").agg(F.collect_list(F.when(F.col("i") < M, F.col("key"))).alias("left"), F.collect_list(F.when(F.col("i") >= M, F.col("key"))).alias("right"))
     own = scratch.keep(own.where("size(left) > 0 and size(right) > 0"))
 
     # 3. Buckets of the tensor product; each class with the smallest of its bucket.
-    members = own.select("id", "right", F.explode("left").alias("l")).select("id", "l", F.explode("right").alias("r")).select(F.xxhash64("l", "r").alias("bucket"), "id")
-    buckets = scratch.keep(members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi"))
-    crowded = buckets.where("c > 2")
-    in_crowd = scratch.keep(spread_join(members, crowded.select("bucket", "lo"), "bucket"))
-    pairs = buckets.where("c = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(in_crowd.where("id <> lo").select("lo", "id")).distinct()
-    pairs = scratch.keep(pairs)
-    texts = rows.where("id is not null and text is not null")
-    tested = confirm(pairs, texts, sizes, words, percent, scratch)
-    found = components(tested.where("linked"))
-
-    # 4. Buckets over several components: a second pivot from the largest one, then what is left.
-    placed = _mixed(in_crowd.select("bucket", "id", "lo"), found, scratch)
+    members = own.select("id", "n", "right", F.explode("left").alias("l")).select("id", "n", "l", F.explode("right").alias("r")).select(F.xxhash64("l", "r").alias("bucket"), "id", "n")
+    at = F.struct("id", "n")
+    buckets = scratch.keep(members.groupBy("bucket").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count(F.lit(1)).alias("c")).where("lo.id <> hi.id"))
+    in_crowd = scratch.keep(spread_join(members, buckets.where("c > 2").select("bucket", "lo"), "bucket"))
+    two = buckets.where("c = 2").select(F.col("lo.id").alias("a"), F.col("hi.id").alias("b"), F.col("lo.n").alias("na"), F.col("hi.n").alias("nb"))
+    star = in_crowd.where("id <> lo.id").select(F.col("lo.id").alias("a"), F.col("id").alias("b"), F.col("lo.n").alias("na"), F.col("n").alias("nb"))
+    pairs = scratch.keep(two.union(star).distinct())
+    met = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = scratch.keep(maybe_in(rows.where("id is not null and text is not null"), met, "id"))
+    links = Links(texts, words, percent, scratch)
+    links.test(pairs.where(_fits("na", "nb", percent)).select("a", "b"))
+    found = links.components()
+
+    # 4. Buckets over several components.
+    placed = _mixed(in_crowd.select("bucket", "id", "n"), found, scratch)
     if not placed.isEmpty():
-        placed = _linkable(placed, found, texts, sizes, words, percent, scratch)
-        best = F.struct((-F.col("common") / F.col("n")).alias("h"), "id")
-        pivots = _main(placed).groupBy("bucket").agg(F.min(best).alias("x")).select("bucket", F.col("x.id").alias("pivot"))
-        placed = scratch.keep(spread_join(placed.drop("comp"), pivots, "bucket"))
-        second = placed.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        second = scratch.keep(second.join(pairs, ["a", "b"], "left_anti"))
-        tested = tested.union(confirm(second, texts, sizes, words, percent, scratch))
-        found = components(tested.where("linked"))
-        placed = _mixed(placed, found, scratch)
-        if not placed.isEmpty():
-            more = scratch.keep(_rest(placed, tested, percent, scratch).join(pairs.union(second), ["a", "b"], "left_anti"))
-            tested = tested.union(confirm(more, texts, sizes, words, percent, scratch))
-            found = components(tested.where("linked"))
+        profiles = _profiles(placed, texts, words, percent, scratch)
+        most = FEW * profiles.count()
+        for round in range(ROUNDS):
+            pivots = placed.where("comp <> main") if round else placed
+            pivots = spread_join(pivots, profiles.select("id", "score"), "id")
+            pivots = pivots.groupBy("bucket").agg(F.max(F.struct("score", "id", "n", "comp")).alias("p")).select("bucket", F.col("p.id").alias("p"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc"))
+            others = spread_join(placed.where("comp <> main") if round else placed, pivots, "bucket").where((F.col("comp") != F.col("pc")) & _fits("n", "pn", percent))
+            links.test(others.select(F.col("p").alias("a"), F.col("id").alias("b")).where("a <> b"))
+            found = links.components()
+            placed = _mixed(placed.select("bucket", "id", "n"), found, scratch)
+            rest = scratch.keep(_rest(placed, profiles, percent))
+            if rest.count() <= most:
+                break
+        links.test(rest)
+        found = links.components()
 
     scratch.drop()
     # Every document by its class, every class by its component.
@@ -174,66 +188,63 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return spread_join(joined, found.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("id", "n", F.coalesce("comp", "rep", "id").alias("component"))
 
 
+def _fits(n: str, o: str, percent: int):
+    """Whether sets of these sizes can be linked."""
+    return 100 * F.least(n, o) >= percent * F.greatest(n, o)
+
+
 def _mixed(members: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of members (bucket, id, ...) with their component, of buckets that span several components."""
+    """The rows of members (bucket, id, n) with their component and the one that most members of the bucket are in, of buckets that span several."""
     placed = spread_join(members, found.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
+    counts = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
+    mixed = counts.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", F.col("x.comp").alias("main"))
     return scratch.keep(spread_join(placed, mixed, "bucket"))
 
 
 def _set_rows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.slice(i, 256)
+            for i in range(0, len(batch), 64):
+                part = batch.slice(i, 64)
                 sets = [shingle_set(x.as_py(), k).view(np.int64) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+                sizes = [len(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(np.concatenate(sets))], names=["id", "t"])
 
     return run
 
 
-def _linkable(placed: DataFrame, found: DataFrame, texts: DataFrame, sizes: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The members that may be linked to another one, with n and `common`: how many of their shingles another member has.
+def _profiles(placed: DataFrame, texts: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """id, n, score (how common its shingles are among the members' on average) and the prefix of each member.
 
-    Two sets have no more in common than either has in common with all others; a member of which too few shingles
-    occur elsewhere is linked to none.
+    The prefix holds a member's rarest shingles, rarest first (by their number among the members, then by hash): so
+    many that a linked set must hold one of them.
     """
     wanted = placed.select("id").distinct()
-    sets = scratch.keep(spread_join(texts, wanted, "id", "left_semi").mapInArrow(_set_rows(k), "id bigint, shingles array<bigint>"))
-    total = sets.groupBy("id").agg(F.sum(F.size("shingles")).alias("total"))
-    alone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-    counts = total.join(alone, "id", "left").select("id", (F.col("total") - F.coalesce("alone", F.lit(0))).alias("common"))
-    kept = spread_join(placed.drop("comp"), counts.join(sizes, "id").where(100 * F.col("common") >= percent * F.col("n")), "id")
-    return _mixed(kept, found, scratch)
-
-
-def _main(placed: DataFrame) -> DataFrame:
-    """The rows that lie in their bucket's largest component."""
-    counts = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("x")).select("bucket", F.col("x.comp").alias("main"))
-    return spread_join(placed, largest, "bucket").where("comp = main")
+    tokens = scratch.keep(maybe_in(texts, wanted, "id").mapInArrow(_set_rows(k), "id bigint, t bigint").distinct())
+    often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
+    sets = spread_join(tokens, often, "t").groupBy("id").agg(F.avg("f").alias("score"), F.sort_array(F.collect_list(F.struct("f", "t"))).alias("all"))
+    n = F.size("all")
+    prefix = F.slice("all", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))
+    return scratch.keep(sets.select("id", n.cast("bigint").alias("n"), "score", prefix.alias("prefix")))
 
 
-def _rest(placed: DataFrame, tested: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of a bucket's members in different components, one of them outside its largest, that may still be linked.
+def _rest(placed: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members in different components that may still be linked, one of them outside the component that most of a bucket are in.
 
-    1 - Jaccard is a metric: with a pivot at distances x and y from two documents, they are at least |x - y| apart.
-    And they share no more shingles than the fewer that either shares with all others.
+    With both sets in the same order, linked ones share a shingle of their prefixes. If the first one shared stands at
+    the places i and j (from 0), they share no more than 1 + min(n - i - 1, m - j - 1), which must reach what a link
+    asks of sets of their sizes. Near copies that stay apart differ in shingles that are rare, and rare ones come
+    first, so what nearly all have in common makes no pairs.
     """
-    reach = 1 - percent / 100
-    known = tested.select(F.col("a").alias("p"), F.col("b").alias("id"), "far").union(tested.select("b", "a", "far"))
-    first = known.select(F.col("p").alias("lo"), "id", F.col("far").alias("d1"))
-    second = known.select(F.col("p").alias("pivot"), "id", F.col("far").alias("d2"))
-    rows = placed.join(first, ["lo", "id"], "left").join(second, ["pivot", "id"], "left")
-    rows = scratch.keep(rows.select("bucket", "id", "comp", "n", "common", F.when(F.col("id") == F.col("lo"), 0.0).otherwise(F.col("d1")).alias("d1"), F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.col("d2")).alias("d2")))
-    main = _main(rows).select("bucket", "main").distinct()
-    strays = spread_join(rows, main, "bucket").where("comp <> main").drop("main")
-    other = rows.select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("id", "comp", "n", "common", "d1", "d2")])
-    near = lambda d: F.coalesce(F.abs(F.col(d) - F.col(f"o_{d}")) <= reach + 1e-9, F.lit(True))
-    both = F.least("common", "o_common")
-    enough = 100 * both >= percent * (F.col("n") + F.col("o_n") - both)
-    pairs = spread_join(strays, other, "bucket").where((F.col("comp") != F.col("o_comp")) & enough & near("d1") & near("d2"))
-    return pairs.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
+    where = placed.groupBy("id").agg(F.min("comp").alias("comp"), F.max(F.col("comp") != F.col("main")).alias("stray"))
+    rows = spread_join(profiles, where, "id").select("id", "n", "comp", "stray", F.posexplode("prefix").alias("i", "x")).where("x.f > 1").select("id", "n", "comp", "stray", "i", F.col("x.t").alias("t"))
+    other = rows.select("t", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "comp", "stray", "i")])
+    least = F.ceil(percent * (F.col("n") + F.col("o_n")) / (100 + percent))
+    enough = 1 + F.least(F.col("n") - F.col("i"), F.col("o_n") - F.col("o_i")) - 1 >= least
+    # A pair of strays is made once.
+    once = ~F.col("o_stray") | (F.col("id") < F.col("o_id"))
+    pairs = spread_join(rows.where("stray"), other, "t").where((F.col("comp") != F.col("o_comp")) & enough & once & _fits("n", "o_n", percent))
+    return pairs.select(F.col("o_id").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def _by_set(signed: DataFrame, of_set: DataFrame) -> DataFrame:
@@ -245,12 +256,14 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """The documents' rows of which each group of near-duplicates keeps the one with the smallest id (once, if its row is repeated); rows with a null id stay."""
     found = near_duplicates(docs, doc_id=doc_id, text=text, words=words, percent=percent)
     # An id stays if no row of it belongs to a smaller one.
-    gone = found.where("component <> id").select(F.col("id").alias("__id")).distinct()
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{doc_id}`").cast("bigint").alias("__id"))
-    kept = spread_join(marked, gone, "__id", "left_anti")
-    once = Window.partitionBy("__id").orderBy(F.lit(1))
-    ranked = kept.where("__id is not null").withColumn("__rn", F.row_number().over(once)).where("__rn = 1").drop("__rn")
-    return ranked.unionByName(kept.where("__id is null")).select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
+    info = found.where("id is not null").groupBy(F.col("id").alias("__id")).agg(F.max(F.col("component") != F.col("id")).alias("__gone"), F.count(F.lit(1)).alias("__n"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.select(row.alias("__row"), F.col(f"`{doc_id}`").cast("bigint").alias("__id"))
+    kept = spread_join(marked.where("__id is not null"), info, "__id").where("not __gone")
+    once = Window.partitionBy("__id").orderBy(F.xxhash64("__row"), F.col("__row").cast("string"))
+    repeated = kept.where("__n > 1").withColumn("__rn", F.row_number().over(once)).where("__rn = 1").select("__row")
+    out = kept.where("__n = 1").select("__row").union(repeated).union(marked.where("__id is null").select("__row"))
+    return out.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op5(spark: SparkSession, docs: DataFrame) -> DataFrame:

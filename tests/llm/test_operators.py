@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from reelquery.llm import bpe, components, decontam, langid, licenses, minhash, pii, pieces, queries, sentences, tokenfile, toxicity, vectors
+from reelquery.llm import bits, bpe, components, decontam, langid, licenses, minhash, pii, pieces, queries, sentences, tokenfile, toxicity, vectors
 from reelquery.llm.common import ROW
 
 SF = "/root/testdata/sf0.001"
@@ -590,7 +590,7 @@ def brute_evidence(texts, text, d=0.75):
 @pytest.mark.parametrize("cached", [0, 12, 300_000])
 def test_toxicity_counts_every_word_and_pair(spark, monkeypatch, cached):
     monkeypatch.setattr(toxicity, "MOST_CACHED", cached)
-    monkeypatch.setattr(toxicity, "FILTER_BITS", 1 << 7 if cached == 12 else 1 << 20)
+    monkeypatch.setattr(bits, "FILTER_BITS", 1 << 7 if cached == 12 else 1 << 20)
     monkeypatch.setattr(toxicity, "MOST_TOXIC_WORDS", 1 if cached == 12 else 1000)
     rng = random.Random(5)
     common = [f"w{i}" for i in range(12)]
@@ -611,7 +611,7 @@ def test_toxicity_counts_every_word_and_pair(spark, monkeypatch, cached):
 def test_toxicity_cache_is_bounded(spark, monkeypatch):
     """However high the counts are, no more rows than the bound are held."""
     table = spark.range(400).select(F.col("id").alias("k"), (F.col("id") * 1000 + 1).alias("n"), F.lit(0.5).cast("float").alias("e"), F.when(F.col("id") % 2 == 0, 0.25).cast("float").alias("alone"))
-    monkeypatch.setattr(toxicity, "FILTER_BITS", 1 << 12)
+    monkeypatch.setattr(bits, "FILTER_BITS", 1 << 12)
     for most in (0, 7, 100, 400):
         monkeypatch.setattr(toxicity, "MOST_CACHED", most)
         model = toxicity.cache(table)
