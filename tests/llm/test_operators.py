@@ -354,7 +354,7 @@ def test_components_random(spark):
 
 
 def test_sentence_spans(spark):
-    p = "Alpha beta gamma delta epsilon. Zeta eta theta iota kappa! Lambda mu nu xi omicron? Pi rho sigma tau."
+    p = "Alpha beta gamma delta epsilon and so on. Zeta eta theta iota kappa and all that! Lambda mu nu xi omicron, as ever? Pi rho sigma tau one two three."
     own = lambda i: f"Only{i} here{i} stands{i} this{i}. And{i} that{i} too{i}."
     rows = [(1, f"{own(1)} {p} {own(11)}"), (2, f"{own(2)}\n{p.upper()}\n{own(22)}"), (3, own(3)), (4, f"{p} {own(4)} {p}"), (5, None), (6, "")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -366,40 +366,8 @@ def test_sentence_spans(spark):
     assert got[5]["text"] is None and got[6]["text"] == ""
 
 
-def brute_spans(rows, span=3, least=12):
-    seen, out = {}, {}
-    split = {}
-    for i, t in rows:
-        own = []
-        for s in re.findall(r"[^\r\n]+?(?:(?<=[.!?])[ \t]+|$|(?=[\r\n]))", t or ""):
-            w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", lower(s))
-            if w:
-                own.append(tuple(w))
-        k = min(span, len(own))
-        split[i] = own, [tuple(own[j : j + k]) for j in range(len(own) - k + 1)] if own else []
-    for i in sorted(split):
-        for r in split[i][1]:
-            if sum(map(len, r)) >= least:
-                seen.setdefault(r, i)
-    for i, (own, rs) in split.items():
-        gone, mine = set(), set()
-        for j, r in enumerate(rs):
-            if sum(map(len, r)) >= least and (seen[r] != i or r in mine):
-                gone |= set(range(j, j + min(span, len(own))))
-            mine.add(r)
-        out[i] = len(own), len(gone)
-    return out
-
-
-def test_sentence_spans_of_documents(spark, docs):
-    want = brute_spans([(i, t) for i, t, _ in docs])
-    got = rows_of(queries.op6_sentence_spans(spark, SF))
-    assert {i: (r["n_sentences"], r["n_removed"]) for i, r in got.items()} == want
-    assert all(got[i]["text"] == t for i, t, _ in docs if not want[i][1])
-
-
-def brute_grown(rows, span=3, least=12, long=24):
-    """Sentences and removed sentences of each document when runs grow to `least` words and two sentences of `long` words are a run."""
+def brute_runs(rows, span=2, least=28):
+    """Sentences and removed sentences of each document: runs of `span` sentences that grow to `least` words."""
     first, split, out = {}, {}, {}
     for i, t in sorted(rows):
         own = []
@@ -412,10 +380,8 @@ def brute_grown(rows, span=3, least=12, long=24):
             b = a + min(span, len(own))
             while b < len(own) and sum(map(len, own[a:b])) < least:
                 b += 1
-            ends = [b] if b <= len(own) and sum(map(len, own[a:b])) >= least else []
-            if a + 2 <= len(own) and len(own) > 2 and sum(map(len, own[a : a + 2])) >= long:
-                ends.append(a + 2)
-            found += [(tuple(own[a:b]), a, b) for b in ends]
+            if b <= len(own) and sum(map(len, own[a:b])) >= least:
+                found.append((tuple(own[a:b]), a, b))
         split[i] = own, found
         for r, _, _ in found:
             first.setdefault(r, i)
@@ -429,17 +395,26 @@ def brute_grown(rows, span=3, least=12, long=24):
     return out
 
 
-def test_sentence_runs_grow(spark, docs):
-    short = " ".join(f"{w}!" for w in "one two three four five six seven eight nine ten eleven twelve thirteen fourteen".split())
+def test_sentence_spans_of_documents(spark, docs):
+    want = brute_runs([(i, t) for i, t, _ in docs])
+    got = rows_of(queries.op6_sentence_spans(spark, SF))
+    assert {i: (r["n_sentences"], r["n_removed"]) for i, r in got.items()} == want
+    for i, t, _ in docs:
+        gone = [tuple(map(int, x.split(":"))) for x in got[i]["removed"].split(",") if x]
+        left = "".join(t[a:b] for a, b in zip([0, *[b for _, b in gone]], [*[a for a, _ in gone], len(t)], strict=True)) if t else t
+        assert got[i]["text"] == (left.encode().rstrip().decode() if gone else t)
+
+
+def test_sentence_runs_grow(spark):
+    short = " ".join(f"{w}!" for w in "one two three four five six seven eight nine ten eleven twelve thirteen fourteen".split() * 2 + ["fifteen"])
     long = " ".join(f"l{i}" for i in range(30)) + ". " + " ".join(f"m{i}" for i in range(30)) + "."
-    rows = [(1, short), (2, short), (3, f"Alone in three.\n{long}\nOwn end three."), (4, f"Alone in four.\n{long}\nOwn end four."), (5, "Too short. To be. A run."), (6, "Too short. To be. A run.")]
+    line = "A line that many share, with twenty words or so, but without anything that is worth to be removed at all."
+    rows = [(1, short), (2, short), (3, f"Alone in three.\n{long}\nOwn end three."), (4, f"Alone in four.\n{long}\nOwn end four."), (5, f"{line}\nShort."), (6, f"{line}\nShort.")]
     got = rows_of(sentences.op6(spark, spark.createDataFrame(rows, "doc_id bigint, text string")))
-    assert got[1]["text"] == short and got[2]["text"] == "" and got[2]["n_removed"] == 14
+    assert got[1]["text"] == short and got[2]["text"] == "" and got[2]["n_removed"] == 29
     assert got[3]["text"] == rows[2][1] and got[4]["text"].split() == "Alone in four. Own end four.".split()
-    assert got[6]["text"] == rows[5][1]  # fewer than 12 words in all
-    all_rows = [(i, t) for i, t, _ in docs]
-    got = rows_of(queries.op6_sentence_spans(spark, SF))
-    assert {i: (r["n_sentences"], r["n_removed"]) for i, r in got.items()} == brute_grown(all_rows)
+    assert got[6]["text"] == rows[5][1]  # fewer than 28 words in all
+    assert {i: (r["n_sentences"], r["n_removed"]) for i, r in got.items()} == brute_runs(rows)
 
 
 def test_sentence_spans_awkward(spark):
@@ -447,7 +422,7 @@ def test_sentence_spans_awkward(spark):
     assert len(got) == 13
     assert sentences.op6(spark, nothing(spark)).count() == 0
     by = {r["doc_id"]: r for r in got}
-    assert by[2]["text"] == "" and by[1]["n_removed"] == 0
+    assert by[2]["text"] == by[1]["text"].replace("The", "the", 1).replace("Nobody", "nobody") and by[1]["n_removed"] == 0  # too short for a run
 
 
 # 7 ---------------------------------------------------------------------------------------------------------------
