@@ -1,8 +1,9 @@
 """Token files: ids in Re-Pair compressed blocks that any document, or any token of one, can be read from.
 
 Documents are dealt to shards by ranges of their id and sorted. Each shard is written as blocks of about a million
-ids. In a block, the most frequent pairs of neighbouring ids are replaced by nonterminals, in at most `ROUNDS` rounds or until
-no pair is frequent; a pair never reaches across two documents, so a document is a run of symbols.
+ids. In a block, the most frequent pairs of neighbouring ids are replaced by nonterminals, round after round until no
+pair occurs `OFTEN` times, below which a rule hardly pays for itself, or 16-bit symbols are used up (a vocabulary beyond 16
+bits has 32-bit symbols). A pair never reaches across two documents, so a document is a run of symbols.
 
 Format, one row a block in Parquet: part and block (the order), n_docs, n_tokens, start (ids of the part before the
 block), base (the first nonterminal), rules (pairs of little-endian uint32: nonterminal base+k is rules[k]), lengths
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from reelquery.llm.common import groups, new_path, shuffle_partitions
 from reelquery.llm.pieces import Pieces, default_path, spread, valid
 
-#: Ids in a block, pairs replaced in a round at most, rounds at most, and how often a pair must occur.
-BLOCK, PAIRS, ROUNDS, OFTEN = 1_000_000, 4096, 5, 16
+#: Ids in a block, pairs replaced in a round at most, and how often a pair must occur: a rule takes 12 bytes (with its length) and saves 2 for each time it is used.
+BLOCK, PAIRS, OFTEN = 1_000_000, 4096, 16
 
 BLOCK_SCHEMA = "part int, block int, n_docs int, n_tokens bigint, start bigint, base int, width int, rules binary, lengths binary, symbols binary, doc_ids array<bigint>, doc_tokens array<bigint>, doc_symbols array<bigint>"
 _ARROW = {"part": pa.int32(), "block": pa.int32(), "n_docs": pa.int32(), "n_tokens": pa.int64(), "start": pa.int64(), "base": pa.int32(), "width": pa.int32(), "rules": pa.binary(), "lengths": pa.binary(), "symbols": pa.binary(), "doc_ids": pa.list_(pa.int64()), "doc_tokens": pa.list_(pa.int64()), "doc_symbols": pa.list_(pa.int64())}
@@ -47,9 +48,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
     rules: list[np.ndarray] = []
     count = 0
     most = max(0, 65_536 - base) if base <= 65_536 else 1 << 20
-    for _ in range(ROUNDS):
-        if len(sym) < 2 or count >= most:
-            break
+    while len(sym) > 1 and count < most:
         left, right = sym[:-1], sym[1:]
         if base + most <= 65_536:  # a pair fits 32 bits, which sort twice as fast
             code = (left << np.uint32(16)) | right
@@ -67,20 +66,28 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
         if len(values) > room:
             top = np.sort(np.argsort(-often, kind="stable")[:room])
             values = values[top]
-        # A bitmap of hashes leaves few places for the exact test.
-        may = np.zeros(1 << 16, np.bool_)
-        may[_fold(values)] = True
-        maybe = np.flatnonzero(may[_fold(code)] & ~final[:-1])
-        slot = np.minimum(np.searchsorted(values, code[maybe]), len(values) - 1)
-        exact = values[slot] == code[maybe]
+        # A table of hashes leaves few places for the exact test; where several pairs share a hash, they are searched.
+        numbers = np.arange(len(values), dtype=np.int32)
+        fold = _fold(values)
+        table = np.full(1 << 16, -1, np.int32)
+        table[fold] = numbers
+        table[fold[table[fold] != numbers]] = -2
+        slot = table[_fold(code)]
+        slot[final[:-1]] = -1
+        maybe = np.flatnonzero(slot != -1)
+        slot, own = slot[maybe], code[maybe]
+        several = np.flatnonzero(slot == -2)
+        slot[several] = np.minimum(np.searchsorted(values, own[several]), len(values) - 1)
+        exact = values[slot] == own
         maybe, slot = maybe[exact], slot[exact]
         # In a run of overlapping hits every second one is replaced, from the left.
         run = np.concatenate(([True], np.diff(maybe) != 1))
         first = maybe[run][np.cumsum(run) - 1]
         taken = (maybe - first) % 2 == 0
-        at = maybe[taken]
-        used, which = np.unique(slot[taken], return_inverse=True)
-        sym[at] = base + count + which.astype(np.uint32)
+        at, slot = maybe[taken], slot[taken]
+        there = np.bincount(slot, minlength=len(values)) > 0
+        used = np.flatnonzero(there)
+        sym[at] = (base + count - 1 + np.cumsum(there)).astype(np.uint32)[slot]
         final[at] = final[at + 1]
         stay = np.ones(len(sym), np.bool_)
         stay[at + 1] = False
@@ -145,6 +152,15 @@ class Block:
         out[spread((ends - sizes)[rule], runs)] = self._flat[spread(self._starts[sym[rule] - self.base], runs)]
         return out
 
+    def documents(self, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sizes of all documents (of so many symbols each), and all their ids."""
+        sizes = np.ones(len(self.symbols), np.int64)
+        sym = self.symbols.astype(np.int64)
+        rule = sym >= self.base
+        sizes[rule] = self.lengths[sym[rule] - self.base]
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        return np.diff(upto[np.concatenate(([0], np.cumsum(per)))]), self.expand(0, len(self.symbols))
+
     def token(self, first: int, count: int, k: int) -> int:
         """The k-th id of a document that has `count` symbols from `first` on: goes down the rules and expands nothing."""
         sym = self.symbols[first : first + count].astype(np.int64)
@@ -211,18 +227,13 @@ def write_tokens(docs: DataFrame, out: str, *, doc_id: str = "doc_id", text: str
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(len(batch)):
+            row = batch.slice(i, 1).to_pylist()[0]
             b = Block(row["base"], row["width"], row["rules"], row["lengths"], row["symbols"])
-            first, start = 0, row["at"] + row["start"]
-            out: dict[str, list] = {"doc_id": [], "start": [], "n_tokens": [], "ids": []}
-            for key, count in zip(row["doc_ids"], row["doc_symbols"], strict=True):
-                ids = b.expand(first, count)
-                out["doc_id"].append(key)
-                out["start"].append(start)
-                out["n_tokens"].append(len(ids))
-                out["ids"].append(ids.astype("<u4").tobytes())
-                first, start = first + count, start + len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["start"], pa.int64()), pa.array(out["n_tokens"], pa.int64()), pa.array(out["ids"], pa.binary())], names=list(out))
+            sizes, ids = b.documents(np.array(row["doc_symbols"], np.int64))
+            ends = np.cumsum(sizes)
+            data = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.concatenate(([0], 4 * ends)).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["at"] + row["start"] + ends - sizes), pa.array(sizes), data], names=["doc_id", "start", "n_tokens", "ids"])
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
