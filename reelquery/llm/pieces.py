@@ -34,6 +34,8 @@ for _x, _y in ((_LETTER, _OTHER), (_LETTER, _DIGIT), (_DIGIT, _LETTER), (_DIGIT,
     _CUT[_x, _y] = True
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _TOKENIZERS: dict[str, object] = {}
+#: Slots in which a piece is looked for first, by its hash.
+_SLOT_MASK = np.uint64((1 << 22) - 1)
 
 
 def valid(data: bytes | None) -> bytes:
@@ -126,7 +128,9 @@ class Pieces:
 
     def _forget(self) -> None:
         self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # Piece 0 has no ids and stands for nothing; `known` has the hash of each piece by its number.
+        self.slots, self.known = np.zeros(int(_SLOT_MASK) + 1, np.int32), np.zeros(1, np.uint64)
+        self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each whole text."""
@@ -164,17 +168,30 @@ class Pieces:
         return inner[(inner - first[text] >= 2) & (ends[text] - inner >= 2)]
 
     def _index(self, data: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        keys, where, back = np.unique(hashes(data, starts, stops), return_index=True, return_inverse=True)
+        h = hashes(data, starts, stops)
+        index = self.slots[h & _SLOT_MASK]
+        missed = np.flatnonzero(self.known[index] != h)
+        if len(missed):
+            index[missed] = self._search(data, h[missed], starts[missed], stops[missed])
+        return index
+
+    def _search(self, data: bytes, h: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Numbers of pieces that aren't in their slot: new ones, and those that lost it to another."""
+        keys, where, back = np.unique(h, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, keys)
         known = at < len(self.keys)
         known[known] = self.keys[at[known]] == keys[known]
         new = np.flatnonzero(~known)
         if len(new):
-            self._learn([data[starts[i] : stops[i]].decode("utf-8", "replace") for i in where[new].tolist()])
-            own = np.arange(len(self.at), len(self.at) + len(new))
+            first = where[new]
+            self._learn([data[a:b].decode("utf-8", "replace") for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)])
+            own = np.arange(len(self.known), len(self.known) + len(new))
+            self.known = np.concatenate((self.known, keys[new]))
             self.keys, self.at = np.insert(self.keys, at[new], keys[new]), np.insert(self.at, at[new], own)
             at = np.searchsorted(self.keys, keys)
-        return self.at[at][back]
+        number = self.at[at]
+        self.slots[keys & _SLOT_MASK] = number
+        return number[back]
 
     def _learn(self, new: list[str]) -> None:
         ids: list[int] = []
