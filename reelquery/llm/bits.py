@@ -14,12 +14,13 @@ FILTER_BITS = 1 << 26
 
 
 class Bits:
-    """Two bits for each key of a frame (a bigint column k). Keys that aren't in it may be taken for such that are, never the other way round; with more keys than bits it lets everything through."""
+    """Three bits for each key of a frame (a bigint column k). Keys that aren't in it may be taken for such that are, never the other way round; with more keys than bits it lets everything through."""
 
     def __init__(self, keys: DataFrame):
         first = F.col("k").bitwiseAND(FILTER_BITS - 1)
         second = F.shiftrightunsigned("k", 32).bitwiseAND(FILTER_BITS - 1)
-        bit = keys.select(F.explode(F.array(first, second)).alias("b"))
+        third = F.shiftrightunsigned("k", 7).bitwiseXOR(F.shiftrightunsigned("k", 45)).bitwiseAND(FILTER_BITS - 1)
+        bit = keys.select(F.explode(F.array(first, second, third)).alias("b"))
         marks = bit.groupBy(F.shiftright("b", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")).toArrow()
         self.bits = np.zeros(max(FILTER_BITS >> 6, 1), np.int64)
         self.bits[marks["at"].to_numpy()] = marks["bits"].to_numpy()
@@ -27,7 +28,9 @@ class Bits:
     def places(self, keys: np.ndarray) -> np.ndarray:
         """Indexes of the keys that may be in it."""
         at = np.flatnonzero(self._has(keys))
-        return at[self._has((keys[at].view(np.uint64) >> np.uint64(32)).view(np.int64))]
+        u = keys.view(np.uint64)
+        at = at[self._has((u[at] >> np.uint64(32)).view(np.int64))]
+        return at[self._has(((u[at] >> np.uint64(7)) ^ (u[at] >> np.uint64(45))).view(np.int64))]
 
     def _has(self, keys: np.ndarray) -> np.ndarray:
         b = keys & (64 * len(self.bits) - 1)

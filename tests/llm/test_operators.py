@@ -585,7 +585,7 @@ def test_toxicity_counts_every_word_and_pair(spark, monkeypatch, cached):
 
 def test_toxicity_cache_is_bounded(spark, monkeypatch):
     """However high the counts are, no more rows than the bound are held."""
-    table = spark.range(400).select(F.col("id").alias("k"), (F.col("id") * 1000 + 1).alias("n"), F.lit(0.5).cast("float").alias("e"), F.when(F.col("id") % 2 == 0, 0.25).cast("float").alias("alone"))
+    table = spark.range(400).select(F.col("id").alias("k"), (F.col("id") * 1000 + 1000).alias("n"), F.lit(0.5).cast("float").alias("e"), F.when(F.col("id") % 2 == 0, 0.25).cast("float").alias("alone"))
     monkeypatch.setattr(bits, "FILTER_BITS", 1 << 12)
     for most in (0, 7, 100, 400):
         monkeypatch.setattr(toxicity, "MOST_CACHED", most)
