@@ -37,17 +37,17 @@ class Bits:
         return (self.bits[b >> 6] >> (b & 63)) & 1 == 1
 
 
-def _run(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _run(shared, then):
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.take(pa.array(shared.value.places(batch.column(0).to_numpy()))).select(batch.schema.names[1:])
 
-    return run
+    return lambda batches: then(some(batches)) if then else some(batches)
 
 
-def maybe_in(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """The rows whose column (a bigint without nulls) may be among the keys' column of that name; none that is goes."""
+def maybe_in(rows: DataFrame, keys: DataFrame, column: str, then=None, schema: str | None = None) -> DataFrame:
+    """The rows whose column (a bigint without nulls) may be among the keys' column of that name; none that is goes. `then` goes on with their batches in the same worker and gives rows of `schema`."""
     hashed = F.xxhash64(column).alias("k")
     shared = rows.sparkSession.sparkContext.broadcast(Bits(keys.select(hashed)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.select(hashed, *[f"`{c}`" for c in rows.columns]).mapInArrow(_run(shared), fields)
+    return rows.select(hashed, *[f"`{c}`" for c in rows.columns]).mapInArrow(_run(shared, then), schema or fields)

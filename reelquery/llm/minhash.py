@@ -39,19 +39,18 @@ from pyspark.sql import functions as F
 from reelquery.llm.bits import maybe_in
 from reelquery.llm.common import Scratch, cut
 from reelquery.llm.components import components, spread_join
-from reelquery.llm.words import WordHashes, mix, shingles, spaced_words
+from reelquery.llm.words import HASHES, mix, shingles, spaced_words
 
 #: Keys in each of the two collections, and minhashes in a key.
 M, A = 11, 3
 #: Pairs for each class of a crowded bucket that are compared without another pivot, and how often one is tried.
 FEW, ROUNDS = 8, 6
 _SEEDS = mix(np.arange(1, 2 * M * A + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_HASHES = WordHashes()
 
 
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     """Distinct hashes of the text's shingles, ascending."""
-    return np.unique(shingles(_HASHES.of(spaced_words(text)), k)) if text else np.zeros(0, np.uint64)
+    return np.unique(shingles(HASHES.of(spaced_words(text)), k)) if text else np.zeros(0, np.uint64)
 
 
 def keys_of(sets: list[np.ndarray]) -> np.ndarray:
@@ -220,7 +219,7 @@ def _profiles(placed: DataFrame, texts: DataFrame, k: int, percent: int, scratch
     many that a linked set must hold one of them.
     """
     wanted = placed.select("id").distinct()
-    tokens = scratch.keep(maybe_in(texts, wanted, "id").mapInArrow(_set_rows(k), "id bigint, t bigint").distinct())
+    tokens = scratch.keep(maybe_in(texts, wanted, "id", _set_rows(k), "id bigint, t bigint").distinct())
     often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
     sets = spread_join(tokens, often, "t").groupBy("id").agg(F.avg("f").alias("score"), F.sort_array(F.collect_list(F.struct("f", "t"))).alias("all"))
     n = F.size("all")

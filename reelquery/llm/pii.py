@@ -35,7 +35,7 @@ _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){11,}+",  # shorter ones fail, and no part of them has as many digits
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: A cheap test that a text can hold the pattern at all.
@@ -51,17 +51,42 @@ def _none() -> Column:
     return F.array().cast(_SPANS)
 
 
-def found(text: Column, pattern: str, kind: int) -> Column:
-    """Leftmost matches without overlap as structs (s, k, e, v); s and e in code points."""
-    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, v: F.struct(F.length(gap).alias("g"), v.alias("v")))
+#: Running values are computed in parts of so many, as what grows by appending costs the square of its length.
+PART = 128
+
+
+def _let(x: Column, f) -> Column:
+    """f(x) with x computed once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _before(values: Column, combine) -> Column:
+    """For each of an array of whole numbers, what `combine` makes of 0 and all before it."""
+
+    def run(v: Column, start: Column) -> Column:
+        return F.aggregate(v, F.array(start), lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x))))
+
+    def parted(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / PART).cast("int")), lambda i: F.slice(v, i * PART + 1, PART))
+        return _let(parts, lambda p: F.flatten(F.zip_with(p, run(F.transform(p, lambda c: F.aggregate(c, F.lit(0), combine)), F.lit(0)), lambda c, start: F.when(c.isNotNull(), F.slice(run(c, start), 1, F.size(c))).otherwise(F.array().cast("array<int>")))))
+
+    return _let(values, lambda v: F.when(F.size(v) <= PART, run(v, F.lit(0))).otherwise(parted(v)))
+
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["p"] + x["g"]
-        end = start + F.length(x["v"])
-        return F.struct(end.alias("p"), F.concat(acc["o"], F.array(F.struct(start.alias("s"), F.lit(kind).alias("k"), end.alias("e"), x["v"].alias("v")))).alias("o"))
+def _matches(text: Column, pattern: str, each) -> Column:
+    """each(start, end, match) of the leftmost matches without overlap, in code points."""
+    gaps = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, v: F.struct(F.length(gap).alias("g"), v.alias("v")))
 
-    start = F.struct(F.lit(0).alias("p"), _none().alias("o"))
-    return F.aggregate(F.filter(pairs, lambda x: x["v"].isNotNull()), start, step, lambda acc: acc["o"])
+    def placed(pairs: Column) -> Column:
+        before = _before(F.transform(pairs, lambda x: x["g"] + F.length(x["v"])), lambda a, b: a + b)
+        return F.zip_with(pairs, F.slice(before, 1, F.size(pairs)), lambda x, p: each(p + x["g"], p + x["g"] + F.length(x["v"]), x["v"]))
+
+    return _let(F.filter(gaps, lambda x: x["v"].isNotNull()), placed)
+
+
+def found(text: Column, pattern: str, kind: int) -> Column:
+    """Leftmost matches without overlap as structs (s, k, e, v); s and e in code points."""
+    return _matches(text, pattern, lambda s, e, v: F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), v.alias("v")))
 
 
 def _digits(v: Column) -> Column:
@@ -96,7 +121,7 @@ def base_spans(text: Column) -> Column:
     """All base matches of a non-null text that hold, by start and then kind."""
     parts = []
     for k, kind in enumerate(KINDS[:4]):
-        may = text.rlike("[0-9][\\x20-]?[0-9]") if _HINT[kind] is None else text.contains(_HINT[kind])
+        may = text.rlike("[0-9](?:[\\x20-]?[0-9]){11}") if _HINT[kind] is None else text.contains(_HINT[kind])
         own = found(text, PATTERNS[kind], k)
         if kind != "email":
             own = F.filter(own, _keeps(kind))
@@ -115,7 +140,7 @@ def listed(spans: Column) -> Column:
 
 def _masked(text: Column, spans: Column) -> Column:
     """The text with a space for each code point of a span."""
-    return _replaced(text, spans, lambda x: F.repeat(F.lit(" "), x["e"] - x["s"]))
+    return _replaced(text, spans, lambda x, p: F.repeat(F.lit(" "), F.greatest(x["e"] - F.greatest(x["s"], p), F.lit(0))))
 
 
 def _words(masked: Column) -> Column:
@@ -124,17 +149,10 @@ def _words(masked: Column) -> Column:
 
 def _kinds_at(masked: Column, terms: Column) -> Column:
     """Spans of the terms (structs term, k) in a text; k is the term's."""
-    pairs = F.zip_with(F.split(masked, _TERM, -1), F.regexp_extract_all(masked, F.lit(_TERM), F.lit(0)), lambda gap, v: F.struct(F.length(gap).alias("g"), v.alias("v")))
+    def own(s: Column, e: Column, v: Column) -> Column:
+        return F.transform(F.filter(terms, lambda t: t["term"] == F.lower(v)), lambda t: F.struct(s.alias("s"), t["k"].alias("k"), e.alias("e"), F.lit("").alias("v")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["p"] + x["g"]
-        end = start + F.length(x["v"])
-        own = F.filter(terms, lambda t: t["term"] == F.lower(x["v"]))
-        more = F.transform(own, lambda t: F.struct(start.alias("s"), t["k"].alias("k"), end.alias("e"), F.lit("").alias("v")))
-        return F.struct(end.alias("p"), F.when(F.size(own) == 0, acc["o"]).otherwise(F.concat(acc["o"], more)).alias("o"))
-
-    start = F.struct(F.lit(0).alias("p"), _none().alias("o"))
-    return F.aggregate(F.filter(pairs, lambda x: x["v"].isNotNull()), start, step, lambda acc: acc["o"])
+    return F.flatten(_matches(masked, _TERM, own))
 
 
 def _entities(texts: DataFrame) -> DataFrame:
@@ -191,27 +209,22 @@ def spans_of(docs: DataFrame, *, text: str = "text", carry: list[str], with_text
     return out.select("__row", "base", F.array_sort(F.concat("base", more)).alias("spans"), *(["text"] if with_text else []))
 
 
-def _merged(spans: Column) -> Column:
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), last["k"].alias("k"), F.greatest(last["e"], x["e"]).alias("e"))))
-        own = F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))))
-        return F.when(F.size(acc) == 0, own).when(x["s"] < last["e"], joined).otherwise(own)
-
-    return F.aggregate(spans, F.array().cast("array<struct<s:int,k:int,e:int>>"), step)
+def _replaced(text: Column, spans: Column, label) -> Column:
+    """The text with `label(span, how far those before reach)` for each span (sorted by start); what lies between is kept."""
 
+    def made(own: Column) -> Column:
+        reach = _before(F.transform(own, lambda x: x["e"]), lambda a, b: F.greatest(a, b))
+        gap = lambda x, p: F.substring(text, p + 1, F.greatest(x["s"] - p, F.lit(0)))
+        parts = F.zip_with(own, F.slice(reach, 1, F.size(own)), lambda x, p: F.concat(gap(x, p), label(x, p)))
+        last = F.array_max(F.transform(own, lambda x: x["e"]))
+        return F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.length(text)))
 
-def _replaced(text: Column, spans: Column, label) -> Column:
-    plan = _merged(spans)
-    before = F.concat(F.array(F.lit(0)), F.transform(plan, lambda x: x["e"]))
-    parts = F.transform(F.arrays_zip(plan.alias("x"), F.slice(before, 1, F.size(plan)).alias("p")), lambda z: F.concat(F.substring(text, z["p"] + 1, z["x"]["s"] - z["p"]), label(z["x"])))
-    tail = F.substring(text, F.element_at(before, -1) + 1, F.length(text))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(parts, ""), tail))
+    return F.when(F.size(spans) == 0, text).otherwise(_let(spans, made))
 
 
 def rewritten(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; removed terms leave nothing."""
-    return _replaced(text, spans, lambda x: F.when(x["k"] == 5, F.lit("")).otherwise(F.concat(F.lit("["), F.upper(_name(x["k"])), F.lit("]"))))
+    return _replaced(text, spans, lambda x, p: F.when((x["k"] == 5) | (x["s"] < p), F.lit("")).otherwise(F.concat(F.lit("["), F.upper(_name(x["k"])), F.lit("]"))))
 
 
 def sanitize(docs: DataFrame, *, text: str = "text") -> DataFrame:

@@ -32,12 +32,11 @@ from pyspark.sql import functions as F
 
 from reelquery.llm.common import ROW, Scratch, cut, groups
 from reelquery.llm.components import spread_join
-from reelquery.llm.words import ALNUM, WordHashes, mix
+from reelquery.llm.words import ALNUM, HASHES, mix
 
 #: Sentences in a run; words that a run must have.
 SPAN, MIN_WORDS = 2, 28
 _END = re.compile(rb"(?<=[.!?])[\x20\t]+|[\r\n]+")
-_HASHES = WordHashes()
 _FACTOR = 0xD6E8FEB86659FD93
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
 
@@ -64,7 +63,7 @@ def runs(data: bytes, span: int, min_words: int) -> tuple[list[tuple[int, int]],
             counts.append(len(w))
     if not own:
         return own, *[np.zeros(0, np.int64)] * 3
-    h = _HASHES.of(words)
+    h = HASHES.of(words)
     ends = np.cumsum(counts)
     starts = ends - counts
     # The words' hashes folded into one for each sentence: a sum of terms that depend on the place in the sentence.

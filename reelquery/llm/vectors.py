@@ -13,11 +13,11 @@ into blocks of about `BLOCK` vectors at home and `REPLICAS` replicas; a task is
 (replicas need not meet), so no task holds an unbounded group. More pivots would not save comparisons where vectors
 fill the space evenly, but copy each into more cells.
 
-Scale: pivots are a sample of at most `MOST_PIVOTS` vectors (the only thing that is broadcast, 8 bytes a component);
+Scale: pivots are a sample of at most `MOST_PIVOTS` vectors of each dimension (the only thing that is broadcast, 8 bytes a component);
 a task returns counts and a spanning forest of its links, never all links.
 
 Defined results: vectors that are null or zero, or hold null or non-finite components, link with nothing and are their
-own component; so do vectors of another dimension than those compared; rows that share an id are one node, whose
+own component; vectors link with those of their own dimension only; rows that share an id are one node, whose
 links count from each row; a null id links with nothing and has a null component and is kept; an empty table gives an
 empty result.
 """
@@ -28,14 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelquery.llm.common import cut
 from reelquery.llm.components import components, spread_join
 
 #: One pivot for so many vectors, 8 at least and MOST_PIVOTS at most; vectors of a block at home, and of one of replicas.
-PER_PIVOT, MOST_PIVOTS, BLOCK, REPLICAS = 2048, 512, 2048, 8192
+PER_PIVOT, MOST_PIVOTS, BLOCK, REPLICAS = 2048, 2048, 2048, 8192
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -49,23 +49,28 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _assign(shared, eps: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = shared.value
-        gap = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
-        np.fill_diagonal(gap, 1)
+        gaps = {}
+        for d, (pivots, _) in shared.value.items():
+            gaps[d] = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
+            np.fill_diagonal(gaps[d], 1)
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.slice(at, 1024)
-                x = unit(_matrix(part.column(1)))
-                d2 = np.maximum(0, 2 - 2 * x @ pivots.T)
-                home = d2.argmin(1)
-                own = d2[np.arange(len(x)), home]
-                d = np.sqrt(d2)
-                near = d - np.sqrt(own)[:, None] <= 2 * eps + 1e-9
-                near &= (d2 - own[:, None]) / (2 * np.maximum(gap[home], 1e-12)) <= eps + 1e-9
-                near &= np.arange(len(pivots))[None, :] <= home[:, None]
-                near[np.arange(len(x)), home] = True
-                row, cell = np.nonzero(near)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), part.column(2).take(pa.array(row)), pa.array(home[row] == cell)], names=["cell", "id", "v", "w", "home"])
+            sizes = batch.column(1).value_lengths().to_numpy()
+            for d, rows in ((d, np.flatnonzero(sizes == d)) for d in np.unique(sizes).tolist()):
+                pivots, first = shared.value[d]
+                gap = gaps[d]
+                for at in range(0, len(rows), 1024):
+                    part = batch.take(pa.array(rows[at : at + 1024]))
+                    x = unit(_matrix(part.column(1)))
+                    d2 = np.maximum(0, 2 - 2 * x @ pivots.T)
+                    home = d2.argmin(1)
+                    own = d2[np.arange(len(x)), home]
+                    far = np.sqrt(d2)
+                    near = far - np.sqrt(own)[:, None] <= 2 * eps + 1e-9
+                    near &= (d2 - own[:, None]) / (2 * np.maximum(gap[home], 1e-12)) <= eps + 1e-9
+                    near &= np.arange(len(pivots))[None, :] <= home[:, None]
+                    near[np.arange(len(x)), home] = True
+                    row, cell = np.nonzero(near)
+                    yield pa.RecordBatch.from_arrays([pa.array((first + cell).astype(np.int32)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), part.column(2).take(pa.array(row)), pa.array(home[row] == cell)], names=["cell", "id", "v", "w", "home"])
 
     return run
 
@@ -133,17 +138,11 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str =
     usable = rows.where("id is not null and v is not null")
     # Adding 0.0 makes -0.0 and 0.0 equal before they are compared as keys.
     usable = usable.select("id", F.transform("v", lambda x: x + F.lit(0.0).cast(kind)).alias("v"))
-    dims = usable.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    if not dims:
-        return rows.select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component"))
-    usable = usable.where(F.size("v") == dims[0]["dim"]).withColumn("vkey", F.xxhash64("v"))
+    usable = usable.withColumn("vkey", F.xxhash64("v"))
     classes = cut(usable.groupBy("vkey", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w")))
-    total = classes.count()
-    wanted = int(min(MOST_PIVOTS, max(8, total // PER_PIVOT)))
-    part = min(1.0, 4.0 * wanted / total)
-    sample = classes.where(F.pmod(F.xxhash64("vkey", F.lit(7)), F.lit(1 << 30)) < int(part * (1 << 30))).select("v").limit(8 * wanted + 64).collect()
-    pool = unit(np.array([r[0] for r in sample] or [classes.select("v").first()[0]], np.float64))
-    pivots = spread_pivots(pool, wanted)
+    pivots = _pivots(classes)
+    if not pivots:
+        return rows.select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component"))
     eps = float(np.sqrt(2 - 2 * cosine))
     dealt = classes.select("id", "v", "w").mapInArrow(_assign(spark.sparkContext.broadcast(pivots), eps), f"cell int, id bigint, v array<{kind}>, w bigint, home boolean")
     dealt = cut(dealt)
@@ -168,6 +167,29 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str =
     return spread_join(rows.select("id"), member, "id", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("comp", "id").alias("component"))
 
 
+def _pivots(classes: DataFrame) -> dict[int, tuple[np.ndarray, int]]:
+    """Of each dimension (there are few) its pivots and the number of its first cell."""
+    total = {r[0]: r[1] for r in classes.groupBy(F.size("v").alias("d")).count().collect()}
+    wanted = {d: int(min(MOST_PIVOTS, max(8, n // PER_PIVOT))) for d, n in total.items()}
+    if not total:
+        return {}
+    # As many of the smallest hashes as the pool of a dimension may have; the rate keeps what is sorted small.
+    rate = F.create_map(*[F.lit(x) for d, n in total.items() for x in (d, int(min(1.0, 16 * wanted[d] / n) * (1 << 30)))])
+    at = F.pmod(F.xxhash64("vkey", F.lit(7)), F.lit(1 << 30))
+    some = classes.where(at < rate[F.size("v")]).select(F.size("v").alias("d"), at.alias("at"), "v", "vkey")
+    order = Window.partitionBy("d").orderBy("at", "vkey")
+    most = F.create_map(*[F.lit(x) for d in total for x in (d, 8 * wanted[d])])
+    pool: dict[int, list] = {d: [] for d in total}
+    for d, v in some.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most[F.col("d")]).select("d", "v").collect():
+        pool[d].append(v)
+    out, first = {}, 0
+    for d in sorted(total):
+        own = pool[d] or [classes.where(F.size("v") == d).select("v").first()[0]]
+        out[d] = spread_pivots(unit(np.array(own, np.float64)), wanted[d]), first
+        first += len(out[d][0])
+    return out
+
+
 def spread_pivots(pool: np.ndarray, wanted: int) -> np.ndarray:
     """Pivots far from each other: the vector of the pool that is farthest from those chosen, again and again."""
     chosen = [0]

@@ -36,6 +36,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: The hashes of a worker, shared by the operators that run in it.
+HASHES = WordHashes()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     h = h ^ (h >> np.uint64(33))

@@ -146,6 +146,15 @@ def test_pii_terms_far_from_their_entity(spark):
     assert all(got[i]["text"] == t for i, t in rows if i >= 100)
 
 
+def test_pii_many_matches(spark):
+    """Linear in the matches of a text: seconds for hundreds of thousands of numbers, and the same spans in parts."""
+    rows = [(0, ", ".join(str(10 + i % 90) for i in range(400_000))), (1, " ".join(f"u{i}@h{i % 9}.org, +49 30 {1000000 + i}; 10.0.{i % 300}.7" for i in range(700))), (2, "4111 1111 1111 1111, " * 300 + "1 2 3 4 5 6 7 8 9 0 1")]
+    for r in pii.op1(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        agrees(r, rows[r.doc_id][1])
+    clean = rows_of(pii.sanitize(spark.createDataFrame(rows[1:], "doc_id bigint, text string")))
+    assert clean[1]["text"].startswith("[EMAIL], [PHONE]; [IP] [EMAIL]") and clean[2]["text"] == "[CARD], " * 300 + "1 2 3 4 5 6 7 8 9 0 1"
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -646,6 +655,27 @@ def test_vectors(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_awkward(spark):
+    """Several dimensions, repeated and null ids, clashing columns."""
+    rng = np.random.default_rng(3)
+    base = {d: rng.normal(size=d) for d in (3, 5, 16)}
+    rows = [(100 * d + i, (v + rng.normal(size=d) * 0.1).tolist()) for d, v in base.items() for i in range(9 * (d % 4 + 1))]
+    rows += [(7, base[3].tolist()), (8, (2 * base[3]).tolist()), (9, [1.0, 0.0]), (10, [3.0, 0.0]), (11, [1.0])]
+    want = brute_vectors([r for r in rows if len(r[1]) == 3]) | brute_vectors([r for r in rows if len(r[1]) == 5]) | brute_vectors([r for r in rows if len(r[1]) == 16]) | brute_vectors([r for r in rows if len(r[1]) < 3 and r[0] != 11]) | {11: (0, 11)}
+    df = spark.createDataFrame([(*r, 1, "x", 2) for r in [*rows, (None, [1.0, 0.0])]], "vec_id bigint, embedding array<double>, id int, v string, comp int")
+    got = vectors.op10(spark, df).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got if r["vec_id"] is not None} == want
+    assert [(r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"] is None] == [(0, None, True)]
+    twice = vectors.op10(spark, spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0])], "vec_id bigint, embedding array<double>")).collect()
+    assert len(twice) == 4 and {r["component_id"] for r in twice} == {1}
+
+
+def test_vectors_of_the_table(spark):
+    rows = duckdb.sql(f"select vec_id, embedding from '{SF}/embeddings.parquet'").fetchall()
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in queries.op10_vectors(spark, SF).collect()}
+    assert got == brute_vectors(rows)
+
+
 def test_vectors_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 30)
     monkeypatch.setattr(vectors, "REPLICAS", 70)
