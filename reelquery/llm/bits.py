@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelquery.llm.worker import tidy
+
 #: Bits of a filter: 8 MB, whatever it stands for.
 FILTER_BITS = 1 << 26
 
@@ -50,4 +52,4 @@ def maybe_in(rows: DataFrame, keys: DataFrame, column: str, then=None, schema: s
     hashed = F.xxhash64(column).alias("k")
     shared = rows.sparkSession.sparkContext.broadcast(Bits(keys.select(hashed)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.select(hashed, *[f"`{c}`" for c in rows.columns]).mapInArrow(_run(shared, then), schema or fields)
+    return rows.select(hashed, *[f"`{c}`" for c in rows.columns]).mapInArrow(tidy(_run(shared, then)), schema or fields)

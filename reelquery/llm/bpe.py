@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from reelquery.llm.common import ROW, carried, groups
 from reelquery.llm.pieces import Pieces, cuts, default_path, valid
+from reelquery.llm.worker import remembered
 
 #: Chunks have 256 to 8192 bytes, 1 KB more than the least on average.
 LEAST, MOST, MASK = 256, 8192, 1023
@@ -121,12 +122,9 @@ class Reuse:
                 self.held += len(c) + 4 * len(self.chunks[c][2]) + 400
 
 
-_REUSE: dict[str, Reuse] = {}
-
-
 def _run(path: str, want: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reuse = _REUSE.get(path) or _REUSE.setdefault(path, Reuse(path))
+        reuse = remembered(("chunks", path), lambda: Reuse(path))
         for batch in batches:
             texts = [valid(x.as_py()) for x in batch.column(1)]
             for i, j in groups(texts, 2 << 20):

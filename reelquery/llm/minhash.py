@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 from reelquery.llm.bits import maybe_in
 from reelquery.llm.common import Scratch, cut
 from reelquery.llm.components import components, spread_join
-from reelquery.llm.words import HASHES, mix, shingles, spaced_words
+from reelquery.llm.words import mix, shingles, spaced_words, word_hashes
+from reelquery.llm.worker import tidy
 
 #: Keys in each of the two collections, and minhashes in a key.
 M, A = 11, 3
@@ -50,7 +51,7 @@ _SEEDS = mix(np.arange(1, 2 * M * A + 1, dtype=np.uint64) * np.uint64(0x9E3779B9
 
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     """Distinct hashes of the text's shingles, ascending."""
-    return np.unique(shingles(HASHES.of(spaced_words(text)), k)) if text else np.zeros(0, np.uint64)
+    return np.unique(shingles(word_hashes(spaced_words(text)), k)) if text else np.zeros(0, np.uint64)
 
 
 def keys_of(sets: list[np.ndarray]) -> np.ndarray:
@@ -126,7 +127,7 @@ class Links:
         other = self.texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
         hub = self.texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
         both = spread_join(spread_join(new, other.hint("merge"), "b"), hub.hint("merge"), "a").select("a", "b", "ta", "tb")
-        found = self.scratch.keep(both.mapInArrow(_confirm(self.k, self.percent), "a bigint, b bigint"))
+        found = self.scratch.keep(both.mapInArrow(tidy(_confirm(self.k, self.percent)), "a bigint, b bigint"))
         self.tested, self.links = self.tested.union(new), self.links.union(found)
 
     def components(self) -> DataFrame:
@@ -137,7 +138,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """One row per input row: id, n (shingles), component (the smallest id reachable by links; the id itself if none)."""
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("binary").alias("text"))
-    signed = cut(rows.mapInArrow(_signatures(words), "id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>"))
+    signed = cut(rows.mapInArrow(tidy(_signatures(words)), "id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>"))
     real = signed.where("n > 0 and id is not null")
     classes = cut(real.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
 

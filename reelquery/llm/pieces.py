@@ -33,7 +33,6 @@ _CUT = np.zeros((7, 7), np.bool_)
 for _x, _y in ((_LETTER, _OTHER), (_LETTER, _DIGIT), (_DIGIT, _LETTER), (_DIGIT, _OTHER), (_OTHER, _DIGIT), (_OTHER, _LETTER)):
     _CUT[_x, _y] = True
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
-_TOKENIZERS: dict[str, object] = {}
 #: Slots in which a piece is looked for first, by its hash.
 _SLOT_MASK = np.uint64((1 << 22) - 1)
 
@@ -99,17 +98,15 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def tokenizer(path: str):
-    """The tokenizer of a file, loaded once in each worker, without threads of its own."""
-    if path not in _TOKENIZERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        t.model._resize_cache(0)  # pieces are told apart before they are encoded
-        _TOKENIZERS[path] = t
-    return _TOKENIZERS[path]
+    """The tokenizer of a file, without threads of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    t.model._resize_cache(0)  # pieces are told apart before they are encoded
+    return t
 
 
 def default_path(name: str) -> str:

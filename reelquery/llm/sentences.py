@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from reelquery.llm.common import ROW, Scratch, cut, groups
 from reelquery.llm.components import spread_join
-from reelquery.llm.words import ALNUM, HASHES, mix
+from reelquery.llm.words import ALNUM, mix, word_hashes
+from reelquery.llm.worker import tidy
 
 #: Sentences in a run; words that a run must have.
 SPAN, MIN_WORDS = 2, 28
@@ -62,7 +63,7 @@ def runs(data: bytes, span: int, min_words: int) -> tuple[list[tuple[int, int]],
             counts.append(len(w))
     if not own:
         return own, *[np.zeros(0, np.int64)] * 3
-    h = HASHES.of(words)
+    h = word_hashes(words)
     ends = np.cumsum(counts)
     starts = ends - counts
     # The words' hashes folded into one for each sentence: a sum of terms that depend on the place in the sentence.
@@ -148,7 +149,7 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     key = F.col(f"`{doc_id}`").cast("bigint")
     scratch = Scratch(docs.sparkSession)
     found = docs.select(key.alias("id"), F.col(f"`{text}`").cast("binary").alias("t")).where("id is not null and t is not null")
-    hashed = scratch.keep(found.mapInArrow(_hashes(span, min_words), "id bigint, runs array<bigint>, repeats boolean"))
+    hashed = scratch.keep(found.mapInArrow(tidy(_hashes(span, min_words)), "id bigint, runs array<bigint>, repeats boolean"))
     each = hashed.select("id", F.explode("runs").alias("run"))
     shared = each.groupBy("run").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("run", "first")
     later = spread_join(each, shared, "run").where("id <> first").select("id", "run").union(hashed.where("repeats").select("id", F.lit(None).cast("bigint")))
@@ -159,7 +160,7 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     check = (F.col("gone").isNotNull() | F.col("__id").isNull()).alias("check")
     # A merge join at every size: documents with removals grow with the data.
     joined = spread_join(rows, later.hint("merge"), "__id", "left").select(ROW, "__text", "gone", check)
-    return joined.mapInArrow(_clean(span, min_words), f"{ROW} {kind}, clean binary, n_sentences bigint, n_removed bigint, spans array<array<bigint>>")
+    return joined.mapInArrow(tidy(_clean(span, min_words)), f"{ROW} {kind}, clean binary, n_sentences bigint, n_removed bigint, spans array<array<bigint>>")
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str, keep: list[str] | None) -> DataFrame:

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from reelquery.llm.common import groups, new_path, shuffle_partitions
 from reelquery.llm.pieces import Pieces, default_path, spread, valid
+from reelquery.llm.worker import remembered
 
 #: Ids in a block, pairs replaced in a round at most, and how often a pair must occur: a rule takes 12 bytes (with its length) and saves 2 for each time it is used.
 BLOCK, PAIRS, OFTEN = 1_000_000, 4096, 16
@@ -178,12 +179,9 @@ class Block:
         return s
 
 
-_ENCODERS: dict[str, Pieces] = {}
-
-
 def _write(path: str, end_id: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Pieces(path))
+        encoder = remembered(("pieces", path), lambda: Pieces(path))
         base = max(encoder.tokenizer.get_vocab_size(), end_id + 1)
         part = TaskContext.get().partitionId()
         ids: list[np.ndarray] = []

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from reelquery.llm.worker import remembered
+
 _LOWER = {c: c + 32 for c in range(65, 91)}
 #: Words of letters, digits and everything beyond ASCII: A-Z lower-cased, all other ASCII becomes a space.
 ALNUM = bytes(_LOWER.get(c, c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
@@ -36,8 +38,9 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-#: The hashes of a worker, shared by the operators that run in it.
-HASHES = WordHashes()
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, remembered in the worker until another operator needs its memory."""
+    return remembered(WordHashes, WordHashes).of(words)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
