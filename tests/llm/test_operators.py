@@ -736,3 +736,19 @@ def test_pipeline_awkward(spark, tmp_path):
         stage(spark, frame, SF).write.parquet(str(tmp_path / f"none{k}"))
         frame = spark.read.parquet(str(tmp_path / f"none{k}"))
     assert frame.count() == 0
+
+
+def test_worker_holds_one_operator():
+    from reelquery.llm import worker
+
+    made = []
+    make = lambda name: lambda: made.append(name) or [name]
+    a = worker.remembered("a", make("a"))
+    assert worker.remembered("a", make("a")) is a
+    worker.remembered("b", make("b"))
+    worker.remembered("a", make("a"))
+    assert made == ["a", "b", "a"]
+    assert list(worker.tidy(lambda batches: (x + 1 for x in batches))(iter([1, 2]))) == [2, 3]
+    worker.remembered("a", make("a"))
+    assert made == ["a", "b", "a", "a"]
+    worker.forget()
