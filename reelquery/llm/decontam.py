@@ -5,7 +5,9 @@ along each document; wherever the longest match that ends at a word is at least
 `window` words occur in an item and are hit. An item of fewer words (but not none) must occur whole.
 
 Scale: one pass over the documents, no shuffle. The automaton is broadcast and holds at most `BLOCK_WORDS` item
-words; a larger benchmark is read in blocks, one chained pass for each, so nothing that is broadcast grows with the data.
+words; a larger benchmark is read in blocks, one pass for each. At most `CHAINED` passes share a stage; then what is found
+so far is written to the shared folder and the next stage reads it. So neither what is broadcast at once nor what a task
+holds (about `CHAINED` times 50 MB) grows with the benchmark.
 
 Defined results: null or wordless text has no words and no hits; repeated documents are judged row by row; items that
 share an id count as one; an item with a null id is named "null"; wordless items are ignored; empty tables give empty
@@ -23,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquery.llm.common import ROW, carried
+from reelquery.llm.common import ROW, carried, cut
 from reelquery.llm.words import ALNUM, alnum_words
 
 #: Most item words in one automaton: about 2 states and 0.5 KB a word, so at most some 50 MB.
 BLOCK_WORDS = 100_000
+#: Most passes in one stage, each with its own automaton in a worker.
+CHAINED = 6
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -257,13 +261,15 @@ def scan(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str
     out = carried(docs, text, docs.columns if keep is None else keep)
     row = out.schema[ROW].dataType.simpleString()
     blocks = automata(items, item_id, item_text, window, block_words)
-    here = next(blocks)
+    here, passes = next(blocks), 0
     while here is not None:
+        if passes == CHAINED:
+            out, passes = cut(out), 0
         following = next(blocks, None)
         last = following is None
         schema = f"{ROW} {row}, " + ("" if last else "__text binary, ") + "n_words bigint, n_hit bigint, items array<string>, spans array<array<bigint>>" + (", clean binary" if last and clean else "")
         out = out.mapInArrow(_scan(spark.sparkContext.broadcast(here), last, clean), schema)
-        here = following
+        here, passes = following, passes + 1
     return out
 
 

@@ -42,6 +42,18 @@ def weird(spark):
     return spark.createDataFrame([r + extra for r in rows], CLASH)
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    cur = duck.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in cur.description]
+    got = queries.queries()[name](spark, SF)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(cur.fetchall())
+
+
 def nothing(spark):
     return spark.createDataFrame([], CLASH)
 
@@ -181,8 +193,9 @@ def test_decontaminate(spark, docs):
     assert all(tuple(got[i])[1:] == brute_hits(t, item_rows) for i, t, _ in docs)
 
 
-@pytest.mark.parametrize("block", [100_000, 12])
-def test_decontaminate_awkward(spark, block):
+@pytest.mark.parametrize(("block", "chained"), [(100_000, 6), (12, 6), (12, 1)])
+def test_decontaminate_awkward(spark, monkeypatch, block, chained):
+    monkeypatch.setattr(decontam, "CHAINED", chained)
     w, it = weird(spark), items(spark)
     item_rows = [tuple(r) for r in it.collect()]
     found = decontam.scan(w, it, keep=["doc_id", "text"], clean=True, block_words=block).collect()
