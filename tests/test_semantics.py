@@ -9,7 +9,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from reelquery.functions import parse, sampling, temporal, vector
-from reelquery.operators import balance, contrastive, lookups, merge, negatives, order, report, retrieval, rewards, turns, validate
+from reelquery.operators import balance, contrastive, lookups, merge, negatives, order, report, retrieval, rewards, serving, turns, validate
 from reelquery.sources import adapters, jsonl, sinks
 
 
@@ -312,3 +312,22 @@ def test_numbers_beyond_the_sample(spark, monkeypatch):
         total += by[k]
         assert upto[k] == total
     assert order.numbered(df.limit(0), ["k"], "at").count() == 0
+
+
+def test_retries_and_progress(spark):
+    rows = [("a", 1, None, None, "e1"), ("a", 2, True, "x", None), ("b", 1, False, None, "e1"), ("b", 2, False, None, "e2"), ("b", 3, True, "late", None), ("c", 1, True, None, None)]
+    attempts = spark.createDataFrame(rows, "key string, at int, ok boolean, content string, error string")
+    got = {r.key: tuple(r)[1:] for r in serving.with_retries(attempts, "key", "at", 1).collect()}
+    assert got == {"a": ("x", None, 2), "b": ("", "e2", 2), "c": (None, None, 1)}
+    assert serving.with_retries(attempts.limit(0), "key", "at", 1).count() == 0
+    one = spark.range(1).select(serving.progress(F.lit(5), F.lit(20), F.lit(10.0)).alias("p"), serving.progress(F.lit(0), F.lit(0), F.lit(0.0)).alias("z")).first()
+    assert tuple(one.p) == (25.0, 0.5, 30.0) and tuple(one.z) == (0.0, 0.0, 0.0)
+
+
+def test_refresh(spark):
+    steps = spark.createDataFrame([(0, 1), (9, 1), (10, 1), (19, 2), (20, None)], "step int, qid int")
+    mined = spark.createDataFrame([(1, 0, 7), (1, 10, 8), (2, 0, 9)], "qid int, point int, neg int")
+    assert {(r.step, r.neg) for r in serving.refreshed(steps, mined, 10).collect()} == {(0, 7), (9, 7), (10, 8), (19, None), (20, None)}
+    assert {(r.step, r.neg) for r in serving.refreshed(steps, mined, 0).collect()} == {(0, 7), (9, 7), (10, 7), (19, 9), (20, None)}
+    due = lambda every, last: [r.step for r in steps.where(serving.refresh_due(F.col("step"), F.lit(last), every)).orderBy("step").collect()]
+    assert due(10, None) == [10, 20] and due(10, 20) == [10] and due(0, None) == []
