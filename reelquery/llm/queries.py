@@ -1,7 +1,7 @@
 """The queries of this subpackage: `queries()` and, where SQL can express them, `oracle_sql()`.
 
-Each `opN_<name>` applies its operator with production parameters to the whole table. SQL is given for 2, 5 and 10 (see
-`sql`); the rest are models, file formats and tokenizers, or add spans that follow from corpus statistics (1, 6).
+Each `opN_<name>` applies its operator with production parameters to the whole table. SQL is given for 2, 5, 10, 11 and 12 (see
+`sql`); the rest are models, file formats, tokenizers and eigenvectors, or add spans that follow from corpus statistics (1, 6).
 tests/llm holds every query against SQL, a brute-force version, an exact round trip or held-out accuracy.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelquery.llm import bpe, decontam, langid, licenses, minhash, pii, sentences, sql, tokenfile, toxicity, vectors
+from reelquery.llm import bpe, decontam, langid, licenses, minhash, pii, quality, retention, sentences, sql, tokenfile, toxicity, vectors, whitening
 from reelquery.llm.common import table
 
 
@@ -55,10 +55,22 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.op10(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op11(table(spark, sf_dir, "documents"))
+
+
+def op12_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retention.op12(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "clients"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.op13(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pii, op2_decontaminate, op3_language, op4_token_files, op5_minhash, op6_sentence_spans, op7_bpe, op8_licenses, op9_toxicity, op10_vectors]
+    found = [op1_pii, op2_decontaminate, op3_language, op4_token_files, op5_minhash, op6_sentence_spans, op7_bpe, op8_licenses, op9_toxicity, op10_vectors, op11_quality, op12_retention, op13_whitening]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": sql.OP2, "op5_minhash": sql.OP5, "op10_vectors": sql.OP10}
+    return {"op2_decontaminate": sql.OP2, "op5_minhash": sql.OP5, "op10_vectors": sql.OP10, "op11_quality": sql.OP11, "op12_retention": sql.OP12}
