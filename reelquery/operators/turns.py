@@ -96,6 +96,26 @@ def stop_reason(answer: Column, has_token: Column, updated: Column, turn: Column
     )
 
 
+def search_turns(df: DataFrame, max_turns: int) -> DataFrame:
+    """The rows that `streaming.machine.search` emits, from a table of all turns (idx, turn, query, answer, instruction, retrieved, truth).
+
+    A turn is worked off if all turns before it are there, none of them was answered `matched`, and it isn't beyond
+    max_turns; of turns with one number any counts.
+    """
+    w = Window.partitionBy("idx").orderBy("turn")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    one = df.where(F.col("idx").isNotNull() & F.col("turn").between(1, max_turns)).dropDuplicates(["idx", "turn"])
+    matched, refused = F.col("answer").eqNullSafe(F.lit("matched")), F.col("answer").eqNullSafe(F.lit("not_matched"))
+    right = F.coalesce(F.col("retrieved") == F.col("truth"), F.lit(False))
+    told = F.coalesce(F.col("instruction"), F.lit("")) != ""
+    base = F.coalesce(F.first("query").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(""))
+    state = F.when(matched, "matched").when(F.col("turn") >= max_turns, "max_turn").otherwise("active")
+    following = F.when(state == "active", F.when(told, F.concat(base, F.lit("\n"), F.col("instruction"))).otherwise(base))
+    out = one.withColumns({"__n": F.row_number().over(w), "__ended": F.coalesce(F.max(matched).over(before), F.lit(False)), "state": state, "next_query": following})
+    out = out.withColumn("search_query", F.coalesce(F.lag("next_query").over(w), base)).where("__n = turn and not __ended")
+    return out.select("idx", "turn", "search_query", "answer", (matched | refused).alias("answer_ok"), (refused & told).alias("instruction_ok"), (right & matched).alias("correct_accept"), (~right & refused).alias("correct_reject"), "state", "next_query")
+
+
 def conversation_summary(df: DataFrame, key: str, pos: str, digits: int = 6) -> DataFrame:
     """Per conversation over its non-shadow turns: final_correct, middle_correct_rate, turn_penalty, format_search, format_answer, format_instruction; a conversation of shadow turns only gets zeros."""
     real = ~F.col("shadow")

@@ -8,11 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelquery.operators.report import markdown
-
-
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+from reelquery.sources.snapshots import Table
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -20,15 +16,27 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def replace_whole(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """Writes beside the target, then renames: readers see the old folder or the new one."""
-    spark = df.sparkSession
-    beside = f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex}"
-    df.write.option("ignoreNullFields", "false").format(fmt).save(beside)
-    target, fs = _fs(spark, path)
-    fs.delete(target, True)
-    if not fs.rename(_fs(spark, beside)[0], target):
-        raise OSError(f"{beside} can't be renamed to {path}")
+def replace_whole(df: DataFrame, path: str) -> int:
+    """Replaces all rows of a snapshot table and returns its version: readers (`read_whole`) see the old rows or the new ones, never neither."""
+    return Table(df.sparkSession, path).replace(df)
+
+
+def read_whole(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The rows that stand in a snapshot table."""
+    return Table(spark, path).read(version)
+
+
+def replace_file(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file beside its target, then moves it over the target in one step."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    target, beside = fs.Path(path), fs.Path(f"{path}.tmp-{uuid.uuid4().hex}")
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = store.create(beside, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    fs.FileContext.getFileContext(store.getUri(), spark._jsc.hadoopConfiguration()).rename(store.makeQualified(beside), store.makeQualified(target), over)
 
 
 def write_summary(df: DataFrame, path: str) -> None:

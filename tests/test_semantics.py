@@ -267,8 +267,11 @@ def test_sinks(spark, tmp_path):
     text = "".join(f.read_text() for f in (tmp_path / "out").glob("part*"))
     assert json.loads(text) == {"a": 1, "b": None, "c": "é"} and "é" in text
     for n in (1, 2):
-        sinks.replace_whole(spark.range(n), str(tmp_path / "whole"), "parquet")
-    assert spark.read.parquet(str(tmp_path / "whole")).count() == 2
+        assert sinks.replace_whole(spark.range(n), str(tmp_path / "whole")) == n
+    assert sinks.read_whole(spark, str(tmp_path / "whole")).count() == 2 and sinks.read_whole(spark, str(tmp_path / "whole"), 1).count() == 1
+    for text in ("a", "bé"):
+        sinks.replace_file(spark, str(tmp_path / "one.json"), text)
+    assert (tmp_path / "one.json").read_text() == "bé" and not list(tmp_path.glob("one.json.tmp*"))
     table = sinks.write_leaderboard(spark.createDataFrame([("x", 0.5)], "label string, score double"), str(tmp_path / "board"))
     assert table.splitlines()[2] == "| x | 0.5000 |"
     assert sinks.upsert_block("a: 1\nb:\n  c: 2\nd: 3\n", "b", "b: 9") == "a: 1\nb: 9\nd: 3\n"
