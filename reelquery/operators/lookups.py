@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,18 +51,64 @@ def best_extension(files: DataFrame, path: str, ord: str, priority: list[str]) -
 
 
 def bag_match(requests: DataFrame, meta: DataFrame, query: str, pos: str, ord: str) -> DataFrame:
-    """Matches request rows to meta rows one to one: the n-th request of a (query, pos) takes the n-th meta row of that pair.
+    """query, ord, meta_ord: requests matched to meta rows one to one, in order of the requests.
 
-    Requests without a pos take what rows of the query are left in order of meta. Exact where the requests of a query
-    all have a pos or all lack one; mixed queries first serve those with a pos.
+    A request with a pos takes the first free meta row of its (query, pos), one without the first free row of its query.
+    Where the requests of a query all have a pos or all lack one, the n-th request takes the n-th row (a window join). Where
+    they are mixed, who comes first decides, and the query's rows are folded in order; such a query's rows meet in a task, as
+    two columns. Requests without a query match nothing.
     """
-    w_pair = Window.partitionBy(query, pos).orderBy(ord)
-    r = requests.withColumn("__n", F.row_number().over(w_pair))
-    m = meta.withColumn("__n", F.row_number().over(w_pair)).select(query, F.col(pos).alias("__pos"), F.col(ord).alias("meta_ord"), "__n")
-    paired = r.where(F.col(pos) != "").join(m.withColumnRenamed("__pos", pos), [query, pos, "__n"]).select(query, ord, "meta_ord")
-    left = m.join(paired.select("meta_ord"), "meta_ord", "left_anti").withColumn("__k", F.row_number().over(Window.partitionBy(query).orderBy("meta_ord")))
-    open_ = requests.where(F.coalesce(F.col(pos), F.lit("")) == "").withColumn("__k", F.row_number().over(Window.partitionBy(query).orderBy(ord)))
-    return paired.unionByName(open_.join(left.select(query, "__k", "meta_ord"), [query, "__k"]).select(query, ord, "meta_ord"))
+    some = requests.where(F.coalesce(F.col(query), F.lit("")) != "").select(query, F.coalesce(F.col(pos), F.lit("")).alias(pos), ord)
+    known = meta.select(query, F.coalesce(F.col(pos), F.lit("")).alias(pos), F.col(ord).alias("meta_ord"))
+    kinds = some.groupBy(query).agg(F.bool_or(F.col(pos) == "").alias("o"), F.bool_or(F.col(pos) != "").alias("p"))
+    mixed = kinds.where("o and p").select(query)
+
+    plain = some.join(mixed, query, "left_anti")
+    pair = lambda df, o: df.withColumn("__n", F.row_number().over(Window.partitionBy(query, pos).orderBy(o)))
+    paired = pair(plain.where(F.col(pos) != ""), ord).join(pair(known, "meta_ord"), [query, pos, "__n"]).select(query, ord, "meta_ord")
+    line = lambda df, o: df.withColumn("__n", F.row_number().over(Window.partitionBy(query).orderBy(o)))
+    open_ = line(plain.where(F.col(pos) == ""), ord).join(line(known, "meta_ord").drop(pos), [query, "__n"]).select(query, ord, "meta_ord")
+
+    left = some.join(mixed, query, "left_semi").select(query, F.col(pos).alias("pos"), F.col(ord).cast("bigint").alias("ord"))
+    right = known.join(mixed, query, "left_semi").select(query, F.col(pos).alias("pos"), F.col("meta_ord").cast("bigint").alias("ord"))
+    shape = f"`{query}` string, `{ord}` bigint, meta_ord bigint"
+    folded = left.groupBy(query).cogroup(right.groupBy(query)).applyInArrow(_folded(query, ord), shape)
+    return paired.unionByName(open_).unionByName(folded)
+
+
+def _folded(query: str, ord: str):
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = right.sort_by("ord")
+        meta, at = rows.column("pos").to_pylist(), rows.column("ord").to_numpy()
+        buckets: dict[str, list[int]] = {}
+        for i, p in enumerate(meta):
+            buckets.setdefault(p, []).append(i)
+        next_of = dict.fromkeys(buckets, 0)
+        used, front = bytearray(len(meta)), 0
+        took: list[tuple[int, int]] = []
+        asked = left.sort_by("ord")
+        for p, o in zip(asked.column("pos").to_pylist(), asked.column("ord").to_pylist(), strict=True):
+            own, i = (buckets.get(p, []), next_of.get(p, 0)) if p else (range(len(meta)), front)
+            while i < len(own) and used[own[i]]:
+                i += 1
+            if i < len(own):
+                used[own[i]] = 1
+                took.append((o, own[i]))
+                i += 1
+            if p:
+                next_of[p] = i
+            else:
+                front = i
+        return pa.table({query: pa.array([key[0].as_py()] * len(took), pa.string()), ord: pa.array([o for o, _ in took], pa.int64()), "meta_ord": pa.array([int(at[i]) for _, i in took], pa.int64())})
+
+    return run
+
+
+def bag_skips(requests: DataFrame, matched: DataFrame, query: str, pos: str, ord: str) -> DataFrame:
+    """reason, n of the requests that bag_match left out: query_empty, query_pair_not_found_in_meta, query_not_found_in_meta."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    out = requests.join(matched.select(ord), ord, "left_anti")
+    return out.groupBy(F.when(blank(query), "query_empty").when(blank(pos), "query_not_found_in_meta").otherwise("query_pair_not_found_in_meta").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def not_done(df: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelquery.functions.permute import half_bits, permuted
 from reelquery.operators.order import numbered
 from reelquery.operators.retrieval import top_k
 
@@ -43,15 +44,22 @@ def merged_sources(*sources: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def pooled(sources: list[DataFrame], size: int) -> DataFrame:
-    """qid, neg, place: negatives from sources in order of priority (each qid, neg, at), each negative once, `size` a query."""
+def pooled(sources: list[DataFrame], size: int, docs: DataFrame | None = None, queries: DataFrame | None = None, seed: int = 0) -> DataFrame:
+    """qid, neg, place: negatives from sources in order of priority (each qid, neg, at), each negative once, `size` a query; with docs and
+    queries (qid, pos), pools that are too small are filled with random docs that aren't the positive or in the pool."""
     every = None
     for n, s in enumerate(sources):
         part = s.select("qid", "neg", F.lit(n).alias("source"), F.col("at").cast("bigint").alias("at"))
         every = part if every is None else every.unionByName(part)
     first = every.groupBy("qid", "neg").agg(F.min(F.struct("source", "at")).alias("p"))
     w = Window.partitionBy("qid").orderBy("p.source", "p.at", "neg")
-    return first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= size).select("qid", "neg", "place")
+    chosen = first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= size).select("qid", "neg", "place")
+    if docs is None:
+        return chosen
+    missing = queries.join(chosen.groupBy("qid").agg(F.count(F.lit(1)).alias("has")), "qid", "left").fillna(0, ["has"])
+    drawn = random_negatives(docs, missing, F.lit(size) - F.col("has"), seed, chosen.select("qid", F.col("neg").alias("doc")))
+    filled = drawn.join(missing.select("qid", "has"), "qid").select("qid", F.col("doc").alias("neg"), (F.col("place") + F.col("has")).cast("int").alias("place"))
+    return chosen.unionByName(filled)
 
 
 def strict(df: DataFrame, margin: float, k: int) -> DataFrame:
@@ -66,13 +74,30 @@ def hash_order(*keys: Column, seed: int = 0) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]).cast("binary"))
 
 
-def random_negatives(docs: DataFrame, queries: DataFrame, need: int, seed: int = 0) -> DataFrame:
-    """qid, doc, place: `need` random docs other than the positive. Draws from a window of the docs in hash order that starts at the query's own hash, so no query meets all docs."""
-    ring = docs.select("doc", hash_order(F.col("doc"), seed=seed).alias("h"))
+def random_negatives(docs: DataFrame, queries: DataFrame, need: int | Column, seed: int = 0, banned: DataFrame | None = None) -> DataFrame:
+    """qid, doc, place: `need` random docs of each query, without replacement, none of them its `pos` or banned (qid, doc).
+
+    Each query draws by a permutation of its own (`functions.permute`): its tries are the permutation's first places, of which
+    those beyond the docs or banned are passed over, a bounded number of times; what is still missing is filled in order
+    of the docs. Docs are distinct; their places follow their order.
+    """
+    ring = docs.select("doc")
     n = ring.count()
-    placed = numbered(ring, ["h", "doc"], "at")
-    wanted = queries.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), F.col("qid")), F.lit(max(n, 1))))
-    steps = wanted.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(min(need, max(n - 1, 0))))))
-    drawn = steps.withColumn("at", F.pmod(F.col("start") + F.col("step"), F.lit(max(n, 1)))).join(placed, "at").where("doc <> pos")
+    placed = numbered(ring, ["doc"], "at")
+    no = queries.select("qid", F.col("pos").alias("doc")).where("doc is not null")
+    no = no.unionByName(banned.select("qid", "doc")).distinct() if banned is not None else no
+    wanted = queries.select("qid", (need if isinstance(need, Column) else F.lit(need)).cast("bigint").alias("need"))
+    wanted = wanted.join(no.groupBy("qid").agg(F.count(F.lit(1)).alias("banned")), "qid", "left").fillna(0, ["banned"]).where("need > 0")
+    domain = 1 << 2 * half_bits(n)
+    tries = F.least(F.lit(domain), 8 * (F.col("need") + F.col("banned")) + 64)
+    steps = wanted.withColumn("step", F.explode(F.sequence(F.lit(0).cast("bigint"), tries - 1)))
+    drawn = permuted(steps, "step", "qid", n, seed, "at").join(placed, "at").join(no, ["qid", "doc"], "left_anti")
     own = Window.partitionBy("qid").orderBy("step")
-    return drawn.withColumn("place", F.row_number().over(own)).where(F.col("place") <= need).select("qid", "doc", "place")
+    picked = drawn.withColumn("place", F.row_number().over(own)).where("place <= need").select("qid", "doc", "place", "need")
+    short = wanted.join(picked.groupBy("qid").agg(F.count(F.lit(1)).alias("has")), "qid", "left").fillna(0, ["has"]).where(F.col("has") < F.least(F.col("need"), F.lit(n)))
+    # Among the first need + banned docs enough are neither banned nor picked, if the docs suffice at all.
+    rest = short.withColumn("at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("need") + F.col("banned")))).join(placed, "at")
+    rest = rest.join(no, ["qid", "doc"], "left_anti").join(picked, ["qid", "doc"], "left_anti")
+    late = Window.partitionBy("qid").orderBy("at")
+    filled = rest.withColumn("place", (F.row_number().over(late) + F.col("has")).cast("int")).where("place <= need")
+    return picked.select("qid", "doc", "place").unionByName(filled.select("qid", "doc", "place"))

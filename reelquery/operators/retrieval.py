@@ -1,35 +1,32 @@
 """Exact inner-product retrieval, ranks and rank metrics.
 
 Scoring every query against every item is what an exact flat index means. Two forms give the same rows: `scores` +
-`top_k` in SQL, for any size of the query side that the optimizer may broadcast, and `top_k_blocks`, which scores
-bounded blocks of queries with a matrix product in Python for large inputs.
+`top_k` (or `optimistic_rank`) in SQL, where other work needs the scores of all pairs, and `top_k_blocks` (or `grid.ranks`),
+where blocks of queries and corpus meet in a grid join and pairs never become rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelquery.functions.vector import dot
+from reelquery.operators import grid
+from reelquery.operators.quantiles import exact
 
-#: Bytes of a query side that may be broadcast, and query vectors in one block of the matrix form.
-BROADCAST_BYTES, QUERY_BLOCK = 64 << 20, 4096
-
-
-def small(df: DataFrame, rows: int, bytes_per_row: int) -> DataFrame:
-    """A broadcast hint where the counted rows are within the bound; else the plain side, and the join is shuffled."""
-    return F.broadcast(df) if rows * bytes_per_row <= BROADCAST_BYTES else df
+#: Bytes of a query side that may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """qid, doc, score of all pairs. queries: qid, qvec; corpus: doc, dvec. The query side is broadcast if it is small."""
+    """qid, doc, score of all pairs. queries: qid, qvec; corpus: doc, dvec. The query side is broadcast if it is small, else blocks of both sides meet by key."""
     n = queries.count()
     dim = queries.select(F.max(F.size("qvec"))).first()[0] or 1
-    return corpus.crossJoin(small(queries, n, 16 + 8 * dim)).select("qid", "doc", dot(F.col("qvec"), F.col("dvec")).alias("score"))
+    score = dot(F.col("qvec"), F.col("dvec")).alias("score")
+    if n * (16 + 8 * dim) <= BROADCAST_BYTES:
+        return corpus.crossJoin(F.broadcast(queries)).select("qid", "doc", score)
+    left, right = grid.keyed(queries, corpus, grid.sizes(queries, corpus))
+    return left.join(right, ["qb", "cb"]).select("qid", "doc", score)
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -43,47 +40,9 @@ def top_1(scored: DataFrame) -> DataFrame:
     return scored.groupBy("qid").agg(F.max_by("doc", F.struct("score", -F.col("doc"))).alias("doc"), F.max("score").alias("score"))
 
 
-def _block(shared, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = shared.value
-        best = [np.zeros((0,), np.float64)] * len(ids)
-        docs = [np.zeros((0,), np.int64)] * len(ids)
-        for batch in batches:
-            own = batch.column(0).to_numpy()
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
-            s = matrix @ x.T
-            for i in range(len(ids)):
-                both, names = np.concatenate((best[i], s[i])), np.concatenate((docs[i], own))
-                order = np.lexsort((names, -both))[:k]
-                best[i], docs[i] = both[order], names[order]
-        sizes = [len(b) for b in best]
-        if sum(sizes):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(best))], names=["qid", "doc", "score"])
-
-    return run
-
-
-def top_k_blocks(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """top_k of scores with bigint ids, by matrix products: queries go out in blocks of a bounded size, each partition of the corpus returns k rows a query, and a last top_k merges them."""
-    spark = queries.sparkSession
-    found, ids, rows = None, [], []
-
-    def score_block() -> DataFrame:
-        shared = spark.sparkContext.broadcast((np.array(ids, np.int64), np.array(rows, np.float64)))
-        return corpus.select(F.col("doc").cast("bigint"), "dvec").mapInArrow(_block(shared, k), "qid bigint, doc bigint, score double")
-
-    for r in queries.select("qid", "qvec").toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) == QUERY_BLOCK:
-            part = score_block()
-            found, ids, rows = part if found is None else found.union(part), [], []
-    if ids or found is None:
-        if not ids:
-            return spark.createDataFrame([], "qid bigint, doc bigint, score double, rank int")
-        part = score_block()
-        found = part if found is None else found.union(part)
-    return top_k(found, k)
+def top_k_blocks(queries: DataFrame, corpus: DataFrame, k: int, self_match: bool = True) -> DataFrame:
+    """top_k of scores with bigint ids, by the grid join, for query sides of any size."""
+    return top_k(grid.nearest(queries, corpus, k, self_match), k)
 
 
 def optimistic_rank(scored: DataFrame, positives: DataFrame) -> DataFrame:
@@ -116,10 +75,19 @@ def recall_at(ranks: Column, k: int) -> Column:
 
 
 def rank_metrics(df: DataFrame, rank: str, ks: tuple[int, ...] = (1, 5, 10), digits: int = 6) -> DataFrame:
-    """Over valid ranks only (non-null and at least 1): n, mean_rank, median_rank, mrr, r_at_k; one row, of nulls but for n where none is valid."""
-    valid = df.where(F.col(rank) >= 1)
-    r = F.col(rank)
-    return valid.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(r), digits).alias("mean_rank"), F.median(r).alias("median_rank"), F.round(F.avg(1 / r), digits).alias("mrr"), *[F.round(recall_at(r, k), digits).alias(f"r_at_{k}") for k in ks])
+    """Over valid ranks only (non-null and at least 1): n, mean_rank, median_rank, mrr, r_at_k; one row, of nulls but for n where none is valid. The exact median is found at once, in bounded memory."""
+    valid = df.select(F.col(rank).alias("r")).where("r >= 1").persist()
+    r = F.col("r")
+    half = exact(valid, r, 0.5)
+    out = valid.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(r), digits).alias("mean_rank"), F.lit(half).cast("double").alias("median_rank"), F.round(F.avg(1 / r), digits).alias("mrr"), *[F.round(recall_at(r, k), digits).alias(f"r_at_{k}") for k in ks])
+    one = df.sparkSession.createDataFrame(out.collect(), out.schema)  # one row
+    valid.unpersist()
+    return one
+
+
+def rank_report(df: DataFrame, rank: str, ks: tuple[int, ...] = (1, 5, 10), digits: int = 6) -> DataFrame:
+    """rank_metrics, without a row where no rank is valid."""
+    return rank_metrics(df, rank, ks, digits).where("n > 0")
 
 
 def rank_curve(df: DataFrame, rank: str, most: int, digits: int = 6) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reelquery.functions.parse import has_tag, last_tag, stripped, times_last
 from reelquery.functions.temporal import iou_strict, span
+from reelquery.operators.quantiles import exact
 from reelquery.operators.turns import final_turn
 
 
@@ -87,6 +88,6 @@ def range_without_nan(value: Column) -> list[Column]:
 
 
 def above_quantile(df: DataFrame, value: str, mask: str, q: float) -> DataFrame:
-    """Adds `kept`: whether an unmasked value reaches the exact, interpolated quantile q of all unmasked ones."""
-    cut = df.where(F.col(mask)).agg(F.percentile(value, q).alias("__cut"))
-    return df.crossJoin(F.broadcast(cut)).withColumn("kept", F.coalesce(F.col(mask) & (F.col(value) >= F.col("__cut")), F.lit(False))).drop("__cut")
+    """Adds `kept`: whether an unmasked value reaches the exact, interpolated quantile q of all unmasked ones (found at once, in bounded memory)."""
+    cut = exact(df.where(F.col(mask)), F.col(value), q)
+    return df.withColumn("kept", F.coalesce(F.col(mask) & (F.col(value) >= F.lit(cut)), F.lit(False)) if cut is not None else F.lit(False))

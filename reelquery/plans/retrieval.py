@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelquery.functions import vector
-from reelquery.operators import contrastive, negatives, retrieval
+from reelquery.operators import contrastive, grid, negatives, retrieval
 from reelquery.plans.registry import Tables, query
 
 _BASE = """
@@ -28,9 +28,16 @@ def _queries(t: Tables) -> DataFrame:
     return t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), "label")
 
 
+def _corpus(t: Tables) -> DataFrame:
+    return t.embeddings.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("dvec"))
+
+
 def _scored(t: Tables) -> DataFrame:
-    corpus = t.embeddings.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("dvec"))
-    return retrieval.scores(_queries(t), corpus).where("doc <> qid")
+    return retrieval.scores(_queries(t), _corpus(t)).where("doc <> qid")
+
+
+def _ranks(t: Tables) -> DataFrame:
+    return grid.ranks(_queries(t), _corpus(t), _positives(t), self_match=False)
 
 
 def _positives(t: Tables) -> DataFrame:
@@ -40,16 +47,13 @@ def _positives(t: Tables) -> DataFrame:
 
 @query(_BASE + "SELECT r.qid, r.doc, round(r.score, 9) AS score, r.rank, r.doc = p.pos AS is_positive FROM ranked r JOIN pos p USING (qid) WHERE r.rank <= 10")
 def retrieval_topk(t: Tables) -> DataFrame:
-    top = retrieval.top_k(_scored(t), 10).join(_positives(t), "qid")
+    top = retrieval.top_k_blocks(_queries(t), _corpus(t), 10, self_match=False).join(_positives(t), "qid")
     return top.select("qid", "doc", F.round("score", 9).alias("score"), "rank", (F.col("doc") == F.col("pos")).alias("is_positive"))
 
 
-@query(_BASE + "SELECT qid, doc, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10")
+@query(_BASE + "SELECT qid, doc, round(score, 9) AS score, rank FROM ranked WHERE rank <= 10")
 def retrieval_topk_blocks(t: Tables) -> DataFrame:
-    # One place more than asked for, as every query also finds itself.
-    corpus = t.embeddings.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("dvec"))
-    found = retrieval.top_k_blocks(_queries(t), corpus, 11).where("doc <> qid").drop("rank")
-    return retrieval.top_k(found, 10).select("qid", "doc", F.round("score", 6).alias("score"), "rank")
+    return retrieval.top_k_blocks(_queries(t), _corpus(t), 10, self_match=False).select("qid", "doc", F.round("score", 9).alias("score"), "rank")
 
 
 @query(_BASE + "SELECT qid, doc, round(score, 9) AS score FROM ranked WHERE rank = 1")
@@ -59,7 +63,7 @@ def retrieval_top1(t: Tables) -> DataFrame:
 
 @query(_BASE + "SELECT qid, string_agg(doc::VARCHAR, ',' ORDER BY rank) FILTER (rank <= 5) AS ids, CASE WHEN max(rank) FILTER (doc = pos AND rank <= 50) IS NULL THEN -1 ELSE max(rank) FILTER (doc = pos AND rank <= 50) END AS rank FROM ranked JOIN pos USING (qid) GROUP BY 1")
 def retrieve_service(t: Tables) -> DataFrame:
-    corpus = t.embeddings.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("dvec"))
+    corpus = _corpus(t)
     # Self-matches come first; the service is asked for one more and the rank is one less.
     q = _queries(t).join(_positives(t), "qid").withColumnRenamed("pos", "target")
     found = retrieval.retrieve(q, corpus, 6, 51)
@@ -69,17 +73,29 @@ def retrieve_service(t: Tables) -> DataFrame:
 
 @query(_BASE + "SELECT qid, rank FROM pos_rank")
 def rank_optimistic(t: Tables) -> DataFrame:
+    return _ranks(t)
+
+
+@query(_BASE + "SELECT qid, rank FROM pos_rank")
+def rank_optimistic_scored(t: Tables) -> DataFrame:
+    """The same ranks from the scores of all pairs."""
     return retrieval.optimistic_rank(_scored(t), _positives(t))
 
 
 @query(_BASE + "SELECT count(*) AS n, round(avg(rank), 6) AS mean_rank, median(rank) AS median_rank, round(avg(1 / rank), 6) AS mrr, round(avg((rank <= 1)::INT), 6) AS r_at_1, round(avg((rank <= 5)::INT), 6) AS r_at_5, round(avg((rank <= 10)::INT), 6) AS r_at_10 FROM pos_rank")
 def rank_metrics(t: Tables) -> DataFrame:
-    return retrieval.rank_metrics(retrieval.optimistic_rank(_scored(t), _positives(t)), "rank")
+    return retrieval.rank_metrics(_ranks(t), "rank")
+
+
+@query(_BASE + "SELECT count(*) AS n, round(avg(rank), 6) AS mean_rank, median(rank) AS median_rank, round(avg(1 / rank), 6) AS mrr, round(avg((rank <= 3)::INT), 6) AS r_at_3 FROM pos_rank WHERE rank > 10 HAVING count(*) > 0")
+def rank_report(t: Tables) -> DataFrame:
+    """Metrics of the ranks beyond 10; no row where there are none."""
+    return retrieval.rank_report(_ranks(t).where("rank > 10"), "rank", (3,))
 
 
 @query(_BASE + "SELECT k, round((SELECT count(*) FROM pos_rank WHERE rank <= k) / (SELECT count(*) FROM pos_rank)::DOUBLE, 6) AS recall FROM range(1, 51) x(k)")
 def rank_curve(t: Tables) -> DataFrame:
-    return retrieval.rank_curve(retrieval.optimistic_rank(_scored(t), _positives(t)), "rank", 50)
+    return retrieval.rank_curve(_ranks(t), "rank", 50)
 
 
 @query(_BASE + "SELECT round(avg((r.rank <= 1)::INT), 6) AS r_at_1, round(avg((r.rank <= 5)::INT), 6) AS r_at_5, round(avg((r.rank <= 10)::INT), 6) AS r_at_10 FROM ranked r JOIN pos p ON r.qid = p.qid AND r.doc = p.pos")
@@ -155,11 +171,33 @@ def negatives_strict(t: Tables) -> DataFrame:
     return negatives.strict(rows, 0.05, 6).select("qid", "neg", "place")
 
 
-@query()
+def _drawn(wanted: str, banned: str, seed: int) -> str:
+    """SQL of random_negatives: w (qid, need) and no (qid, doc) are given as queries; the rounds are those of functions.permute."""
+    mix = lambda x, k: f"((((xor({x}, {k}) * 1597334677 % 2147483648) >> 7) * 374761393 % 2147483648) >> 12) & m"
+    key = lambda r: f"('0x' || substr(md5('{seed}|' || qid || '|{r}'), 1, 7))::BIGINT AS k{r}"
+    rounds = "".join(f", s{r + 1} AS (SELECT * REPLACE (r AS l, xor(l, {mix('r', f'k{r}')}) AS r) FROM s{r})" for r in range(4))
+    return f""", no AS ({banned}), w AS ({wanted}), ring AS (SELECT vec_id AS doc, row_number() OVER (ORDER BY vec_id) - 1 AS spot FROM embeddings),
+c AS (SELECT count(*) AS n, greatest(1, ceil(ceil(log2(greatest(count(*), 2))) / 2)::INT) AS b FROM ring),
+v AS (SELECT w.*, coalesce(k, 0) AS banned, n, b, (1::BIGINT << b) - 1 AS m FROM w LEFT JOIN (SELECT qid, count(*) AS k FROM no GROUP BY 1) USING (qid), c WHERE need > 0),
+s0 AS (SELECT *, step >> b AS l, step & m AS r, {", ".join(key(r) for r in range(4))} FROM (SELECT *, unnest(range(least(1::BIGINT << (2 * b), 8 * (need + banned) + 64))) AS step FROM v)){rounds},
+d AS (SELECT s4.qid, doc, step, need FROM s4 JOIN ring ON ring.spot = (l << b) | r WHERE (s4.qid, doc) NOT IN (SELECT qid, doc FROM no)),
+picked AS (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY step) AS place FROM d QUALIFY place <= need),
+short AS (SELECT v.*, coalesce(k, 0) AS has FROM v LEFT JOIN (SELECT qid, count(*) AS k FROM picked GROUP BY 1) USING (qid)),
+drawn AS (SELECT * FROM picked UNION ALL (SELECT qid, doc, has + row_number() OVER (PARTITION BY qid ORDER BY spot) AS place FROM short JOIN ring ON true WHERE has < need AND spot <= need + banned AND (qid, doc) NOT IN (SELECT qid, doc FROM no) AND (qid, doc) NOT IN (SELECT qid, doc FROM picked) QUALIFY place <= need))"""
+
+
+@query(_BASE + _drawn("SELECT qid, 10 AS need FROM pos", "SELECT qid, pos AS doc FROM pos", 3) + " SELECT qid, doc, place FROM drawn")
 def negatives_random(t: Tables) -> DataFrame:
-    """Hash-ordered draws: tested for counts, distinctness and repeatability."""
-    docs = t.embeddings.select(F.col("vec_id").alias("doc"))
-    return negatives.random_negatives(docs, _positives(t), 10, seed=3)
+    """Ten random docs of each query, by a permutation of its own."""
+    return negatives.random_negatives(t.embeddings.select(F.col("vec_id").alias("doc")), _positives(t), 10, seed=3)
+
+
+@query(_BASE + _POOL + ", f AS (SELECT qid, doc, min(struct_pack(src := src, pl := pl)) AS p FROM u GROUP BY 1, 2), g AS (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY p.src, p.pl, doc) AS place FROM f QUALIFY place <= 400)"
++ _drawn("SELECT qid, 400 - coalesce(k, 0) AS need FROM pos LEFT JOIN (SELECT qid, count(*) AS k FROM g GROUP BY 1) USING (qid)", "SELECT qid, pos AS doc FROM pos UNION SELECT qid, doc FROM g", 7)
++ " SELECT qid, doc AS neg, place FROM g UNION ALL SELECT qid, doc, place + 400 - need FROM drawn JOIN w USING (qid)")
+def negatives_pooled_filled(t: Tables) -> DataFrame:
+    """Pools of 400 negatives, of which the sources give a part; the rest are random docs."""
+    return negatives.pooled(list(_sources(t)), 400, t.embeddings.select(F.col("vec_id").alias("doc")), _positives(t), seed=7)
 
 
 @query(_BASE + """, h AS (SELECT r.qid, r.score, row_number() OVER (PARTITION BY r.qid ORDER BY r.rank) AS place FROM ranked r JOIN pos p USING (qid) WHERE r.rank <= 31 AND r.doc <> p.pos),

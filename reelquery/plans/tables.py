@@ -67,6 +67,31 @@ def bag_matching(t: Tables) -> DataFrame:
     return lookups.bag_match(r, m, "query", "pos", "ord")
 
 
+_MIXED = """WITH RECURSIVE r AS (SELECT ord, CASE WHEN ord % 97 = 0 THEN '' ELSE 'q' || ord // 12 END AS query, CASE WHEN ord % 5 < 2 THEN '' ELSE 'p' || ord % 3 END AS pos FROM (SELECT event_id AS ord FROM events)),
+m AS (SELECT query, list(struct_pack(o := ord, p := pos) ORDER BY ord) AS items FROM (SELECT event_id AS ord, 'q' || event_id // 11 AS query, CASE WHEN event_id % 10 = 0 THEN NULL ELSE 'p' || event_id % 4 END AS pos FROM events) GROUP BY 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY ord) AS k FROM r WHERE query <> ''),
+f AS (SELECT query, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS ord, NULL::BIGINT AS meta_ord FROM m
+  UNION ALL SELECT query, k, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, ord, pick FROM (SELECT f.query, n.k, f.used, n.ord, list_filter(m.items, lambda i: (n.pos = '' OR coalesce(i.p, '') = n.pos) AND NOT list_contains(f.used, i.o))[1].o AS pick FROM f JOIN n ON n.query = f.query AND n.k = f.k + 1 JOIN m ON m.query = f.query)),
+took AS (SELECT query, ord, meta_ord FROM f WHERE meta_ord IS NOT NULL)"""
+
+
+def _mixed(t: Tables) -> tuple[DataFrame, DataFrame]:
+    r = t.events.selectExpr("event_id AS ord", "CASE WHEN event_id % 97 = 0 THEN '' ELSE concat('q', event_id div 12) END AS query", "CASE WHEN event_id % 5 < 2 THEN '' ELSE concat('p', event_id % 3) END AS pos")
+    return r, t.events.selectExpr("event_id AS ord", "concat('q', event_id div 11) AS query", "CASE WHEN event_id % 10 = 0 THEN NULL ELSE concat('p', event_id % 4) END AS pos")
+
+
+@query(_MIXED + " SELECT * FROM took")
+def bag_matching_mixed(t: Tables) -> DataFrame:
+    """Requests with and without a pos in one query share its rows: who comes first decides."""
+    return lookups.bag_match(*_mixed(t), "query", "pos", "ord")
+
+
+@query(_MIXED + " SELECT CASE WHEN query = '' THEN 'query_empty' WHEN pos = '' THEN 'query_not_found_in_meta' ELSE 'query_pair_not_found_in_meta' END AS reason, count(*) AS n FROM r WHERE ord NOT IN (SELECT ord FROM took) GROUP BY 1")
+def bag_matching_skips(t: Tables) -> DataFrame:
+    r, m = _mixed(t)
+    return lookups.bag_skips(r, lookups.bag_match(r, m, "query", "pos", "ord"), "query", "pos", "ord")
+
+
 @query("WITH a AS (SELECT * FROM events WHERE event_id % 5 < 3) SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM a)")
 def resume_anti_join(t: Tables) -> DataFrame:
     return lookups.not_done(t.events, t.events.where("event_id % 5 < 3"), "event_id").select("event_id")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from reelquery.operators.order import numbered
+from reelquery.sources import documents
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -45,45 +46,55 @@ def bad_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_any(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """A JSON array, an object with a `data` array, or JSON lines, told apart by the first character and line; elements that are no objects are left out."""
-    first = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
-    head = first[0][0].lstrip() if first else ""
-    if not head.startswith("[") and '"data"' not in head[:200]:
+    """ord and the schema's columns of JSON lines, of an array, or of an object with a `data` array; elements that are no objects are left out.
+
+    `.jsonl` means lines. Any other file is told by its whole structure: an array if it begins with a bracket; if it is one
+    object with an array `data`, that array; else lines. Files of a folder are of one kind. Arrays and objects are read in parallel
+    (`documents`); one that doesn't end is an error.
+    """
+    if path.rstrip("/").endswith(".jsonl"):
+        return read_jsonl(spark, path, schema)
+    found = documents.shape(spark, path)
+    kind = F.when(F.col("head") == "[", "array").when((F.col("head") == "{") & (F.col("values") == 1), "object").otherwise("lines")
+    kinds = {(r[0], r[1]) for r in found.select(kind, F.when(kind != "lines", F.col("balanced"))).distinct().collect()}  # a few
+    names = {k for k, _ in kinds}
+    if ("array", False) in kinds or ("object", False) in kinds:
+        raise ValueError(f"{path}: an array or object that doesn't end")
+    if names == {"array"}:
+        each = documents.members(spark, path)
+    elif names == {"object"} and documents.has_array(spark, path, "data"):
+        each = documents.members(spark, path, under="data")
+    elif names <= {"lines", "object"}:
         return read_jsonl(spark, path, schema)
-    whole = spark.read.text(path, wholetext=True)
-    elements = F.from_json("value", "array<string>") if head.startswith("[") else F.from_json("value", "data array<string>")["data"]
-    each = whole.select(F.posexplode(elements).alias("ord", "line")).withColumn("ord", F.col("ord").cast("bigint"))
-    return parsed(each.where("line is not null"), schema).where("not bad").select("ord", "row.*")
+    else:
+        raise ValueError(f"{path} holds arrays beside lines")
+    rows = parsed(numbered(each, ["file", "place"], "ord").withColumnRenamed("text", "line"), schema)
+    return rows.where("not bad").select("ord", "row.*")
 
 
 def id_rows(spark: SparkSession, path: str) -> DataFrame:
-    """doc, row: a JSON object that maps ids to rows, sorted by row."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.from_json("value", "map<string,int>")).alias("doc", "row")).orderBy("row")
-
+    """doc, row: a JSON object of any size that maps ids to rows, sorted by row."""
+    each = documents.members(spark, path)
+    pair = F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), "map<string,int>")
+    return each.select(F.explode(pair).alias("doc", "row")).orderBy("row")
 
-def read_matrix(spark: SparkSession, path: str, meta: DataFrame | None = None) -> DataFrame:
-    """row, vec of .npy files (float matrices); with meta, the number of rows must be the same. Files are read by Spark, one matrix a task."""
-    import io
-    from collections.abc import Iterator
 
-    import numpy as np
-    import pyarrow as pa
+def read_matrix(spark: SparkSession, path: str, meta: DataFrame | None = None, rows: int = 65536) -> DataFrame:
+    """row, vec of .npy matrices (a file or a folder of them, in order of their names), read by ranges of rows; with meta, the number of rows must be the same."""
+    from reelquery.sources.matrix import NpySource
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column(0):
-                m = np.load(io.BytesIO(x.as_py())).astype(np.float32)
-                for at in range(0, len(m), 4096):
-                    part = m[at : at + 4096]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part), dtype=np.int64)), pa.array(list(part), pa.list_(pa.float32()))], names=["row", "vec"])
-
-    out = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "row bigint, vec array<float>")
-    if meta is not None and (n := out.count()) != (m := meta.count()):
+    spark.dataSource.register(NpySource)
+    out = spark.read.format("npy").option("rows", rows).load(path)
+    if meta is not None and (n := out.select("row").count()) != (m := meta.count()):
         raise ValueError(f"{n} vectors, {m} rows of meta data")
     return out
 
 
+def with_meta(matrix: DataFrame, meta: DataFrame, ord: str = "ord") -> DataFrame:
+    """Matrix rows beside the meta row of the same place: row, vec, and the columns of meta but `ord` (contiguous from 0)."""
+    return matrix.join(meta.withColumnRenamed(ord, "row"), "row")
+
+
 def media_index(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """stem, path: media files below a folder, the first path of each stem; contents aren't read."""
     from reelquery.functions.parse import stem
