@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Ranges for each shuffle partition, and rows of the sample for each range.
-_RANGES, _SAMPLED = 4, 32
+#: Ranges for each shuffle partition, rows of the sample for each range, and of the whole sample at most.
+_RANGES, _SAMPLED, _SAMPLE = 4, 32, 200_000
 
 
 def _tie(df: DataFrame) -> Column:
@@ -22,9 +22,9 @@ def in_ranges(df: DataFrame, by: list[str], name: str = "__part") -> DataFrame:
     read, so every branch of a plan deals rows alike. A hash of the row ends the key: equal values of `by` that
     many rows share are spread over several ranges.
     """
-    n = _RANGES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = min(_RANGES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), _SAMPLE // 2)
     key = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(by)], _tie(df).alias("tie"))
-    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(_SAMPLED * n)
+    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(min(_SAMPLED * n, _SAMPLE))
     keys = F.sort_array(F.collect_list("k"))
     at = lambda i: F.element_at(F.col("keys"), (F.floor(i * F.size("keys") / n) + 1).cast("int"))
     bounds = sample.agg(keys.alias("keys")).select(F.when(F.size("keys") > 0, F.transform(F.sequence(F.lit(1), F.lit(n - 1)), at)).alias("bounds"))

@@ -44,6 +44,15 @@ def jsonl_bad_lines(t: Tables) -> DataFrame:
     return jsonl.bad_lines(t.spark, path)
 
 
+@query("SELECT '[' || event_id || ']' AS line FROM events WHERE event_id % 10 = 0 ORDER BY event_id LIMIT 5")
+def jsonl_warnings(t: Tables) -> DataFrame:
+    """The first five lines that are no objects, in order of the files."""
+    path = _place(t, "jsonl")
+    line = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("["), "event_id", F.lit("]"))).otherwise(F.to_json(F.struct("event_id")))
+    t.events.repartitionByRange("event_id").sortWithinPartitions("event_id").select(line.alias("value")).write.text(path)
+    return jsonl.warnings(t.spark, path).select("line")
+
+
 @query("SELECT event_id, value FROM events")
 def stream_append(t: Tables) -> DataFrame:
     """A folder of JSON lines as a stream, appended to a table, each id once although the log has it twice and the query is started twice."""

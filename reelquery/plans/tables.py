@@ -192,13 +192,8 @@ def union_datasets(t: Tables) -> DataFrame:
     return merge.union_all(t.events.select("event_id", "user_id"), t.labels.select("doc_id")).select("event_id", "user_id", "doc_id", "part")
 
 
-@query("WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM events WHERE event_id % 7 > 0) SELECT event_id, i % 5 AS shard FROM r")
+@query("WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ts NULLS FIRST, event_id NULLS FIRST) - 1 AS i FROM events) SELECT event_id, i % 5 AS shard FROM r")
 def round_robin_shards(t: Tables) -> DataFrame:
-    return order.shard(t.events.where("event_id % 7 > 0").select("event_id", "ts"), ["ts", "event_id"], 5).select("event_id", "shard")
-
-
-@query()
-def round_robin_shards_whole(t: Tables) -> DataFrame:
     return order.shard(t.events.select("event_id", "ts"), ["ts", "event_id"], 5).select("event_id", "shard")
 
 

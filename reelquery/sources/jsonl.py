@@ -6,7 +6,7 @@ for a broken line and a one-line array for a row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -15,9 +15,17 @@ from reelquery.sources import documents
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line: every line that isn't blank, with `ord`, its place by file and offset."""
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("__m"), F.col("value").alias("line"))
-    return numbered(raw.where("trim(line) <> ''"), ["file", "block", "__m"], "ord").select("file", "ord", "line")
+    """file, line: every line that isn't blank, with `ord`, its place by file and offset (contiguous from 0).
+
+    A range of a file is read by one task, in order, so a line's place is its place in the range and how many lines the
+    ranges before hold (one row a range): lines are counted once and read once, and never shuffled for it.
+    """
+    text = spark.read.text(path).where("trim(value) <> ''")
+    raw = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("__m"), F.col("value").alias("line"))
+    ranges = raw.groupBy("file", "block").agg(F.min("__m").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("file", "block", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return raw.join(ranges, ["file", "block"]).select("file", (F.col("__before") + F.col("__m") - F.col("__first")).alias("ord"), "line")
 
 
 def parsed(df: DataFrame, schema: StructType | str, line: str = "line") -> DataFrame:
@@ -45,6 +53,11 @@ def bad_lines(spark: SparkSession, path: str) -> DataFrame:
     return df.agg(F.count_if(~F.col("bad")).alias("good"), F.count_if("bad").alias("bad"))
 
 
+def warnings(spark: SparkSession, path: str, most: int = 5) -> DataFrame:
+    """ord, line of the first `most` lines that are no JSON objects: what is shown beside the counts of `bad_lines`."""
+    return parsed(lines(spark, path), "a string").where("bad").select("ord", "line").orderBy("ord").limit(most)
+
+
 def read_any(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """ord and the schema's columns of JSON lines, of an array, or of an object with a `data` array; elements that are no objects are left out.
 
