@@ -33,6 +33,12 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return plain.withColumns({"quotes": quotes, "b0": outside(F.col("p")), "b1": outside(F.concat(F.lit('"'), F.col("p")))}).drop("p")
 
 
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """file, number: the files of a path, numbered by their names from 0."""
+    names = spark.read.option("lineSep", ",").text(path).select(F.col("_metadata.file_path").alias("file")).distinct()
+    return names.withColumn("number", (F.row_number().over(Window.orderBy("file")) - 1).cast("bigint"))  # one row a file
+
+
 def _ahead(df: DataFrame, by: list[str], order: str):
     return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from reelquery.operators.order import numbered
 from reelquery.sources import documents
 
 
@@ -63,7 +62,7 @@ def read_any(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
 
     `.jsonl` means lines. Any other file is told by its whole structure: an array if it begins with a bracket; if it is one
     object with an array `data`, that array; else lines. Files of a folder are of one kind. Arrays and objects are read in parallel
-    (`documents`); one that doesn't end is an error.
+    (`documents`); one that doesn't end is an error. ord is an element's place in its file, and 2^40 more for each file before.
     """
     if path.rstrip("/").endswith(".jsonl"):
         return read_jsonl(spark, path, schema)
@@ -81,8 +80,8 @@ def read_any(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
         return read_jsonl(spark, path, schema)
     else:
         raise ValueError(f"{path} holds arrays beside lines")
-    rows = parsed(numbered(each, ["file", "place"], "ord").withColumnRenamed("text", "line"), schema)
-    return rows.where("not bad").select("ord", "row.*")
+    each = each.join(documents.files(spark, path), "file").select((F.col("number") * (1 << 40) + F.col("place") - 1).alias("ord"), F.col("text").alias("line"))
+    return parsed(each, schema).where("not bad").select("ord", "row.*")
 
 
 def id_rows(spark: SparkSession, path: str) -> DataFrame:
