@@ -12,12 +12,13 @@ With M=11, A=3, two documents of Jaccard 0.8 share a table with probability 0.99
 4. A bucket whose classes now lie in several components may hide links between classes that are both unlike the
    smallest. There, all are paired with the class whose shingles are the most common; then a prefix filter over the
    classes' shingles, rarest first, with the places of what they share, gives every pair of different components that
-   can still be linked. Should these be many (more than `FEW` for each class, as with several centres), classes outside the
-   largest component are paired with the most common one of them first, and the filter is applied again. So every pair
-   that shares a bucket is confirmed, refuted, ruled out by a bound, or already connected.
+   can still be linked. Should that take long (more than `FEW` pairs for each class to look at, as with several centres;
+   they are counted, not made), classes outside the largest component are paired with the most common one of them that
+   hasn't been tried, as long as that adds links. So every pair that shares a bucket is confirmed, refuted, ruled out by
+   a bound, or already connected.
 
-Scale: signatures are one row a document; exchanges carry ids and hashes, and the texts of candidates: those that a
-bounded filter lets through are written once, and shuffled by merge joins, so each hub's set is made once a task. Hot
+Scale: signatures are one row a document; exchanges carry ids and hashes, and the shingle sets of candidates: those that a
+bounded filter lets through are made and written once, shuffled by merge joins, and compared in the JVM. Hot
 buckets are aggregated before the shuffle or joined by joins that split hot keys. Components are found by the cluster,
 with checkpoint() after each round.
 
@@ -93,21 +94,16 @@ def _signatures(k: int):
     return run
 
 
-def _confirm(k: int, percent: int):
+def _sets(k: int):
+    """id and the shingle set of each text, ascending."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
         for batch in batches:
-            hubs = batch.column(0).to_pylist()
-            good = []
-            for i, x in enumerate(hubs):
-                text = batch.column(2)[i].as_py()
-                if last != (x, text):
-                    last, held = (x, text), shingle_set(text, k)
-                other = shingle_set(batch.column(3)[i].as_py(), k)
-                both = len(np.intersect1d(held, other, assume_unique=True))
-                good.append(100 * both >= percent * (len(held) + len(other) - both))
-            linked = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([x.filter(linked) for x in batch.columns[:2]], names=["a", "b"])
+            for i in range(0, len(batch), 64):
+                part = batch.slice(i, 64)
+                sets = [shingle_set(x.as_py(), k).view(np.int64) for x in part.column(1)]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["id", "t"])
 
     return run
 
@@ -115,20 +111,22 @@ def _confirm(k: int, percent: int):
 class Links:
     """Pairs that have been compared, and the links found among them."""
 
-    def __init__(self, texts: DataFrame, k: int, percent: int, scratch: Scratch):
-        self.texts, self.k, self.percent, self.scratch = texts, k, percent, scratch
+    def __init__(self, sets: DataFrame, percent: int, scratch: Scratch):
+        self.sets, self.percent, self.scratch = sets, percent, scratch
         none = scratch.spark.createDataFrame([], "a bigint, b bigint")
         self.tested = self.links = none
 
-    def test(self, pairs: DataFrame) -> None:
-        """Compares pairs (a, b) that haven't been compared: a is the hub, whose rows come together, so its set is made once for all of them."""
+    def test(self, pairs: DataFrame) -> int:
+        """Compares pairs (a, b) that haven't been compared, on their full sets; how many links that adds."""
         new = self.scratch.keep(pairs.distinct().join(self.tested, ["a", "b"], "left_anti"))
-        # Merge joins at every size: the texts of candidates grow with the data.
-        other = self.texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-        hub = self.texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-        both = spread_join(spread_join(new, other.hint("merge"), "b"), hub.hint("merge"), "a").select("a", "b", "ta", "tb")
-        found = self.scratch.keep(both.mapInArrow(tidy(_confirm(self.k, self.percent)), "a bigint, b bigint"))
+        # Merge joins at every size: the sets of candidates grow with the data.
+        other = self.sets.select(F.col("id").alias("b"), F.col("t").alias("tb"))
+        hub = self.sets.select(F.col("id").alias("a"), F.col("t").alias("ta"))
+        both = spread_join(spread_join(new, other.hint("merge"), "b"), hub.hint("merge"), "a")
+        both = both.select("a", "b", (F.size("ta") + F.size("tb")).alias("n"), F.size(F.array_intersect("ta", "tb")).alias("k"))
+        found = self.scratch.keep(both.where(100 * F.col("k") >= self.percent * (F.col("n") - F.col("k"))).select("a", "b"))
         self.tested, self.links = self.tested.union(new), self.links.union(found)
+        return found.count()
 
     def components(self) -> DataFrame:
         return components(self.links)
@@ -157,28 +155,31 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     star = in_crowd.where("id <> lo.id").select(F.col("lo.id").alias("a"), F.col("id").alias("b"), F.col("lo.n").alias("na"), F.col("n").alias("nb"))
     pairs = scratch.keep(two.union(star).distinct())
     met = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = scratch.keep(maybe_in(rows.where("id is not null and text is not null"), met, "id"))
-    links = Links(texts, words, percent, scratch)
+    sets = scratch.keep(maybe_in(rows.where("id is not null and text is not null"), met, "id", _sets(words), "id bigint, t array<bigint>"))
+    links = Links(sets, percent, scratch)
     links.test(pairs.where(_fits("na", "nb", percent)).select("a", "b"))
     found = links.components()
 
     # 4. Buckets over several components.
     placed = _mixed(in_crowd.select("bucket", "id", "n"), found, scratch)
     if not placed.isEmpty():
-        profiles = _profiles(placed, texts, words, percent, scratch)
+        profiles = _profiles(placed, sets, percent, scratch)
         most = FEW * profiles.count()
+        tried = scratch.spark.createDataFrame([], "bucket bigint, id bigint")
         for round in range(ROUNDS):
-            pivots = placed.where("comp <> main") if round else placed
+            pivots = (placed.where("comp <> main") if round else placed).join(tried, ["bucket", "id"], "left_anti")
             pivots = spread_join(pivots, profiles.select("id", "score"), "id")
             pivots = pivots.groupBy("bucket").agg(F.max(F.struct("score", "id", "n", "comp")).alias("p")).select("bucket", F.col("p.id").alias("p"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc"))
+            pivots = scratch.keep(pivots)
+            tried = tried.union(pivots.select("bucket", F.col("p").alias("id")))
             others = spread_join(placed.where("comp <> main") if round else placed, pivots, "bucket").where((F.col("comp") != F.col("pc")) & _fits("n", "pn", percent))
-            links.test(others.select(F.col("p").alias("a"), F.col("id").alias("b")).where("a <> b"))
-            found = links.components()
-            placed = _mixed(placed.select("bucket", "id", "n"), found, scratch)
-            rest = scratch.keep(_rest(placed, profiles, percent))
-            if rest.count() <= most:
+            added = links.test(others.select(F.col("p").alias("a"), F.col("id").alias("b")).where("a <> b"))
+            if added:
+                found = links.components()
+                placed = _mixed(placed.select("bucket", "id", "n"), found, scratch)
+            if not added or _work(placed, profiles) <= most:
                 break
-        links.test(rest)
+        links.test(_rest(placed, profiles, percent))
         found = links.components()
 
     scratch.drop()
@@ -195,32 +196,24 @@ def _fits(n: str, o: str, percent: int):
 
 def _mixed(members: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of members (bucket, id, n) with their component and the one that most members of the bucket are in, of buckets that span several."""
-    placed = spread_join(members, found.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    # A class and its component meet in one group (of M * M buckets at most), not once for each bucket.
+    none = F.lit(None).cast("bigint")
+    both = members.select("id", "n", "bucket", none.alias("comp")).union(found.select("node", none, none, "comp"))
+    each = both.groupBy("id").agg(F.max("n").alias("n"), F.max("comp").alias("comp"), F.collect_list("bucket").alias("buckets"))
+    placed = each.select(F.explode("buckets").alias("bucket"), "id", "n", F.coalesce("comp", "id").alias("comp"))
     counts = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = counts.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", F.col("x.comp").alias("main"))
     return scratch.keep(spread_join(placed, mixed, "bucket"))
 
 
-def _set_rows(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, len(batch), 64):
-                part = batch.slice(i, 64)
-                sets = [shingle_set(x.as_py(), k).view(np.int64) for x in part.column(1)]
-                sizes = [len(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(np.concatenate(sets))], names=["id", "t"])
-
-    return run
-
-
-def _profiles(placed: DataFrame, texts: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+def _profiles(placed: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """id, n, score (how common its shingles are among the members' on average) and the prefix of each member.
 
     The prefix holds a member's rarest shingles, rarest first (by their number among the members, then by hash): so
     many that a linked set must hold one of them.
     """
     wanted = placed.select("id").distinct()
-    tokens = scratch.keep(maybe_in(texts, wanted, "id", _set_rows(k), "id bigint, t bigint").distinct())
+    tokens = scratch.keep(maybe_in(sets, wanted, "id").select("id", F.explode("t").alias("t")).distinct())
     often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
     sets = spread_join(tokens, often, "t").groupBy("id").agg(F.avg("f").alias("score"), F.sort_array(F.collect_list(F.struct("f", "t"))).alias("all"))
     n = F.size("all")
@@ -228,6 +221,18 @@ def _profiles(placed: DataFrame, texts: DataFrame, k: int, percent: int, scratch
     return scratch.keep(sets.select("id", n.cast("bigint").alias("n"), "score", prefix.alias("prefix")))
 
 
+def _prefixes(placed: DataFrame, profiles: DataFrame) -> DataFrame:
+    """id, n, comp, stray (outside the component that most of a bucket are in), and place i and hash t of each shingle of its prefix that another member has."""
+    where = placed.groupBy("id").agg(F.min("comp").alias("comp"), F.max(F.col("comp") != F.col("main")).alias("stray"))
+    return spread_join(profiles, where, "id").select("id", "n", "comp", "stray", F.posexplode("prefix").alias("i", "x")).where("x.f > 1").select("id", "n", "comp", "stray", "i", F.col("x.t").alias("t"))
+
+
+def _work(placed: DataFrame, profiles: DataFrame) -> int:
+    """How many pairs `_rest` has to look at: of each shingle, the strays that have it times all that do."""
+    each = _prefixes(placed, profiles).groupBy("t").agg(F.count_if("stray").alias("s"), F.count(F.lit(1)).alias("c"))
+    return int(each.agg(F.sum(F.col("s").cast("double") * F.col("c"))).first()[0] or 0)
+
+
 def _rest(placed: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members in different components that may still be linked, one of them outside the component that most of a bucket are in.
 
@@ -236,8 +241,7 @@ def _rest(placed: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     asks of sets of their sizes. Near copies that stay apart differ in shingles that are rare, and rare ones come
     first, so what nearly all have in common makes no pairs.
     """
-    where = placed.groupBy("id").agg(F.min("comp").alias("comp"), F.max(F.col("comp") != F.col("main")).alias("stray"))
-    rows = spread_join(profiles, where, "id").select("id", "n", "comp", "stray", F.posexplode("prefix").alias("i", "x")).where("x.f > 1").select("id", "n", "comp", "stray", "i", F.col("x.t").alias("t"))
+    rows = _prefixes(placed, profiles)
     other = rows.select("t", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "comp", "stray", "i")])
     least = F.ceil(percent * (F.col("n") + F.col("o_n")) / (100 + percent))
     enough = 1 + F.least(F.col("n") - F.col("i"), F.col("o_n") - F.col("o_i")) - 1 >= least
