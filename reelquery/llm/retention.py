@@ -33,8 +33,8 @@ from reelquery.llm.common import Scratch, crc_of, delete, new_path, shuffle_part
 DAY = 86_400_000_000
 #: Slices of a hot client: so many for each bucket that the client would fill.
 SLICES = 4
-#: Buckets that Spark allows.
-MOST_BUCKETS = 100_000
+#: Buckets that Spark allows, and clicks in a bucket beyond which there are more buckets than shuffle partitions.
+MOST_BUCKETS, ROWS = 100_000, 4_000_000
 
 
 class Buckets(NamedTuple):
@@ -93,7 +93,6 @@ def write_buckets(clicks: DataFrame, clients: DataFrame, arrives: Column, known_
     segment; all with their slice.
     """
     spark = clicks.sparkSession
-    n = min(shuffle_partitions(spark), MOST_BUCKETS)
     kept = Scratch(spark)
     at = micros(clicks, "ts")
     early = F.coalesce(arrives < known_before, F.lit(False))
@@ -102,6 +101,7 @@ def write_buckets(clicks: DataFrame, clients: DataFrame, arrives: Column, known_
     bought = F.col("kind") == "purchase"
     starts = kept.keep(good.select(F.col("client_id").cast("bigint").alias("client_id"), at.alias("at"), early.alias("early"), bought.alias("bought")).groupBy("client_id").agg(F.min(F.when(F.col("early") & F.col("bought"), F.col("at"))).alias("start0"), F.min(F.when(F.col("bought"), F.col("at"))).alias("start1"), F.count(F.lit(1)).alias("n")).where("start1 is not null"))
     total = starts.agg(F.sum("n")).first()[0] or 0
+    n = min(max(shuffle_partitions(spark), -(-total // ROWS)), MOST_BUCKETS)
     most = max(1, total // (SLICES * n))
     slices = F.ceil(F.col("n") / most).cast("int")
     hot = F.broadcast(starts.where(F.col("n") > most).select("client_id", slices.alias("slices")))  # at most SLICES * n rows

@@ -39,6 +39,8 @@ PER_PIVOT, MOST_PIVOTS, BLOCK, REPLICAS = 2048, 2048, 2048, 8192
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; the largest component is scaled to 1 first, so no square overflows or vanishes."""
+    vectors = vectors / np.abs(vectors).max(1, keepdims=True, initial=0)
     return vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
 
 

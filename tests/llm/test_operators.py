@@ -45,7 +45,7 @@ def weird(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
+    for t in ("documents", "benchmark", "embeddings", "clicks", "clients"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     cur = duck.execute(queries.oracle_sql()[name])
     names = [d[0] for d in cur.description]
@@ -353,6 +353,13 @@ def test_minhash_awkward(spark):
     assert minhash.deduplicate(nothing(spark)).count() == 0
 
 
+def test_vectors_of_any_size_link(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 1e190]), (3, [1e-200, 0.0]), (4, [2e-200, 0.0]), (5, [0.0, 5e-324]), (6, [0.0, 1.7e308]), (7, [-1e200, 0.0])]
+    got = rows_of(vectors.op10(spark, spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")), "vec_id")
+    assert [got[i]["n_links"] for i in range(1, 8)] == [3, 3, 3, 3, 1, 1, 0]
+    assert [got[i]["component_id"] for i in range(1, 8)] == [1, 1, 1, 1, 5, 5, 7]
+
+
 def test_components_random(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(500 + i, 501 + i) for i in range(40)]
