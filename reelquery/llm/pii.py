@@ -10,7 +10,8 @@ Support: the texts with both must show the entity in at least `SUPPORT` differen
 each side), as every word of a text is bound to an entity that occurs in one place only. Entities become their kind.
 
 Patterns are written with possessive quantifiers and look-behind so that matching is linear in the text; they match
-what the plain patterns match, leftmost and without overlap.
+what the plain patterns match, leftmost and without overlap. Cutting is linear too: texts are taken apart once, and
+each span reads the parts around it.
 
 Scale: texts are shuffled once to count copies as one, and once more, with their spans, to meet their terms. Terms are
 paired only with entities of enough surroundings, as no other pair can have the support; pairs and counts are
@@ -60,6 +61,25 @@ def _let(x: Column, f) -> Column:
     return F.element_at(F.transform(F.array(x), f), 1)
 
 
+#: Places of a text are read by way of parts of so many code points, as `substring` walks from the text's beginning.
+CHUNK = 256
+#: With more disclosing terms than this, a text's words look for theirs among those of a hash slot.
+FEW_TERMS = 32
+
+
+def _parts(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def _between(parts: Column, a: Column, b: Column) -> Column:
+    """Code points a to b (exclusive) of the text that has these parts; costs their number and two parts at most."""
+    i, j = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+    part = lambda k: F.coalesce(F.get(parts, k), F.lit(""))
+    within = F.substring(part(i), a % CHUNK + 1, b - a)
+    over = F.concat(F.substring(part(i), a % CHUNK + 1, F.lit(CHUNK)), F.array_join(F.slice(parts, i + 2, j - i - 1), ""), F.substring(part(j), F.lit(1), b % CHUNK))
+    return F.when(b <= a, F.lit("")).when(i == j, within).otherwise(over)
+
+
 def _before(values: Column, combine) -> Column:
     """For each of an array of whole numbers, what `combine` makes of 0 and all before it."""
 
@@ -149,27 +169,43 @@ def _words(masked: Column) -> Column:
 
 def _kinds_at(masked: Column, terms: Column) -> Column:
     """Spans of the terms (structs term, k) in a text; k is the term's."""
-    def own(s: Column, e: Column, v: Column) -> Column:
-        return F.transform(F.filter(terms, lambda t: t["term"] == F.lower(v)), lambda t: F.struct(s.alias("s"), t["k"].alias("k"), e.alias("e"), F.lit("").alias("v")))
+    n = F.when(F.size(terms) <= FEW_TERMS, 1).otherwise(F.ceil(F.sqrt(F.size(terms)))).cast("int")
+
+    def placed(n: Column, slots: Column) -> Column:
+        def own(s: Column, e: Column, v: Column) -> Column:
+            near = F.element_at(slots, _slot(F.lower(v), n) + 1)
+            return F.transform(F.filter(near, lambda t: t["term"] == F.lower(v)), lambda t: F.struct(s.alias("s"), t["k"].alias("k"), e.alias("e"), F.lit("").alias("v")))
+
+        return F.flatten(_matches(masked, _TERM, own))
 
-    return F.flatten(_matches(masked, _TERM, own))
+    slots = lambda n: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.filter(terms, lambda t: _slot(t["term"], n) == i))
+    return _let(n, lambda n: _let(slots(n), lambda x: placed(n, x)))
+
+
+def _slot(term: Column, n: Column) -> Column:
+    return F.when(n == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64(term), n)).cast("int")
 
 
 def _entities(texts: DataFrame) -> DataFrame:
     """doc, entity and around (a hash of its surroundings) of each entity of the distinct texts (doc, text, base)."""
-    t = F.col("text")
-    each = texts.where(F.size("base") > 0).select("doc", "text", F.explode("base").alias("x"))
-    s, e = F.col("x.s"), F.col("x.e")
-    first = F.greatest(s - WINDOW, F.lit(0))
-    return each.select(
-        "doc",
-        F.xxhash64(_name(F.col("x.k")), F.when(F.col("x.k") == 0, F.lower("x.v")).otherwise(_digits(F.col("x.v")))).alias("entity"),
-        F.xxhash64(F.substring(t, first + 1, s - first), F.substring(t, e + 1, F.lit(WINDOW))).alias("around"),
-    ).distinct()
+
+    def own(x: Column, parts: Column) -> Column:
+        named = F.xxhash64(_name(x["k"]), F.when(x["k"] == 0, F.lower(x["v"])).otherwise(_digits(x["v"])))
+        before = _between(parts, F.greatest(x["s"] - WINDOW, F.lit(0)), x["s"])
+        return F.struct(named.alias("entity"), F.xxhash64(before, _between(parts, x["e"], x["e"] + WINDOW)).alias("around"))
+
+    # Surroundings are cut before the entities become rows, so that no row of an entity carries the text.
+    all_own = _let(_parts(F.col("text")), lambda parts: F.transform("base", lambda x: own(x, parts)))
+    return texts.where(F.size("base") > 0).select("doc", F.explode(all_own).alias("x")).select("doc", "x.entity", "x.around").distinct()
+
+
+def text_key(text: Column) -> Column:
+    """What stands for a text: two hashes of different seeds, 128 bits."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("text"), text).alias("b"))
 
 
 def disclosures(rows: DataFrame, *, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
-    """doc (hash of a text), term and disclosure of each term that reaches the threshold for an entity of that text; rows have doc, text and base."""
+    """doc (as given, see `text_key`), term and disclosure of each term that reaches the threshold for an entity of that text; rows have doc, text and base."""
     scratch = Scratch(rows.sparkSession)
     texts = rows.select("doc", "text", "base").dropDuplicates(["doc"])
     seen = scratch.keep(texts.select("doc", "base", F.when(F.size("base") > 0, F.col("text")).alias("text"), _words(_masked(F.col("text"), F.col("base"))).alias("words")))
@@ -201,7 +237,7 @@ def spans_of(docs: DataFrame, *, text: str = "text", carry: list[str], with_text
     row = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
     rows = docs.select(row.alias("__row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     t = F.col("text")
-    rows = rows.select("__row", "text", F.xxhash64(t).alias("doc"), F.when(t.contains("@") | t.rlike("[0-9]"), base_spans(t)).otherwise(_none()).alias("base"))
+    rows = rows.select("__row", "text", text_key(t).alias("doc"), F.when(t.contains("@") | t.rlike("[0-9]"), base_spans(t)).otherwise(_none()).alias("base"))
     kinds = F.struct("term", F.when(F.col("disclosure") >= REMOVE, F.lit(5)).otherwise(F.lit(4)).alias("k"))
     terms = disclosures(rows).groupBy("doc").agg(F.collect_set(kinds).alias("terms"))
     out = spread_join(rows, terms, "doc", "left")
@@ -212,14 +248,13 @@ def spans_of(docs: DataFrame, *, text: str = "text", carry: list[str], with_text
 def _replaced(text: Column, spans: Column, label) -> Column:
     """The text with `label(span, how far those before reach)` for each span (sorted by start); what lies between is kept."""
 
-    def made(own: Column) -> Column:
+    def made(own: Column, parts: Column) -> Column:
         reach = _before(F.transform(own, lambda x: x["e"]), lambda a, b: F.greatest(a, b))
-        gap = lambda x, p: F.substring(text, p + 1, F.greatest(x["s"] - p, F.lit(0)))
-        parts = F.zip_with(own, F.slice(reach, 1, F.size(own)), lambda x, p: F.concat(gap(x, p), label(x, p)))
+        pieces = F.zip_with(own, F.slice(reach, 1, F.size(own)), lambda x, p: F.concat(_between(parts, p, x["s"]), label(x, p)))
         last = F.array_max(F.transform(own, lambda x: x["e"]))
-        return F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.length(text)))
+        return F.concat(F.array_join(pieces, ""), _let(last, lambda p: _between(parts, p, F.length(text))))
 
-    return F.when(F.size(spans) == 0, text).otherwise(_let(spans, made))
+    return F.when(F.size(spans) == 0, text).otherwise(_let(spans, lambda own: _let(_parts(text), lambda parts: made(own, parts))))
 
 
 def rewritten(text: Column, spans: Column) -> Column:

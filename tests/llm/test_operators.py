@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -167,6 +168,40 @@ def test_pii_many_matches(spark):
     assert clean[1]["text"].startswith("[EMAIL], [PHONE]; [IP] [EMAIL]") and clean[2]["text"] == "[CARD], " * 300 + "1 2 3 4 5 6 7 8 9 0 1"
 
 
+def test_pii_megabyte_of_addresses(spark):
+    """Linear in the spans of a text: a megabyte of e-mails takes little longer than a few, and is rewritten exactly."""
+    text = " ".join(f"word{i % 977} user{i}@ex{i % 7}.com. \U0001f600" for i in range(40_000))
+    df = lambda x: spark.createDataFrame([(1, x)], "doc_id bigint, text string")
+    start = time.monotonic()
+    short = rows_of(pii.sanitize(df(text[:200])))[1]["text"]
+    few = time.monotonic() - start
+    assert short == re.sub(KINDS["email"], "[EMAIL]", text[:200])
+    assert rows_of(pii.sanitize(df(text)))[1]["text"] == re.sub(KINDS["email"], "[EMAIL]", text)
+    assert time.monotonic() - start - few < few + 20
+
+
+def test_pii_parts_of_a_text(spark):
+    """Pieces between any two places are those of the whole text, at the edges of parts too."""
+    text = "".join(chr(0x1F600 + i % 50) if i % 3 else "\n" if i % 2 else "ab"[i % 2] for i in range(3 * pii.CHUNK + 5))
+    edges = [0, 1, *(k * pii.CHUNK + d for k in (1, 2, 3) for d in (-1, 0, 1)), len(text), len(text) + 9]
+    rows = [(a, b, text) for a in edges for b in edges] + [(0, 5, ""), (0, 0, "")]
+    df = spark.createDataFrame(rows, "a int, b int, text string")
+    got = df.select("a", "b", "text", pii._let(pii._parts(F.col("text")), lambda p: pii._between(p, F.col("a"), F.col("b"))).alias("got")).collect()
+    assert len(got) == len(rows) and all(r.got == r.text[r.a : r.b] for r in got)
+
+
+def test_pii_text_of_many_disclosing_terms(spark):
+    """Terms are found in slots where a text has many of them, as they are one by one."""
+    names = [f"name{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    rows = [(i, f"{i} {' '.join(names)} k@mail.org {i} {' '.join(reversed(names))}") for i in range(3)] + [(100 + i, f"nobody wrote on day {i}") for i in range(300)]
+    got = rows_of(pii.op1(spark, spark.createDataFrame(rows, "doc_id bigint, text string")))
+    for i, t in rows[:3]:
+        spans = [x.split(":") for x in got[i]["spans"].split(",")]
+        terms = [t[int(s) : int(e)] for k, s, e in spans if k in ("term", "gone")]
+        assert terms == names + names[::-1]
+    assert all(got[i]["spans"] == "" for i, _ in rows[3:])
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------
 
 
