@@ -2,8 +2,9 @@
 
 A sentence ends at a line break, or at `.`, `!` or `?` before white space; text without a word belongs to the
 sentence before it. From each sentence on, a run of `span` sentences (all, if a document has fewer) grows by further
-ones until it has `min_words` words. Each is hashed by its words, case and punctuation aside; what the document's end
-cuts off below `min_words` is no run. A run's first place is in the document of the smallest id, at its first occurrence
+ones until it has `min_words` words. What the document's end cuts off below `min_words` is no run of its own, but the
+last run that has them is also taken up to the end, and a document without any run is one as a whole: so equal documents
+of any length are found whole. Runs are hashed by their words, case and punctuation aside. A run's first place is in the document of the smallest id, at its first occurrence
 there. All sentences covered by a run elsewhere are removed.
 
 The settings: a passage of some 50 words that begins and ends inside sentences holds few whole ones, so runs are of two;
@@ -74,6 +75,8 @@ def runs(data: bytes, span: int, min_words: int) -> tuple[list[tuple[int, int]],
     behind = np.maximum(at + min(span, len(own)), np.searchsorted(ends, starts + min_words) + 1)
     full = behind <= len(own)
     at, behind = at[full], behind[full]
+    if not len(at) or behind[-1] < len(own):
+        at, behind = np.append(at, at[-1:] if len(at) else 0), np.append(behind, len(own))
     # A polynomial over the sentences from running sums; the factor's inverse takes the place in the document out.
     sums = np.concatenate(([np.uint64(0)], np.cumsum(each * _powers(_FACTOR, len(own)), dtype=np.uint64)))
     out = (sums[behind] - sums[at]) * _powers(_INVERSE, len(own))[at] + (behind - at).astype(np.uint64)

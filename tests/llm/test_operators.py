@@ -431,7 +431,7 @@ def test_sentence_spans(spark):
 
 
 def brute_runs(rows, span=2, least=28):
-    """Sentences and removed sentences of each document: runs of `span` sentences that grow to `least` words."""
+    """Sentences and removed sentences of each document: runs of `span` sentences that grow to `least` words, and one to the end."""
     first, split, out = {}, {}, {}
     for i, t in sorted(rows):
         own = []
@@ -446,6 +446,9 @@ def brute_runs(rows, span=2, least=28):
                 b += 1
             if b <= len(own) and sum(map(len, own[a:b])) >= least:
                 found.append((tuple(own[a:b]), a, b))
+        start = found[-1][1] if found else 0
+        if own and (not found or found[-1][2] < len(own)):
+            found.append((tuple(own[start:]), start, len(own)))
         split[i] = own, found
         for r, _, _ in found:
             first.setdefault(r, i)
@@ -477,7 +480,7 @@ def test_sentence_runs_grow(spark):
     got = rows_of(sentences.op6(spark, spark.createDataFrame(rows, "doc_id bigint, text string")))
     assert got[1]["text"] == short and got[2]["text"] == "" and got[2]["n_removed"] == 29
     assert got[3]["text"] == rows[2][1] and got[4]["text"].split() == "Alone in four. Own end four.".split()
-    assert got[6]["text"] == rows[5][1]  # fewer than 28 words in all
+    assert got[5]["text"] == rows[4][1] and got[6]["text"] == ""  # fewer than 28 words in all, but the same document
     assert {i: (r["n_sentences"], r["n_removed"]) for i, r in got.items()} == brute_runs(rows)
 
 
@@ -486,7 +489,22 @@ def test_sentence_spans_awkward(spark):
     assert len(got) == 13
     assert sentences.op6(spark, nothing(spark)).count() == 0
     by = {r["doc_id"]: r for r in got}
-    assert by[2]["text"] == by[1]["text"].replace("The", "the", 1).replace("Nobody", "nobody") and by[1]["n_removed"] == 0  # too short for a run
+    assert by[2]["text"] == "" and by[1]["n_removed"] == 0  # the same words, as a whole
+    assert by[4]["text"] == "" and by[5]["text"] == " \n\t " and by[3]["text"] is None
+
+
+def test_sentence_spans_of_equal_documents(spark):
+    """Equal documents of any length go whole but for the first; what they share with others as a part stays if it is short."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    kinds = [" ".join(" ".join(word() for _ in range(rng.choice([1, 2, 5, 13, 31]))) + "." for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    rows = [(100 * c + k, t) for k, t in enumerate(kinds) for c in range(3)]
+    rows += [(1000 + k, f"{word()} {word()}. {t} {word()}.") for k, t in enumerate(kinds)]
+    got = rows_of(sentences.op6(spark, spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert all(got[i]["text"] == t for i, t in rows if i < 100)
+    assert all(got[i]["text"] == "" and got[i]["n_removed"] == got[i]["n_sentences"] for i, _ in rows if 100 <= i < 300)
+    assert {i: (r["n_sentences"], r["n_removed"]) for i, r in got.items()} == brute_runs(rows)
+    assert all(got[1000 + k]["text"] == rows[180 + k][1] for k, t in enumerate(kinds) if len(t.split()) < 20)
 
 
 # 7 ---------------------------------------------------------------------------------------------------------------
