@@ -280,6 +280,40 @@ def test_language_awkward(spark):
     assert langid.op3(spark, unlabelled).first()["lang_pred"] == "und"
 
 
+def brute_language(model, text):
+    """Language, score and whether the margin is narrow, from the compressed sizes under every dictionary."""
+    import zstandard
+
+    words = "".join(c if c.isalpha() and c.isascii() or ord(c) > 127 else " " for c in (text or "").lower()).split()
+    data = " ".join(words).encode()
+    if not any(c.isalpha() for w in words for c in w):
+        return "und", 0.0, True
+    sizes = {}
+    for name, dictionary in model:
+        d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=langid.LEVEL)
+        for a in range(0, len(data), langid.BLOCK):
+            one = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes[name] = sizes.get(name, 0) + len(one.compress(data[a : a + langid.BLOCK]))
+    least, second = sorted(sizes.values())[:2]
+    margin = (second - least) / second
+    return min(n for n, x in sizes.items() if x == least), 1 - math.exp(-40 * margin), margin < langid.NARROW
+
+
+def test_language_is_the_smallest_size(spark, docs):
+    """Every document against the sizes under all dictionaries; equal dictionaries tie: the first name, rejected."""
+    rows = [(i, t) for i, t, _ in docs] + [(-1, None), (-2, ""), (-3, "123 ?!"), (-4, "straße " * 3000), (-5, "a")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert len(model) > 1 and all(8 <= len(d) <= langid.DICT_BYTES for _, d in model)
+    for own in (model, [("b", model[0][1]), ("a", model[0][1]), ("c", model[1][1])]):
+        own = sorted(own)
+        for r in langid.predict(frame, own, keep=["doc_id"]).collect():
+            name, score, narrow = brute_language(own, dict(rows)[r[ROW].doc_id])
+            assert (r.lang_pred, r.rejected) == (name, narrow) and r.score == pytest.approx(score)
+            assert own is model or r.lang_pred != "b"
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------
 
 
