@@ -32,6 +32,15 @@ def log_averages(df: DataFrame, step: str, names: list[str], cached: list[str] =
     return filled.agg(*[F.round(F.avg(c), digits).alias(c) for c in names])
 
 
+def exact_mean(value: Column) -> Column:
+    """The mean of doubles as they are written in decimals, up to 10 places: added up exactly, so that neither the order of rows nor
+    rounding decides on which side of a half it lies. Groups with a value that this can't hold get the plain mean."""
+    x = value.try_cast("decimal(28,10)")
+    held = F.count_if(value.isNotNull() & ~F.coalesce(x.cast("double") == value, F.lit(False))) == 0
+    exact = F.try_divide(F.try_sum(x), F.count(x)).cast("double")
+    return F.coalesce(F.when(held, exact), F.avg(value))
+
+
 def leaderboard(df: DataFrame, metrics: dict[str, Column], by: list[str], label: str, ord: str) -> DataFrame:
     """place, label and the metrics (missing ones are 0), best first by the named metrics, then in order of input."""
     rows = df.select(label, ord, *[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in metrics.items()])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelquery.functions import temporal
-from reelquery.operators import contrastive, order
+from reelquery.operators import contrastive, order, report
 from reelquery.plans.logs import _place
 from reelquery.plans.registry import Tables, query
 from reelquery.sources import jsonl, loaders, matrix, sinks
@@ -137,7 +137,7 @@ def summary_file(t: Tables) -> DataFrame:
 def leaderboard_files(t: Tables) -> DataFrame:
     """A leaderboard written as CSV and JSON; the rows that both have."""
     path = _place(t, "board")
-    sinks.write_leaderboard(t.events.groupBy(F.col("event_type").alias("label")).agg(F.round(F.avg("value"), 3).alias("score"), F.count(F.lit(1)).alias("n")), path)
+    sinks.write_leaderboard(t.events.groupBy(F.col("event_type").alias("label")).agg(F.round(report.exact_mean(F.col("value")), 3).alias("score"), F.count(F.lit(1)).alias("n")), path)
     shape = "label string, score double, n bigint"
     return t.spark.read.schema(shape).csv(f"{path}/csv", header=True).intersect(t.spark.read.schema(shape).json(f"{path}/json"))
 
