@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelquery.functions.permute import half_bits, permuted
+from reelquery.operators import grid
 from reelquery.operators.order import numbered
 from reelquery.operators.retrieval import top_k
 
@@ -30,6 +31,12 @@ def mined_online(scored: DataFrame, banned: DataFrame, k: int) -> DataFrame:
     return top_k(scored.join(banned, ["qid", "doc"], "left_anti"), k)
 
 
+def mined_blocks(queries: DataFrame, corpus: DataFrame, positives: DataFrame, k: int, allowed, self_match: bool = True) -> DataFrame:
+    """mined_online by the grid join, where a rule of ids (see grid.nearest) and the positive (qid, pos; one a query) ban: one more is looked for, as the positive may be among them."""
+    found = grid.nearest(queries, corpus, k + 1, self_match, allowed).join(positives.select("qid", "pos"), "qid").where("doc <> pos")
+    return top_k(found.drop("pos"), k)
+
+
 def in_batch(batch: DataFrame) -> DataFrame:
     """qid, neg: the other rows' items in a batch that differ from the own. batch: batch_id, qid, gt. Batches are small by definition."""
     a, b = batch.alias("a"), batch.alias("b")
