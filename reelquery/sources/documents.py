@@ -8,6 +8,7 @@ state. Pieces between two commas of the member level are joined again. No task h
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +34,10 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return plain.withColumns({"quotes": quotes, "b0": outside(F.col("p")), "b1": outside(F.concat(F.lit('"'), F.col("p")))}).drop("p")
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
+def files(spark: SparkSession, path: str, p: DataFrame | None = None) -> DataFrame:
     """file, number: the files of a path, numbered by their names from 0."""
-    names = spark.read.option("lineSep", ",").text(path).select(F.col("_metadata.file_path").alias("file")).distinct()
+    found = spark.read.option("lineSep", ",").text(path).select(F.col("_metadata.file_path").alias("file")) if p is None else p.select("file")
+    names = found.distinct()
     return names.withColumn("number", (F.row_number().over(Window.orderBy("file")) - 1).cast("bigint"))  # one row a file
 
 
@@ -61,29 +63,34 @@ def placed(spark: SparkSession, path: str) -> DataFrame:
     return p.select(*_FILE, "n", "text", inside.alias("inside"), depth.alias("depth"), "e", F.when(inside, F.col("b1")).otherwise(F.col("b0")).alias("brackets"))
 
 
-def _running(df: DataFrame, flag: Column, name: str) -> DataFrame:
-    """Adds how many rows of the file up to and with this one have the flag."""
-    df = df.withColumn("__f", flag.cast("int"))
+def held(spark: SparkSession, path: str) -> DataFrame:
+    """What `placed` gives, worked out once and held on the executors' disks: all that is asked of a path reads this."""
+    return placed(spark, path).persist(StorageLevel.DISK_ONLY)
+
+
+def _running(df: DataFrame, flags: dict[str, Column]) -> DataFrame:
+    """Adds for each name how many rows of the file up to and with this one have its flag."""
+    df = df.withColumns({f"__f_{n}": f.cast("int") for n, f in flags.items()})
     upto = Window.partitionBy(*_FILE).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    counts = df.groupBy(*_FILE).agg(F.sum("__f").alias("__c"))
-    counts = counts.select(*_FILE, F.coalesce(F.sum("__c").over(_ahead(counts, ["file"], "block")), F.lit(0)).alias("__before"))
-    return df.join(counts, _FILE).withColumn(name, F.col("__before") + F.sum("__f").over(upto)).drop("__f", "__before")
+    counts = df.groupBy(*_FILE).agg(*[F.sum(f"__f_{n}").alias(f"__c_{n}") for n in flags])
+    counts = counts.select(*_FILE, *[F.coalesce(F.sum(f"__c_{n}").over(_ahead(counts, ["file"], "block")), F.lit(0)).alias(f"__b_{n}") for n in flags])
+    out = df.join(counts, _FILE).withColumns({n: F.col(f"__b_{n}") + F.sum(f"__f_{n}").over(upto) for n in flags})
+    return out.drop(*[f"__{x}_{n}" for x in "fb" for n in flags])
 
 
-def members(spark: SparkSession, path: str, under: str | None = None) -> DataFrame:
+def members(spark: SparkSession, path: str, under: str | None = None, p: DataFrame | None = None) -> DataFrame:
     """file, place, text: the members of the top-level array or object of each file (an object's as `"key": value`), or with
-    `under` the elements of the array that the top-level object has by that key. place orders them within the file."""
-    p = placed(spark, path)
+    `under` the elements of the array that the top-level object has by that key. place orders them within the file. p: what `held` gives, if it is there."""
+    p = held(spark, path) if p is None else p
     cut = ~F.col("inside")
     if under is None:
-        p = _running(p, cut & (F.col("depth") <= 1), "place")
+        p = _running(p, {"place": cut & (F.col("depth") <= 1)})
         head, tail = r"(?s)^[\s\uFEFF]*[\[{]", r"(?s)[\]}]\s*$"
         ends = F.col("last") == 0
         whole = p
     else:
         opens = _opens(under)
-        p = _running(p, cut & (F.col("depth") <= 1), "key")
-        p = _running(p, cut & (F.col("depth") <= 2), "place")
+        p = _running(p, {"key": cut & (F.col("depth") <= 1), "place": cut & (F.col("depth") <= 2)})
         keys = p.where(cut & (F.col("depth") <= 1) & F.col("text").rlike(opens)).groupBy("file").agg(F.min("key").alias("key"))
         whole = p.join(keys, ["file", "key"])
         head, tail = opens, r"(?s)\]\s*(\}\s*)?$"
@@ -97,9 +104,9 @@ def members(spark: SparkSession, path: str, under: str | None = None) -> DataFra
     return out.where(F.col("text").rlike(r"\S")).select("file", "place", F.trim("text").alias("text"))
 
 
-def has_array(spark: SparkSession, path: str, key: str) -> bool:
+def has_array(spark: SparkSession, path: str, key: str, p: DataFrame | None = None) -> bool:
     """Whether the top-level object of any file has an array by that key."""
-    p = placed(spark, path)
+    p = placed(spark, path) if p is None else p
     return bool(p.where(~F.col("inside") & (F.col("depth") <= 1) & F.col("text").rlike(_opens(key))).limit(1).count())
 
 
@@ -107,9 +114,9 @@ def _opens(key: str) -> str:
     return rf'(?s)^[\s\uFEFF]*\{{?\s*"{key}"\s*:\s*\['
 
 
-def shape(spark: SparkSession, path: str) -> DataFrame:
+def shape(spark: SparkSession, path: str, p: DataFrame | None = None) -> DataFrame:
     """file, head (its first character that isn't blank), values (how many top-level arrays and objects it has), balanced."""
-    p = placed(spark, path)
+    p = placed(spark, path) if p is None else p
     hits = F.aggregate(F.split("brackets", ""), F.struct(F.col("depth").cast("bigint").alias("d"), F.lit(0).alias("z")), lambda a, c: _count(a, c))["z"]
     ends = F.when(F.col("brackets").rlike(r"[\]}]"), hits).otherwise(F.lit(0))
     first = F.substring(F.regexp_replace("text", r"^[\s\uFEFF]+", ""), 1, 1)

@@ -66,21 +66,23 @@ def read_any(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
     """
     if path.rstrip("/").endswith(".jsonl"):
         return read_jsonl(spark, path, schema)
-    found = documents.shape(spark, path)
+    p = documents.held(spark, path)
+    found = documents.shape(spark, path, p)
     kind = F.when(F.col("head") == "[", "array").when((F.col("head") == "{") & (F.col("values") == 1), "object").otherwise("lines")
     kinds = {(r[0], r[1]) for r in found.select(kind, F.when(kind != "lines", F.col("balanced"))).distinct().collect()}  # a few
     names = {k for k, _ in kinds}
     if ("array", False) in kinds or ("object", False) in kinds:
         raise ValueError(f"{path}: an array or object that doesn't end")
     if names == {"array"}:
-        each = documents.members(spark, path)
-    elif names == {"object"} and documents.has_array(spark, path, "data"):
-        each = documents.members(spark, path, under="data")
+        each = documents.members(spark, path, p=p)
+    elif names == {"object"} and documents.has_array(spark, path, "data", p):
+        each = documents.members(spark, path, under="data", p=p)
     elif names <= {"lines", "object"}:
+        p.unpersist()
         return read_jsonl(spark, path, schema)
     else:
         raise ValueError(f"{path} holds arrays beside lines")
-    each = each.join(documents.files(spark, path), "file").select((F.col("number") * (1 << 40) + F.col("place") - 1).alias("ord"), F.col("text").alias("line"))
+    each = each.join(documents.files(spark, path, p), "file").select((F.col("number") * (1 << 40) + F.col("place") - 1).alias("ord"), F.col("text").alias("line"))
     return parsed(each, schema).where("not bad").select("ord", "row.*")
 
 
