@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ from reelquery.llm.worker import tidy
 
 #: Bits of a filter: 8 MB, whatever it stands for.
 FILTER_BITS = 1 << 26
+#: Numbers of 64 bits of a filter that a row of `PackedBits` holds.
+ROW_NUMBERS = 1 << 13
 
 
 class Bits:
@@ -39,6 +42,44 @@ class Bits:
         return (self.bits[b >> 6] >> (b & 63)) & 1 == 1
 
 
+class PackedBits(Bits):
+    """The same bits for frames of many keys: each task sets its own and ships them compressed, about a byte for each."""
+
+    def __init__(self, keys: DataFrame):
+        rows = keys.select("k").mapInArrow(tidy(_packed(max(FILTER_BITS >> 6, 1), FILTER_BITS - 1)), "at long, bits binary")
+        found = rows.groupBy("at").applyInArrow(_either, "at long, bits binary").toArrow()
+        self.bits = np.zeros(max(FILTER_BITS >> 6, 1), np.int64)
+        for at, x in zip(found["at"].to_pylist(), found["bits"].to_pylist(), strict=True):
+            own = np.frombuffer(zlib.decompress(x), np.int64)
+            self.bits[at : at + len(own)] = own
+
+
+def _packed(size: int, last: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, np.int64)
+        for batch in batches:
+            k = batch.column(0).to_numpy()
+            u = k.view(np.uint64)
+            third = ((u >> np.uint64(7)) ^ (u >> np.uint64(45))).view(np.int64)
+            b = np.unique(np.concatenate((k, (u >> np.uint64(32)).view(np.int64), third)) & last)
+            if len(b):
+                at = b >> 6
+                heads = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+                bits[at[heads]] |= np.bitwise_or.reduceat(np.int64(1) << (b & 63), heads)
+        for at in range(0, size, ROW_NUMBERS):
+            own = bits[at : at + ROW_NUMBERS]
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([zlib.compress(own.tobytes(), 1)])], names=["at", "bits"])
+
+    return run
+
+
+def _either(rows: pa.Table) -> pa.Table:
+    """One row of the bits that any of the rows, all of one place, has."""
+    bits = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.int64) for x in rows["bits"].to_pylist()])
+    return pa.table({"at": rows["at"].slice(0, 1).combine_chunks(), "bits": pa.array([zlib.compress(bits.tobytes(), 1)])})
+
+
 def _run(shared, then):
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

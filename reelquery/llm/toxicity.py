@@ -2,19 +2,22 @@
 
 For toxic and for ordinary text there is a bigram model over words with Kneser-Ney smoothing: counts of a class are
 discounted and backed off to the class's continuation counts (in how many different contexts a word follows), and
-these to continuation counts shared by both classes, so an expression that is rare in both says little. The evidence of
-a word is log P(toxic) - log P(ordinary) by the continuation counts alone, and given the word before it. Words and pairs
-that no toxic text holds back off in both classes and say nothing, so the classes are compared on what both can hold.
-A text's features are, for either evidence, its mean (the length-normalised difference of the log-likelihoods) and how
-much of it lies beyond `BEYOND`, so that a long text cannot drown a toxic passage. A logistic curve makes a probability of
-them.
+these to continuation counts shared by both classes, so an expression that is rare in both says little. A text's first
+feature is the length-normalised difference of its log-likelihoods, log P(toxic) - log P(ordinary), by the two whole
+models: words and pairs that only one class holds, and those that none holds, count with what either model gives them.
+
+The other features are of what toxic text holds, so that a long text cannot drown a toxic passage: the evidence of a
+word is log P(toxic) - log P(ordinary) by the continuation counts alone, and given the word before it. Here words and
+pairs that no toxic text holds say nothing. For either evidence there are its mean and how much of it lies beyond
+`BEYOND`. A logistic curve makes a probability of all features.
 
 Counts cover all training rows (three of five folds; one more fits the curve, on which rows that count would look better
 than unseen ones, and one is held out) and are never cut. The model is a cluster table of the evidence of each word and
-pair. Every sum over a text is a sum over its words and pairs: workers add up what their cache of the `MOST_CACHED` most
-frequent rows holds; other keys of a text that may be in the table (by a filter of bounded size) are joined to it,
-and their sums are added. So scores don't depend on either bound, and no text has to meet the model. A hash takes at
-most about `MOST_ROWS` rows for the curve's eight weights.
+pair of either class. A text's log-ratio is a sum over its words (of the word and of the backoff after it) and over
+those of its pairs that training rows hold (what their own counts add). Every sum over a text is a sum over its words
+and pairs: workers add up what their cache of the `MOST_CACHED` most frequent rows holds; other keys of a text that may
+be in the table (by a filter of bounded size) are joined to it, and their sums are added. So scores don't depend on
+either bound, and no text has to meet the model. A hash takes at most about `MOST_ROWS` rows for the curve's nine weights.
 
 Scale: labelled texts are shuffled once, to meet their labels (such a filter spares texts without one); pairs are
 aggregated in Python before their shuffle, which is salted for frequent words; scoring reads each text once and
@@ -37,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquery.llm.bits import Bits, maybe_in
+from reelquery.llm.bits import Bits, PackedBits, maybe_in
 from reelquery.llm.common import ROW, Scratch, cut, groups
 from reelquery.llm.components import spread_join
 from reelquery.llm.words import MOST_WORDS, alnum_words, mix, word_hashes
@@ -49,12 +52,12 @@ MOST_CACHED, LEAST_CACHED = 1_500_000, 2
 MOST_ROWS, DISCOUNT, MOST_EVIDENCE, SALT = 20_000, 0.75, 6.0, 16
 #: Evidence beyond these counts as strong, and as very strong.
 BEYOND = (1.0, 3.0)
-#: Words that toxic text holds are broadcast to the pairs they are in, up to so many; beyond, they are joined.
+#: The most frequent words, toxic or not, are broadcast to the pairs they are in, up to so many; pairs of others are joined to them.
 MOST_TOXIC_WORDS = 500_000
 #: Bytes of text whose pairs are counted together.
 COUNTED_BYTES = 16 << 20
-SUMS = tuple(f"{kind}_{part}" for kind in ("given", "alone") for part in ("sum", "strong", "very"))
-FEATURES = ("given_mean", "given_strong", "given_very", "alone_mean", "alone_strong", "alone_very", "size")
+SUMS = tuple(f"{kind}_{part}" for kind in ("given", "alone") for part in ("sum", "strong", "very")) + ("ratio_sum",)
+FEATURES = ("given_mean", "given_strong", "given_very", "alone_mean", "alone_strong", "alone_very", "size", "ratio_mean")
 #: Hash of the start of a text.
 START = np.zeros(1, np.int64)
 #: Bytes of text that are scored together.
@@ -121,9 +124,9 @@ class Model:
     """The part of the model that every worker holds, sorted by key."""
 
     words: np.ndarray
-    word_evidence: np.ndarray
+    word_evidence: np.ndarray  # evidence, and the log-ratios of the word and of the backoff after it
     pairs: np.ndarray
-    pair_evidence: np.ndarray  # given the context, and of the word alone
+    pair_evidence: np.ndarray  # given the context, and of the word alone; the log-ratio of the pair's own counts
     filter: Bits
 
     @staticmethod
@@ -135,65 +138,86 @@ class Model:
         return at, own[at] == keys
 
 
-def evidence_table(labelled: DataFrame, scratch: Scratch) -> DataFrame:
-    """The model of the rows (text: binary, toxic: int): key k, count n, evidence e, and for pairs the evidence alone of their word, in scratch."""
+def _least(table: DataFrame, most: int, often: int = 1) -> tuple[Column, int]:
+    """A grade of the rows by their count n, and the least grade of which, with those above, at most `most` rows are (seen `often` times at least)."""
+    grade = F.floor(8 * F.log2("n"))  # a few hundred grades at most
+    kept, least = 0, 1 << 30
+    for g, n in sorted(((r[0], r[1]) for r in table.groupBy(grade.alias("g")).count().collect()), reverse=True):
+        kept += n
+        if kept > most or g < 8 * int(np.log2(often)):
+            break
+        least = g
+    return grade, least
+
+
+def evidence_table(labelled: DataFrame, scratch: Scratch) -> tuple[DataFrame, float, float]:
+    """The models of the rows (text: binary, toxic: int), in scratch, and the log-ratios of a word that no row holds and of the backoff at a text's start.
+
+    A row is a key k, a count n, and of a word: e (its evidence), ratio (log-ratio of its continuation probabilities, less that
+    of a word that no row holds) and after (log-ratio of the backoff after it); of a pair: e, alone (the evidence of its word) and
+    ratio (what its own counts add to the log-ratio). Pairs that no toxic row holds have no evidence beside their word's.
+    """
+    own = Scratch(labelled.sparkSession)
     each = labelled.mapInArrow(tidy(_pairs), "w bigint, c bigint, o bigint, t bigint")
     pairs = each.repartition("w").groupBy("w", "c").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
-    pairs = pairs.select(F.col("w").bitwiseAND(F.lit(~0xFFFF).cast("bigint")).alias("w"), F.shiftleft("c", 16).alias("c"), "o", "t")
+    pairs = own.keep(pairs.select(F.col("w").bitwiseAND(F.lit(~0xFFFF).cast("bigint")).alias("w"), F.shiftleft("c", 16).alias("c"), "o", "t"))
     one = lambda n: (F.col(n) > 0).cast("bigint")
     names = ("f", "fo", "ft", "so", "st", "do", "dt")
 
-    def row(a: str, b: Column, **own: Column) -> Column:
-        return F.struct(F.col(a).alias("a"), b.alias("b"), *[own.get(x, F.lit(0)).cast("bigint").alias(x) for x in names])
+    def row(a: str, **found: Column) -> Column:
+        return F.struct(F.col(a).alias("a"), *[found.get(x, F.lit(0)).cast("bigint").alias(x) for x in names])
 
-    none = F.lit(None).cast("bigint")
-    follows = row("w", none, f=F.lit(1), fo=one("o"), ft=one("t"))
-    contexts = row("c", none, so=F.col("o"), st=F.col("t"), do=one("o"), dt=one("t"))
-    toxic_pair = row("c", F.col("w"), so=F.col("o"), st=F.col("t"))
-    rows = pairs.select(F.explode(F.when(F.col("t") > 0, F.array(follows, contexts, toxic_pair)).otherwise(F.array(follows, contexts))).alias("x")).select("x.*")
-    counts = scratch.keep(rows.groupBy("a", "b").agg(*[F.sum(x).alias(x) for x in names]))
-    words = counts.where("b is null")
-    size, f, fo, ft, of_o, of_t = (float(x or 0) for x in words.agg(F.sum(one("f")), *[F.sum(x) for x in ("f", "fo", "ft")], *[F.sum(one(x)) for x in ("fo", "ft")]).first())
+    follows = row("w", f=F.lit(1), fo=one("o"), ft=one("t"))
+    contexts = row("c", so=F.col("o"), st=F.col("t"), do=one("o"), dt=one("t"))
+    rows = pairs.select(F.explode(F.array(follows, contexts)).alias("x")).select("x.*")
+    counts = own.keep(rows.groupBy("a").agg(*[F.sum(x).alias(x) for x in names]))
+    size, f, fo, ft, of_o, of_t = (float(x or 0) for x in counts.agg(F.sum(one("f")), *[F.sum(x) for x in ("f", "fo", "ft")], *[F.sum(one(x)) for x in ("fo", "ft")]).first())
 
     # Continuation counts: the class's, backed off to the shared ones, and these to a uniform share of all words and one more.
     less = lambda n: F.greatest(F.col(n) - DISCOUNT, F.lit(0.0))
     share = DISCOUNT / max(f, DISCOUNT * (size + 1))
     whole = max(f - DISCOUNT * size, 0) / max(f, 1) + share * (size + 1)
-    low = {}
+    low, rest = {}, {}
     for name, total, kinds in (("fo", fo, of_o), ("ft", ft, of_t)):
-        rest = (DISCOUNT * kinds if total else 1.0) / whole / max(total, 1)
-        low[name] = less(name) / max(total, 1) + (less("f") / max(f, 1) + share) * rest
+        rest[name] = (DISCOUNT * kinds if total else 1.0) / whole / max(total, 1)
+        low[name] = less(name) / max(total, 1) + (less("f") / max(f, 1) + share) * rest[name]
+    unseen = float(np.log(rest["ft"] / rest["fo"]))
     left = lambda s, d: F.when(F.col(s) > 0, DISCOUNT * F.col(d) / F.col(s)).otherwise(1.0)
     clipped = lambda e: F.greatest(F.least(e, F.lit(MOST_EVIDENCE)), F.lit(-MOST_EVIDENCE))
-    held = words.where("ft > 0 or st > 0").select("a", F.greatest(F.col("so") + F.col("st"), F.col("ft")).alias("n"), "ft", low["fo"].alias("lo"), low["ft"].alias("lt"), left("so", "do").alias("ro"), left("st", "dt").alias("rt"), "so", "st")
-    held = scratch.keep(held.withColumn("e", F.when(F.col("ft") > 0, clipped(F.log(F.col("lt") / F.col("lo")))).otherwise(0.0)))
-    small = held.count() <= MOST_TOXIC_WORDS
-    meet = (lambda x, y, key: x.join(F.broadcast(y), key)) if small else spread_join
-    both = counts.where("b is not null").select(F.col("a").alias("c"), F.col("b").alias("w"), (F.col("so") + F.col("st")).alias("n"), F.col("so").alias("o"), F.col("st").alias("t"))
-    both = meet(both, held.select(F.col("a").alias("c"), "ro", "rt", F.col("so").alias("co"), F.col("st").alias("ct")), "c")
-    both = meet(both, held.select(F.col("a").alias("w"), "lo", "lt", "e"), "w")
-    given = lambda n, seen, r, p: less(n) / F.greatest(F.col(seen), F.lit(1)) + F.col(r) * F.col(p)
-    e = clipped(F.log(given("t", "ct", "rt", "lt") / given("o", "co", "ro", "lo")))
-    of_pairs = both.select("c", "w", "n", e.cast("float").alias("e"), F.col("e").cast("float").alias("alone"))
-    of_pairs = of_pairs.mapInArrow(_keyed, "k bigint, n bigint, e float, alone float")
-    of_words = held.where("ft > 0").select(F.col("a").alias("k"), "n", F.col("e").cast("float").alias("e"), F.lit(None).cast("float").alias("alone"))
-    return scratch.keep(of_words.union(of_pairs))
-
-
-def cache(table: DataFrame) -> Model:
-    """What workers hold of the table: its most frequent rows (seen `LEAST_CACHED` times at least, on tables of any size; at most `MOST_CACHED`), and the filter of all."""
-    grade = F.floor(8 * F.log2("n"))  # a few hundred grades at most
-    kept, least = 0, 1 << 30
-    floor = 8 * int(np.log2(LEAST_CACHED))
-    for g, n in sorted(((r[0], r[1]) for r in table.groupBy(grade.alias("g")).count().collect()), reverse=True):
-        kept += n
-        if kept > MOST_CACHED or g < floor:
-            break
-        least = g
-    top = table.where(grade >= least).select("k", "e", "alone").toArrow().sort_by("k")
-    k, e, alone = (top[x].to_numpy() for x in ("k", "e", "alone"))
+    words = counts.select("a", "f", "ft", F.greatest(F.col("so") + F.col("st"), F.col("f")).alias("n"), "so", "st", low["fo"].alias("lo"), low["ft"].alias("lt"), left("so", "do").alias("ro"), left("st", "dt").alias("rt"))
+    words = words.withColumn("whole", F.log(F.col("lt") / F.col("lo"))).withColumn("after", F.log(F.col("rt") / F.col("ro")))
+    words = words.withColumn("e", F.when(F.col("ft") > 0, clipped(F.col("whole"))).otherwise(0.0))
+    start = words.where("a = 0").select("after").first()
+
+    # A pair's counts over what the model backs off to: the log-ratio beyond that of the backoff.
+    back = lambda s, r: F.greatest(F.col(s), F.lit(1)) * F.col(r)
+    of_c = words.select(F.col("a").alias("c"), back("so", "ro").alias("yo"), back("st", "rt").alias("yt"), "after", "n")
+    of_w = words.select(F.col("a").alias("w"), "lo", "lt", "e", "whole", "n")
+    grade, least = _least(words, MOST_TOXIC_WORDS)
+    near_c, near_w = (F.broadcast(x.where(grade >= least).drop("n")) for x in (of_c, of_w))
+    both = pairs.join(near_c, "c").join(near_w, "w")
+    if words.where(grade < least).limit(1).count():
+        far = pairs.join(near_c, "c", "left").join(near_w, "w", "left").where("yo is null or lo is null").select(*pairs.columns)
+        both = both.unionByName(spread_join(spread_join(far, of_c.drop("n"), "c"), of_w.drop("n"), "w"))
+    own_part = lambda n, y, low: F.log1p(less(n) / (F.col(y) * F.col(low)))
+    both = both.withColumn("ratio", own_part("t", "yt", "lt") - own_part("o", "yo", "lo"))
+    toxic = lambda x: F.when(F.col("t") > 0, x).otherwise(0.0).cast("float")
+    e = clipped(F.col("ratio") + F.col("after") + F.col("whole"))
+    of_pairs = both.select("c", "w", (F.col("o") + F.col("t")).alias("n"), toxic(e).alias("e"), toxic(F.col("e")).alias("alone"), F.col("ratio").cast("float").alias("ratio"), F.lit(None).cast("float").alias("after"))
+    of_pairs = of_pairs.mapInArrow(_keyed, "k bigint, n bigint, e float, alone float, ratio float, after float")
+    of_words = words.where("f > 0").select(F.col("a").alias("k"), "n", F.col("e").cast("float").alias("e"), F.lit(None).cast("float").alias("alone"), (F.col("whole") - unseen).cast("float").alias("ratio"), F.col("after").cast("float").alias("after"))
+    table = scratch.keep(of_words.union(of_pairs))
+    own.drop()
+    return table, unseen, float(start[0] if start else 0.0)
+
+
+def cache(table: DataFrame, more: tuple[str, ...] = ()) -> Model:
+    """What workers hold of the table: its most frequent rows (seen `LEAST_CACHED` times at least, on tables of any size; at most `MOST_CACHED`) with e, alone and the columns `more`, and the filter of all."""
+    grade, least = _least(table, MOST_CACHED, LEAST_CACHED)
+    top = table.where(grade >= least).select("k", "e", "alone", *more).toArrow().sort_by("k")
+    k, e, alone, *others = (top[x].to_numpy() for x in ("k", "e", "alone", *more))
     pair = ~np.isnan(alone)
-    return Model(k[~pair], e[~pair], k[pair], np.stack((e[pair], alone[pair]), 1), Bits(table))
+    return Model(k[~pair], np.stack([x[~pair] for x in (e, *others)], 1), k[pair], np.stack([x[pair] for x in (e, alone, *others)], 1), PackedBits(table))
 
 
 class Vocabulary(dict):
@@ -206,7 +230,7 @@ class Vocabulary(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.hashes, self.evidence, self.missing = START[:0], np.zeros(0), np.zeros(0, np.bool_)
+        self.hashes, self.evidence, self.missing = START[:0], np.zeros((0, 3)), np.zeros(0, np.bool_)
 
     def __missing__(self, word: bytes) -> int:
         code = self[word] = len(self)
@@ -221,7 +245,7 @@ class Vocabulary(dict):
         if new:
             h = _id(np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new)))
             at, hit = self.model.find(self.model.words, h)
-            e = np.zeros(len(h))
+            e = np.zeros((len(h), 3))
             e[hit] = self.model.word_evidence[at[hit]]
             may = np.zeros(len(h), np.bool_)
             may[self.model.filter.places(h)] = True
@@ -235,44 +259,49 @@ def parts(e: np.ndarray) -> list[np.ndarray]:
     return [e, *[np.maximum(e - b, 0) for b in BEYOND]]
 
 
-def sums_of(texts: list[bytes | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text its words and `SUMS` over what the workers hold, and (text, key, count) of what has to be joined."""
+def sums_of(texts: list[bytes | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text its words and `SUMS` over what the workers hold, and (text, key, count, count of those before another word) of what has to be joined."""
     model = vocabulary.model
     words = [alnum_words(x) if x else [] for x in texts]
     n = np.fromiter(map(len, words), np.int64, len(words))
     code = vocabulary.codes(list(chain.from_iterable(words)))
     text = np.repeat(np.arange(len(texts)), n)
-    h, e = vocabulary.hashes[code], vocabulary.evidence[code]
+    h, (e, ratio, after) = vocabulary.hashes[code], vocabulary.evidence[code].T
+    goes_on = np.ones(len(h), np.bool_)
+    goes_on[np.cumsum(n)[n > 0] - 1] = False
     before = np.concatenate((START, h[:-1]))[: len(h)]
     before[(np.cumsum(n) - n)[n > 0]] = 0
     keys = _pair_keys(before, h)
     maybe = model.filter.places(keys)
     at, hit = model.find(model.pairs, keys[maybe])
     own = maybe[hit]
-    given, alone = model.pair_evidence[at[hit]].astype(float).T
-    out = np.zeros((len(texts), 6))
+    given, alone, pair_ratio, _ = model.pair_evidence[at[hit]].astype(float).T
+    out = np.zeros((len(texts), len(SUMS)))
+    out[:, 6] = np.bincount(text, ratio + after * goes_on, len(texts)) + np.bincount(text[own], pair_ratio, len(texts))
     for j, (word, x, y) in enumerate(zip(parts(e), parts(given), parts(alone), strict=True)):
         out[:, 3 + j] = np.bincount(text, word, len(texts))
         out[:, j] = out[:, 3 + j] + np.bincount(text[own], x - y, len(texts))
     unknown = np.flatnonzero(vocabulary.missing[code])
     who = np.concatenate((text[unknown], text[maybe[~hit]]))
     what = np.concatenate((h[unknown], keys[maybe[~hit]]))
+    before_another = np.concatenate((goes_on[unknown], np.zeros(len(who) - len(unknown), np.bool_)))
     order = np.lexsort((what, who))
-    who, what = who[order], what[order]
+    who, what, before_another = who[order], what[order], np.concatenate(([0], np.cumsum(before_another[order])))
     heads = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]) | (what[1:] != what[:-1])))[: len(who)])
-    return n, out, (who[heads], what[heads], np.diff(np.concatenate((heads, [len(who)]))))
+    ends = np.concatenate((heads, [len(who)]))
+    return n, out, (who[heads], what[heads], np.diff(ends), np.diff(before_another[ends]))
 
 
 def _sums(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(shared.value)
         for batch in batches:
-            texts = [x.as_py() for x in batch.column(1)]
+            texts = [x.as_py() for x in batch.column(3)]
             for i, j in groups(texts, SCORED_BYTES):
-                n, sums, (who, keys, counts) = sums_of(texts[i:j], vocabulary)
+                n, sums, (who, keys, counts, afters) = sums_of(texts[i:j], vocabulary)
                 ends = np.concatenate(([0], np.cumsum(np.bincount(who, minlength=j - i)))).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (keys, counts)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), *[pa.array(sums[:, k]) for k in range(6)], *lists], names=["doc", "n", *SUMS, "keys", "counts"])
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (keys, counts << 32 | afters)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(i, j - i) for k in range(3)], pa.array(n), *[pa.array(sums[:, k]) for k in range(len(SUMS))], *lists], names=["i", "x", "y", "n", *SUMS, "keys", "counts"])
 
     return run
 
@@ -283,27 +312,32 @@ def _doc(text: str) -> Column:
     return F.when(body.isNotNull(), F.struct(F.xxhash64(body).alias("x"), F.xxhash64(F.lit(1), body).alias("y")))
 
 
-def features(docs: DataFrame, text: str, table: DataFrame, model: Model) -> DataFrame:
+def features(docs: DataFrame, text: str, table: DataFrame, model: Model, unseen: float, start: float) -> DataFrame:
     """doc (see `_doc`) and the features of each different text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     scratch = Scratch(docs.sparkSession)
     rows = docs.where(F.col(f"`{text}`").isNotNull()).select(_doc(text).alias("doc"), F.col(f"`{text}`").cast("binary").alias("t"))
-    kind = rows.schema["doc"].dataType.simpleString()
-    rows = scratch.keep(rows.mapInArrow(tidy(_sums(shared)), f"doc {kind}, n bigint, " + ", ".join(f"{s} double" for s in SUMS) + ", keys array<bigint>, counts array<bigint>"))
-    wanted = rows.where(F.size("keys") > 0).select("doc", F.explode(F.arrays_zip("keys", "counts")).alias("x")).select("doc", F.col("x.keys").alias("k"), F.col("x.counts").alias("c"))
-    met = spread_join(wanted, table.select("k", "e", "alone"), "k")
+    # A text's number is shorter than what stands for the text. Of its two counts of a key, the lower 32 bits are those before another word.
+    rows = rows.select(F.monotonically_increasing_id().alias("i"), "doc.x", "doc.y", "t")
+    rows = scratch.keep(rows.mapInArrow(tidy(_sums(shared)), "i bigint, x bigint, y bigint, n bigint, " + ", ".join(f"{s} double" for s in SUMS) + ", keys array<bigint>, counts array<bigint>"))
+    wanted = rows.where(F.size("keys") > 0).select("i", F.explode(F.arrays_zip("keys", "counts")).alias("x")).select("i", F.col("x.keys").alias("k"), F.col("x.counts").alias("cd"))
+    met = wanted.join(table.drop("n").hint("merge"), "k")  # neither side is aggregated, so a hot key can be split
+    met = met.withColumn("c", F.shiftright("cd", 32)).withColumn("d", F.col("cd").bitwiseAND(F.lit((1 << 32) - 1)))
     part = lambda e: [e.cast("double"), *[F.greatest(e.cast("double") - b, F.lit(0.0)) for b in BEYOND]]
     word = F.col("alone").isNull()
     more = [F.col("c") * (x - F.when(word, 0.0).otherwise(y)) for x, y in zip(part(F.col("e")), part(F.col("alone")), strict=True)]
     more += [F.when(word, F.col("c") * x).otherwise(0.0) for x in part(F.col("e"))]
-    late = met.select("doc", F.lit(0).alias("m"), F.lit(0).cast("bigint").alias("n"), *[x.alias(s) for x, s in zip(more, SUMS, strict=True)])
-    every = rows.select("doc", F.lit(1).alias("m"), "n", *SUMS).union(late)
-    # Copies of a text add up alike: their sums are divided by their number.
-    total = every.groupBy("doc").agg(F.sum("m").alias("m"), F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in SUMS])
-    own = lambda s: F.col(s) / F.col("m")
+    more.append(F.col("c") * F.col("ratio") + F.col("d") * F.coalesce("after", F.lit(0.0)))
+    none = F.lit(None).cast("bigint")
+    late = met.select("i", none.alias("x"), none.alias("y"), none.alias("n"), *[x.alias(s) for x, s in zip(more, SUMS, strict=True)])
+    every = rows.select("i", "x", "y", "n", *SUMS).union(late)
+    each = every.groupBy("i").agg(*[F.max(x).alias(x) for x in ("x", "y", "n")], *[F.sum(s).alias(s) for s in SUMS])
+    # Copies of a text have the same sums, but for the order in which they were added.
+    total = each.groupBy("x", "y").agg(*[F.max(x).alias(x) for x in ("n", *SUMS)]).withColumn("doc", F.struct("x", "y"))
     mean = lambda s: F.when(F.col("n") > 0, F.col(s) / F.col("n")).otherwise(0.0)
-    strong = lambda s: F.log1p(F.greatest(own(s), F.lit(0.0)))
-    columns = [mean("given_sum"), strong("given_strong"), strong("given_very"), mean("alone_sum"), strong("alone_strong"), strong("alone_very"), F.log1p(own("n"))]
+    strong = lambda s: F.log1p(F.greatest(F.col(s), F.lit(0.0)))
+    ratio = F.when(F.col("n") > 0, (F.col("ratio_sum") + start) / F.col("n") + unseen).otherwise(0.0)
+    columns = [mean("given_sum"), strong("given_strong"), strong("given_very"), mean("alone_sum"), strong("alone_strong"), strong("alone_very"), F.log1p("n"), ratio]
     out = cut(total.select("doc", *[c.alias(x) for c, x in zip(columns, FEATURES, strict=True)]))
     scratch.drop()
     return out
@@ -341,8 +375,8 @@ def score(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     texts = maybe_in(own.where(train).where("id is not null and text is not null"), known.where(train), "id")
     labelled = spread_join(texts, known.where(train).hint("merge"), "id").select("text", "toxic")
     scratch = Scratch(spark)
-    table = evidence_table(labelled, scratch)
-    found = features(docs, text, table, cache(table))
+    table, unseen, start = evidence_table(labelled, scratch)
+    found = features(docs, text, table, cache(table, ("ratio", "after")), unseen, start)
     scratch.drop()
 
     n = known.where(calibrate).count()
