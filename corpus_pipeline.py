@@ -1,6 +1,7 @@
 """The corpus pipeline: five stages over `documents`, each written as Parquet and read again as the next one's input.
 
-1. toxicity: documents that the class-conditional Kneser-Ney models call toxic (score of 0.5 or more) go.
+1. toxicity: documents that the class-conditional Kneser-Ney models call toxic (score of 0.5 or more) go; what only
+   ordinary text holds speaks against it.
 2. near_duplicates: of each group of near-duplicates (5-word shingles, Jaccard 0.8) the smallest id stays.
 3. decontaminate: spans of 10 or more words of a benchmark item are cut out; documents that are more than half
    benchmark go.
