@@ -20,8 +20,10 @@ be in the table (by a filter of bounded size) are joined to it, and their sums a
 either bound, and no text has to meet the model. A hash takes at most about `MOST_ROWS` rows for the curve's nine weights.
 
 Scale: labelled texts are shuffled once, to meet their labels (such a filter spares texts without one); pairs are
-aggregated in Python before their shuffle, which is salted for frequent words; scoring reads each text once and
-shuffles sums and keys, never texts. Copies of a text share their sums.
+aggregated in Python before their shuffle, which is salted for frequent words; scoring takes each text once and
+shuffles sums and keys, never texts. Copies of a text share their sums. The disk holds one step at a time: the evidence is
+written in buckets of its key, which the texts' keys meet where they lie, `SLICES` parts of the texts one after the other;
+all texts are scored, by the whole model. What a step has shuffled goes when it ends.
 
 Defined results: null, empty and wordless texts get the score of no evidence; null labels teach nothing; a document
 with two labels counts for each; without any label, or with one class only, scores are the rate of that class; repeated
@@ -30,8 +32,10 @@ rows are scored one by one; an empty table stays empty.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import chain, islice
 
 import numpy as np
@@ -41,19 +45,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelquery.llm.bits import Bits, PackedBits, maybe_in
-from reelquery.llm.common import ROW, Scratch, cut, groups
+from reelquery.llm.common import ROW, Scratch, cut, delete, groups, new_path, shuffle_partitions, shuffles_freed
 from reelquery.llm.components import spread_join
 from reelquery.llm.words import MOST_WORDS, alnum_words, mix, word_hashes
 from reelquery.llm.worker import tidy
 
 #: Rows of the model that are broadcast, and how often they must have been seen.
-MOST_CACHED, LEAST_CACHED = 1_500_000, 2
+MOST_CACHED, LEAST_CACHED = 600_000, 2
 #: Rows that fit the curve; discount; the most that one word weighs; shares of a hot word (a power of two).
 MOST_ROWS, DISCOUNT, MOST_EVIDENCE, SALT = 20_000, 0.75, 6.0, 16
 #: Evidence beyond these counts as strong, and as very strong.
 BEYOND = (1.0, 3.0)
 #: The most frequent words, toxic or not, are broadcast to the pairs they are in, up to so many; pairs of others are joined to them.
-MOST_TOXIC_WORDS = 500_000
+MOST_TOXIC_WORDS = 200_000
+#: Parts of the texts that are scored, and of the evidence that is dealt to buckets, one after the other. No result depends on it.
+SLICES = 6
 #: Bytes of text whose pairs are counted together.
 COUNTED_BYTES = 16 << 20
 SUMS = tuple(f"{kind}_{part}" for kind in ("given", "alone") for part in ("sum", "strong", "very")) + ("ratio_sum",)
@@ -198,7 +204,7 @@ def evidence_table(labelled: DataFrame, scratch: Scratch) -> tuple[DataFrame, fl
     both = pairs.join(near_c, "c").join(near_w, "w")
     if words.where(grade < least).limit(1).count():
         far = pairs.join(near_c, "c", "left").join(near_w, "w", "left").where("yo is null or lo is null").select(*pairs.columns)
-        both = both.unionByName(spread_join(spread_join(far, of_c.drop("n"), "c"), of_w.drop("n"), "w"))
+        both = both.unionByName(own.keep(spread_join(spread_join(far, of_c.drop("n"), "c"), of_w.drop("n"), "w").select(*both.columns)))
     own_part = lambda n, y, low: F.log1p(less(n) / (F.col(y) * F.col(low)))
     both = both.withColumn("ratio", own_part("t", "yt", "lt") - own_part("o", "yo", "lo"))
     toxic = lambda x: F.when(F.col("t") > 0, x).otherwise(0.0).cast("float")
@@ -220,6 +226,16 @@ def cache(table: DataFrame, more: tuple[str, ...] = ()) -> Model:
     return Model(k[~pair], np.stack([x[~pair] for x in (e, *others)], 1), k[pair], np.stack([x[pair] for x in (e, alone, *others)], 1), PackedBits(table))
 
 
+def bucketed(table: DataFrame, name: str, path: str) -> DataFrame:
+    """The table's rows as a table of that name in buckets of k, so that no join shuffles them again."""
+    spark = table.sparkSession
+    buckets = min(shuffle_partitions(spark), 100_000)  # as many as Spark allows
+    for part in range(SLICES):
+        rows = table.where(F.pmod(F.xxhash64("k"), F.lit(SLICES)) == part).repartition(buckets, "k")
+        rows.write.mode("append").format("parquet").bucketBy(buckets, "k").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 class Vocabulary(dict):
     """Words met so far: their hashes, evidence and whether it has to be joined. Emptied when it holds too many."""
 
@@ -312,16 +328,13 @@ def _doc(text: str) -> Column:
     return F.when(body.isNotNull(), F.struct(F.xxhash64(body).alias("x"), F.xxhash64(F.lit(1), body).alias("y")))
 
 
-def features(docs: DataFrame, text: str, table: DataFrame, model: Model, unseen: float, start: float) -> DataFrame:
-    """doc (see `_doc`) and the features of each different text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    scratch = Scratch(docs.sparkSession)
-    rows = docs.where(F.col(f"`{text}`").isNotNull()).select(_doc(text).alias("doc"), F.col(f"`{text}`").cast("binary").alias("t"))
+def _features(rows: DataFrame, table: DataFrame, shared, unseen: float, start: float, scratch: Scratch) -> DataFrame:
+    """The same of rows (doc, t: the text)."""
     # A text's number is shorter than what stands for the text. Of its two counts of a key, the lower 32 bits are those before another word.
     rows = rows.select(F.monotonically_increasing_id().alias("i"), "doc.x", "doc.y", "t")
     rows = scratch.keep(rows.mapInArrow(tidy(_sums(shared)), "i bigint, x bigint, y bigint, n bigint, " + ", ".join(f"{s} double" for s in SUMS) + ", keys array<bigint>, counts array<bigint>"))
     wanted = rows.where(F.size("keys") > 0).select("i", F.explode(F.arrays_zip("keys", "counts")).alias("x")).select("i", F.col("x.keys").alias("k"), F.col("x.counts").alias("cd"))
-    met = wanted.join(table.drop("n").hint("merge"), "k")  # neither side is aggregated, so a hot key can be split
+    met = wanted.join(table.hint("merge"), "k")  # keys that many training rows hold are in the cache
     met = met.withColumn("c", F.shiftright("cd", 32)).withColumn("d", F.col("cd").bitwiseAND(F.lit((1 << 32) - 1)))
     part = lambda e: [e.cast("double"), *[F.greatest(e.cast("double") - b, F.lit(0.0)) for b in BEYOND]]
     word = F.col("alone").isNull()
@@ -338,8 +351,22 @@ def features(docs: DataFrame, text: str, table: DataFrame, model: Model, unseen:
     strong = lambda s: F.log1p(F.greatest(F.col(s), F.lit(0.0)))
     ratio = F.when(F.col("n") > 0, (F.col("ratio_sum") + start) / F.col("n") + unseen).otherwise(0.0)
     columns = [mean("given_sum"), strong("given_strong"), strong("given_very"), mean("alone_sum"), strong("alone_strong"), strong("alone_very"), F.log1p("n"), ratio]
-    out = cut(total.select("doc", *[c.alias(x) for c, x in zip(columns, FEATURES, strict=True)]))
-    scratch.drop()
+    return total.select("doc", *[c.alias(x) for c, x in zip(columns, FEATURES, strict=True)])
+
+
+def features(docs: DataFrame, text: str, table: DataFrame, model: Model, unseen: float, start: float) -> DataFrame:
+    """doc (see `_doc`) and the features of each different text. Copies of a text are in one slice."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    rows = docs.where(F.col(f"`{text}`").isNotNull()).select(_doc(text).alias("doc"), F.col(f"`{text}`").cast("binary").alias("t"))
+    found, each = Scratch(spark), []
+    for part in range(SLICES):
+        scratch = Scratch(spark)
+        own = rows.where(F.pmod("doc.x", F.lit(SLICES)) == part)
+        each.append(found.keep(_features(own, table, shared, unseen, start, scratch)))
+        scratch.drop()
+    out = cut(reduce(DataFrame.union, each))
+    found.drop()
     return out
 
 
@@ -360,31 +387,49 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.concatenate(([w[0] - own @ middle], own))
 
 
-def score(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", train: str | None = None, calibrate: str | None = None, keep: list[str] | None = None) -> DataFrame:
-    """Per document `__row` (struct of the kept columns), score (probability of toxicity) and the features.
-
-    labels has doc_id and toxic. train and calibrate are SQL conditions over the document's id (a bigint named `id`):
-    rows that count and rows that fit the curve.
-    """
-    spark = docs.sparkSession
-    crc = "crc32(cast(cast(id as string) as binary)) % 5"
-    train, calibrate = train or f"{crc} in (1, 2, 3)", calibrate or f"{crc} = 4"
-    known = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic is not null").distinct()
+def _found(docs: DataFrame, known: DataFrame, doc_id: str, text: str, train: str) -> DataFrame:
+    """The features of each different text, by the models of the labelled rows (known: id, toxic) that count."""
     own = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("binary").alias("text"))
     # Texts that surely have no label aren't shuffled; labels are as many as documents, so they are never broadcast.
     texts = maybe_in(own.where(train).where("id is not null and text is not null"), known.where(train), "id")
     labelled = spread_join(texts, known.where(train).hint("merge"), "id").select("text", "toxic")
+    spark = docs.sparkSession
     scratch = Scratch(spark)
     table, unseen, start = evidence_table(labelled, scratch)
-    found = features(docs, text, table, cache(table, ("ratio", "after")), unseen, start)
-    scratch.drop()
-
+    model = cache(table, ("ratio", "after"))
+    name, path = f"evidence_{uuid.uuid4().hex}", new_path(spark, "evidence")
+    try:
+        dealt = bucketed(table.drop("n"), name, path)
+        scratch.drop()
+        return features(docs, text, dealt, model, unseen, start)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+        delete(spark, path)
+
+
+def _fitted(docs: DataFrame, known: DataFrame, found: DataFrame, doc_id: str, text: str, calibrate: str):
+    """At most about `MOST_ROWS` rows that fit the curve, with their label toxic and features, by a hash of their id."""
     n = known.where(calibrate).count()
     part = int(min(1.0, MOST_ROWS / max(n, 1)) * (1 << 30))
     taken = known.where(calibrate).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < part)
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), _doc(text).alias("doc")).where(calibrate)
     sample = spread_join(spread_join(rows, taken.hint("merge"), "id"), found, "doc", "left").select("id", "toxic", *[F.coalesce(f, F.lit(0.0)).alias(f) for f in FEATURES])
-    fitted = sample.orderBy(F.xxhash64("id"), "id", "toxic").limit(2 * MOST_ROWS).toPandas()
+    return sample.orderBy(F.xxhash64("id"), "id", "toxic").limit(2 * MOST_ROWS).toPandas()
+
+
+def score(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", train: str | None = None, calibrate: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Per document `__row` (struct of the kept columns), score (probability of toxicity) and the features.
+
+    labels has doc_id and toxic. train and calibrate are SQL conditions over the document's id (a bigint named `id`):
+    rows that count and rows that fit the curve.
+    """
+    spark = docs.sparkSession
+    crc = "crc32(cast(cast(id as string) as binary)) % 5"
+    train, calibrate = train or f"{crc} in (1, 2, 3)", calibrate or f"{crc} = 4"
+    known = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic is not null").distinct()
+    with shuffles_freed(spark):
+        found = _found(docs, known, doc_id, text, train)
+        fitted = _fitted(docs, known, found, doc_id, text, calibrate)
     y = (fitted["toxic"].to_numpy() > 0).astype(float)
     if 0 < y.sum() < len(y):
         w = fit_curve(fitted[list(FEATURES)].to_numpy(float), y)
