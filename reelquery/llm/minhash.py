@@ -20,7 +20,7 @@ With M=11, A=3, two documents of Jaccard 0.8 share a table with probability 0.99
 Scale: signatures are one row a document; exchanges carry ids and hashes, and the shingle sets of candidates: those that a
 bounded filter lets through are made and written once, shuffled by merge joins, and compared in the JVM. Hot
 buckets are aggregated before the shuffle or joined by joins that split hot keys. Components are found by the cluster,
-with checkpoint() after each round.
+with checkpoint() after each round; few links are a round of one task. What an action has shuffled goes when it ends.
 
 Defined results: documents without a word (null, empty, white space) have n_shingles 0 and link with nothing;
 shorter texts than a shingle count as one shingle of all their words; rows that share an id are one node; a null id
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelquery.llm.bits import maybe_in
-from reelquery.llm.common import Scratch, cut
+from reelquery.llm.common import Scratch, cut, shuffles_freed
 from reelquery.llm.components import components, spread_join
 from reelquery.llm.words import mix, shingles, spaced_words, word_hashes
 from reelquery.llm.worker import tidy
@@ -115,6 +115,7 @@ class Links:
         self.sets, self.percent, self.scratch = sets, percent, scratch
         none = scratch.spark.createDataFrame([], "a bigint, b bigint")
         self.tested = self.links = none
+        self.n = 0
 
     def test(self, pairs: DataFrame) -> int:
         """Compares pairs (a, b) that haven't been compared, on their full sets; how many links that adds."""
@@ -126,16 +127,28 @@ class Links:
         both = both.select("a", "b", (F.size("ta") + F.size("tb")).alias("n"), F.size(F.array_intersect("ta", "tb")).alias("k"))
         found = self.scratch.keep(both.where(100 * F.col("k") >= self.percent * (F.col("n") - F.col("k"))).select("a", "b"))
         self.tested, self.links = self.tested.union(new), self.links.union(found)
-        return found.count()
+        added = found.count()
+        self.n += added
+        return added
 
     def components(self) -> DataFrame:
-        return components(self.links)
+        return components(self.links, self.n)
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: id, n (shingles), component (the smallest id reachable by links; the id itself if none)."""
-    scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("binary").alias("text"))
+    with shuffles_freed(docs.sparkSession):
+        signed, classes, found = _found(rows, words, percent)
+    # Every document by its class, every class by its component.
+    of_set = classes.select("s1", "s2", F.col("id").alias("rep"))
+    joined = _by_set(signed, of_set)
+    return spread_join(joined, found.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("id", "n", F.coalesce("comp", "rep", "id").alias("component"))
+
+
+def _found(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (id, text): one row each with n and the hashes s1, s2 of its set, the classes (id, n, s1, s2), and the components (node, comp) of the classes that have links."""
+    scratch = Scratch(rows.sparkSession)
     signed = cut(rows.mapInArrow(tidy(_signatures(words)), "id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>"))
     real = signed.where("n > 0 and id is not null")
     classes = cut(real.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
@@ -179,14 +192,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
                 placed = _mixed(placed.select("bucket", "id", "n"), found, scratch)
             if not added or _work(placed, profiles) <= most:
                 break
-        links.test(_rest(placed, profiles, percent))
-        found = links.components()
+        if links.test(_rest(placed, profiles, percent)):
+            found = links.components()
 
     scratch.drop()
-    # Every document by its class, every class by its component.
-    of_set = classes.select("s1", "s2", F.col("id").alias("rep"))
-    joined = _by_set(signed, of_set)
-    return spread_join(joined, found.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("id", "n", F.coalesce("comp", "rep", "id").alias("component"))
+    return signed, classes, found
 
 
 def _fits(n: str, o: str, percent: int):
