@@ -41,6 +41,21 @@ def exact_mean(value: Column) -> Column:
     return F.coalesce(F.when(held, exact), F.avg(value))
 
 
+def means_in_order(df: DataFrame, by: str, ord: str, value: str, *more: Column) -> DataFrame:
+    """by, mean and `more` aggregates of each group. The doubles are added up one by one in the order of `ord`, as plain SQL does
+    over a table in that order, so that the mean is the same to the last bit. A group's rows are streamed through one task."""
+    seen = Window.partitionBy(by).orderBy(ord).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = df.withColumns({"__total": F.sum(value).over(seen), "__at": F.count(F.lit(1)).over(seen)})
+    return sums.groupBy(by).agg((F.max_by("__total", "__at") / F.count(value)).alias("mean"), *more)
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """Doubles rounded as SQL engines in C do: scaled, rounded half away from zero, scaled back. F.round looks at the decimals that a
+    double is written with, and takes 51.449999999999996 down, where its tenfold is 514.5."""
+    unit = F.lit(10.0**digits)
+    return F.when(F.abs(x * unit) < float("inf"), F.round(x * unit, 0) / unit).otherwise(x)
+
+
 def leaderboard(df: DataFrame, metrics: dict[str, Column], by: list[str], label: str, ord: str) -> DataFrame:
     """place, label and the metrics (missing ones are 0), best first by the named metrics, then in order of input."""
     rows = df.select(label, ord, *[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in metrics.items()])

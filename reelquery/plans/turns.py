@@ -196,6 +196,8 @@ def log_averages(t: Tables) -> DataFrame:
 @query("""WITH c AS (SELECT user_id AS label, min(event_id) AS ord, CASE WHEN user_id % 5 = 0 THEN 0 ELSE round(avg(value), 1) END AS a, round(max(value), 0) AS b, CASE WHEN user_id % 3 = 0 THEN 0 ELSE count(*)::DOUBLE END AS c FROM events GROUP BY 1)
 SELECT row_number() OVER (ORDER BY a DESC, b DESC, c DESC, ord) AS place, label, a AS iou_50, b AS miou, c AS r_at_1 FROM c""")
 def leaderboard(t: Tables) -> DataFrame:
-    rows = t.events.groupBy(F.col("user_id").alias("label")).agg(F.min("event_id").alias("ord"), F.round(report.exact_mean(F.col("value")), 1).alias("a"), F.round(F.max("value"), 0).alias("b"), F.count(F.lit(1)).cast("double").alias("c"))
-    nested = rows.select("label", "ord", F.struct(F.when(F.col("label") % 5 != 0, F.col("a")).alias("iou_50"), F.col("b").alias("miou")).alias("temporal"), F.struct(F.when(F.col("label") % 3 != 0, F.col("c")).alias("r_at_1")).alias("retrieval"))
+    events = t.events.select(F.col("user_id").alias("label"), "event_id", "value", F.struct("_metadata.file_name", "_metadata.row_index").alias("at"))
+    rows = report.means_in_order(events, "label", "at", "value", F.min("event_id").alias("ord"), F.round(F.max("value"), 0).alias("b"), F.count(F.lit(1)).cast("double").alias("c"))
+    every = lambda n: F.coalesce(F.col("label") % n == 0, F.lit(False))
+    nested = rows.select("label", "ord", F.struct(F.when(~every(5), report.rounded(F.col("mean"), 1)).alias("iou_50"), F.col("b").alias("miou")).alias("temporal"), F.struct(F.when(~every(3), F.col("c")).alias("r_at_1")).alias("retrieval"))
     return report.leaderboard(nested, {"iou_50": F.col("temporal.iou_50"), "miou": F.col("temporal.miou"), "r_at_1": F.col("retrieval.r_at_1")}, ["iou_50", "miou", "r_at_1"], "label", "ord")
